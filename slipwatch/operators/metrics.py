@@ -49,10 +49,12 @@ def auc(df: DataFrame, label: str, score: str, keys: Sequence[str] = (), constan
     )
 
 
-def placements(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
+def placements(
+    df: DataFrame, label: str, score: str, keys: Sequence[str] = (), weight: str | None = None
+) -> DataFrame:
     """Placement values per distinct score: v10 for positives there, v01 for negatives."""
     keys = list(keys)
-    table = score_table(df, label, score, keys)
+    table = score_table(df, label, score, keys, weight)
     totals = table.groupBy(*keys).agg(F.sum("pos").alias("m"), F.sum("neg").alias("n"))
     table = table.join(totals, keys) if keys else table.crossJoin(F.broadcast(totals))
     return table.filter(_both()).select(
@@ -69,7 +71,7 @@ def delong(df: DataFrame, label: str, first: str, second: str, keys: Sequence[st
     """Paired DeLong test of two scores on the same rows, one row per key.
 
     Rows are first grouped by (score pair, label): copies of a pair travel once, with their
-    count. Placement values then join on the score, a table of one row per distinct score.
+    count, and both score tables are built from these groups, so the input is read once.
     """
     keys = list(keys)
     y = F.col(label)
@@ -80,11 +82,11 @@ def delong(df: DataFrame, label: str, first: str, second: str, keys: Sequence[st
         .agg(F.count(F.lit(1)).alias("_w"))
     )
 
-    def side(name: str, score: str, suffix: str) -> DataFrame:
-        out = placements(df, label, name, keys)
-        return out.select(*keys, F.col(name).alias(score), F.col("v10").alias("x" + suffix), F.col("v01").alias("z" + suffix))
+    def side(score: str, suffix: str) -> DataFrame:
+        out = placements(pairs, "_y", score, keys, "_w")
+        return out.select(*keys, score, F.col("v10").alias("x" + suffix), F.col("v01").alias("z" + suffix))
 
-    joined = pairs.join(side(first, "_s1", "1"), [*keys, "_s1"]).join(side(second, "_s2", "2"), [*keys, "_s2"])
+    joined = pairs.join(side("_s1", "1"), [*keys, "_s1"]).join(side("_s2", "2"), [*keys, "_s2"])
     w = _d("_w")
     is_pos = F.col("_y") == 1
     values = joined.select(

@@ -86,12 +86,18 @@ def ranked(
     )
 
 
-def score_table(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Positives and negatives at and below each distinct score."""
+def score_table(
+    df: DataFrame, label: str, score: str, keys: Sequence[str] = (), weight: str | None = None
+) -> DataFrame:
+    """Positives and negatives at and below each distinct score.
+
+    `weight` names a column of row counts where equal rows were already grouped.
+    """
     y = F.col(label)
+    w = F.col(weight) if weight else F.lit(1)
     labelled = df.filter(y.isNotNull())
     return ranked(
-        labelled, score, {"pos": (y == 1).cast("int"), "neg": (y == 0).cast("int")}, keys
+        labelled, score, {"pos": F.when(y == 1, w).otherwise(0), "neg": F.when(y == 0, w).otherwise(0)}, keys
     )
 
 
