@@ -194,3 +194,11 @@ def sequence_ranged(snapshots: DataFrame, order: Sequence[Column], parts: int |
 def largest_group(df: DataFrame, key: str = "project_id") -> int:
     """Rows of the largest key; decides between the plain and the ranged plan."""
     return df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+
+
+def has_long_undated(raw: DataFrame, cleaned: DataFrame, limit: int) -> bool:
+    """Does any project without months hold more than `limit` snapshots?
+
+    The raw record count is a cheap upper bound; only above it the exact one is taken.
+    """
+    return largest_group(raw) > limit and largest_group(cleaned.filter("not dated")) > limit

@@ -53,17 +53,15 @@ def placements(
     df: DataFrame, label: str, score: str, keys: Sequence[str] = (), weight: str | None = None
 ) -> DataFrame:
     """Placement values per distinct score: v10 for positives there, v01 for negatives."""
-    keys = list(keys)
     table = score_table(df, label, score, keys, weight)
-    totals = table.groupBy(*keys).agg(F.sum("pos").alias("m"), F.sum("neg").alias("n"))
-    table = table.join(totals, keys) if keys else table.crossJoin(F.broadcast(totals))
-    return table.filter(_both()).select(
+    both = (F.col("pos_all") > 0) & (F.col("neg_all") > 0)
+    return table.filter(both).select(
         *keys,
         score,
         "pos",
         "neg",
-        ((_d("neg_below") + _d("neg") / 2.0) / _d("n")).alias("v10"),
-        ((_d("m") - _d("pos_below") - _d("pos") / 2.0) / _d("m")).alias("v01"),
+        ((_d("neg_below") + _d("neg") / 2.0) / _d("neg_all")).alias("v10"),
+        ((_d("pos_all") - _d("pos_below") - _d("pos") / 2.0) / _d("pos_all")).alias("v01"),
     )
 
 
@@ -82,19 +80,21 @@ def delong(df: DataFrame, label: str, first: str, second: str, keys: Sequence[st
         .agg(F.count(F.lit(1)).alias("_w"))
     )
 
-    def side(score: str, suffix: str) -> DataFrame:
-        out = placements(pairs, "_y", score, keys, "_w")
-        return out.select(*keys, score, F.col("v10").alias("x" + suffix), F.col("v01").alias("z" + suffix))
-
-    joined = pairs.join(side("_s1", "1"), [*keys, "_s1"]).join(side("_s2", "2"), [*keys, "_s2"])
-    w = _d("_w")
-    is_pos = F.col("_y") == 1
-    values = joined.select(
-        *keys,
-        "_y",
-        w.alias("w"),
-        F.when(is_pos, F.col("x1")).otherwise(F.col("z1")).alias("a"),
-        F.when(is_pos, F.col("x2")).otherwise(F.col("z2")).alias("b"),
+    # Both scores of a pair are ranked in one pass, as two sides of one stacked table.
+    sides = pairs.select(
+        "*",
+        F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("_s1").alias("s")), F.struct(F.lit(2).alias("side"), F.col("_s2").alias("s")))).alias("x"),
+    ).select(*keys, "_y", "_s1", "_s2", "_w", F.col("x.side").alias("_side"), F.col("x.s").alias("_s"))
+    placed = placements(sides, "_y", "_s", [*keys, "_side"], "_w").select(*keys, "_side", "_s", "v10", "v01")
+    value = F.when(F.col("_y") == 1, F.col("v10")).otherwise(F.col("v01"))
+    values = (
+        sides.join(placed, [*keys, "_side", "_s"])
+        .groupBy(*keys, "_y", "_s1", "_s2")
+        .agg(
+            F.max(_d("_w")).alias("w"),
+            F.max(F.when(F.col("_side") == 1, value)).alias("a"),
+            F.max(F.when(F.col("_side") == 2, value)).alias("b"),
+        )
     )
     # Deviations from one half keep the sums of squares small, so nothing cancels.
     a, b = F.col("a") - 0.5, F.col("b") - 0.5
@@ -200,24 +200,21 @@ def score_report(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()
         F.avg(y).alias("positive_rate"),
         F.sum(F.col(label)).cast("long").alias("_m"),
     )
-    table = score_table(clipped, label, "_p", keys)
-    on = keys or ["_one"]
-    if not keys:
-        point, table = point.withColumn("_one", F.lit(1)), table.withColumn("_one", F.lit(1))
-    binned = ece(clipped if keys else clipped.withColumn("_one", F.lit(1)), label, "_p", on)
-    # Totals are one row per key; joining them gives every score what lies above it.
-    totals = point.select(*on, F.col("_m").alias("m"), (F.col("n") - F.col("_m")).alias("neg_all"))
-    up = table.join(totals, on)
-    tp, fp = _d("m") - _d("pos_below"), _d("neg_all") - _d("neg_below")
-    ranks = up.groupBy(*on).agg(
-        F.sum(_d("pos") / _d("m") * (tp / (tp + fp))).alias("_ap"),
-        F.sum(_d("pos") * (_d("neg_below") + _d("neg") / 2.0) / _d("m")).alias("_wins"),
+    # Each score knows its key's totals, so what lies above it needs no join.
+    up_pos, up_neg = _d("pos_all") - _d("pos_below"), _d("neg_all") - _d("neg_below")
+    ranks = score_table(clipped, label, "_p", keys).groupBy(*keys).agg(
+        F.sum(_d("pos") / _d("pos_all") * (up_pos / (up_pos + up_neg))).alias("_ap"),
+        F.sum(_d("pos") / _d("pos_all") * (_d("neg_below") + _d("neg") / 2.0) / _d("neg_all")).alias("_auc"),
     )
-    out = point.join(ranks, on, "left").join(binned, on, "left")
+    binned = ece(clipped, label, "_p", keys)
     both = (F.col("_m") > 0) & (F.col("_m") < F.col("n"))
+    if keys:
+        out = point.join(ranks, keys, "left").join(binned, keys, "left")
+    else:
+        out = point.crossJoin(F.broadcast(ranks)).crossJoin(F.broadcast(binned))
     return out.select(
         *keys,
-        F.when(both, F.col("_wins") / (F.col("n") - F.col("_m"))).alias("auc"),
+        F.when(both, F.col("_auc")).alias("auc"),
         F.when(both, F.col("_ap")).alias("pr_auc"),
         *[F.when(both, F.col(c)).alias(c) for c in ("brier", "log_loss", "ece")],
         "n",

@@ -191,7 +191,7 @@ def build_panel(
     unique = K.dedupe(raw.filter(F.coalesce(F.col("project_id"), F.lit(0)) != 0))
     cleaned = K.clean(unique, K.project_attributes(raw, unique))
     # The calendar bounds a dated project; an undated one may need ranges and blocks.
-    long_undated = K.largest_group(cleaned.filter("not dated")) > block_rows
+    long_undated = K.has_long_undated(raw, cleaned, block_rows)
     dated, undated = order_snapshots(cleaned, order, harvest, long_undated)
     columns = dated.columns
     parts = [

@@ -38,8 +38,8 @@ def ranked(
 ) -> DataFrame:
     """One row per distinct value (per key): its counts and the counts of all smaller values.
 
-    `counts` maps a name to a 0/1 (or whole number) column; the result has `name` and
-    `name_below` for each. Rows with a null value are left out.
+    `counts` maps a name to a 0/1 (or whole number) column; the result has `name`,
+    `name_below` and the key's total `name_all`. Rows with a null value are left out.
     """
     keys, names = list(keys), list(counts)
     value_col = F.col(value).cast("double")
@@ -62,10 +62,15 @@ def ranked(
 
     subcells = sums(flat, keys + ["_cell", "_sub"])
     cells = sums(subcells, keys + ["_cell"])
-    one = [] if keys else [F.lit(0).alias("_all")]
-    by = keys or ["_all"]
-    cell_offsets = cells.select("*", *one).select(
-        *keys, "_cell", *below(by, "_cell", "_in_cells")
+    whole = keys
+    if not keys:
+        # Cells are bounded in number, so one task may run over all of them.
+        cells, whole = cells.withColumn("_one", F.lit(1)), ["_one"]
+    cell_offsets = cells.select(
+        *keys,
+        "_cell",
+        *below(whole, "_cell", "_in_cells"),
+        *[F.sum(n).over(Window.partitionBy(*whole)).alias(n + "_all") for n in names],
     )
     sub_offsets = (
         subcells.select(*keys, "_cell", "_sub", *below(keys + ["_cell"], "_sub", "_in_subs"))
@@ -75,6 +80,7 @@ def ranked(
             "_cell",
             "_sub",
             *[(F.col(n + "_in_cells") + F.col(n + "_in_subs")).alias(n + "_offset") for n in names],
+            *[n + "_all" for n in names],
         )
     )
     inside = flat.select(*keys, value, *names, "_cell", "_sub", *below(keys + ["_cell", "_sub"], value, "_inside"))
@@ -83,6 +89,7 @@ def ranked(
         value,
         *names,
         *[(F.col(n + "_offset") + F.col(n + "_inside")).alias(n + "_below") for n in names],
+        *[n + "_all" for n in names],
     )
 
 
@@ -105,13 +112,10 @@ def quantiles(
     df: DataFrame, value: str, probabilities: dict[str, float], keys: Sequence[str] = ()
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one column per name, one row per key."""
-    keys = list(keys)
     table = ranked(df, value, {"n": F.lit(1)}, keys)
-    totals = table.groupBy(*keys).agg(F.sum("n").alias("_total"))
-    table = table.join(totals, keys) if keys else table.crossJoin(F.broadcast(totals))
     aggs = []
     for name, q in probabilities.items():
-        at = (F.col("_total") - 1) * F.lit(float(q))
+        at = (F.col("n_all") - 1) * F.lit(float(q))
         low, high = F.floor(at), F.ceil(at)
 
         def holds(position: Column) -> Column:
@@ -119,6 +123,5 @@ def quantiles(
 
         lower = F.max(F.when(holds(low), F.col(value)))
         upper = F.max(F.when(holds(high), F.col(value)))
-        part = F.max(at - low)
-        aggs.append((lower + (upper - lower) * part).alias(name))
+        aggs.append((lower + (upper - lower) * F.max(at - low)).alias(name))
     return table.groupBy(*keys).agg(*aggs)

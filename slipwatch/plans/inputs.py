@@ -26,8 +26,18 @@ REMARKS = [
 ]
 
 
+# Columns of the given tables that the queries use; a scan reads no others.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int",
+    "lineitem": "l_suppkey bigint, l_quantity double, l_extendedprice double, l_returnflag string, l_shipdate timestamp",
+    "documents": "doc_id bigint, text string, source string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def pick(values: list[str], index: Column) -> Column:

@@ -154,9 +154,9 @@ def seq_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _undated(spark: SparkSession, sf_dir: str, order: str = "expenditure_progress") -> DataFrame:
-    loose = _cleaned(spark, sf_dir)[2].filter("not dated")
-    sequenced = K.sequence_ranged if K.largest_group(loose) > P.BLOCK_ROWS else K.sequence
-    return sequenced(loose, K.ordering(order))
+    raw, _, cleaned = _cleaned(spark, sf_dir)
+    sequenced = K.sequence_ranged if K.has_long_undated(raw, cleaned, P.BLOCK_ROWS) else K.sequence
+    return sequenced(cleaned.filter("not dated"), K.ordering(order))
 
 
 @query(f"WITH {O.ORDERED} SELECT {cols('l:project_id', 'l:harvest_seq', 'l:seq_index=axis', 'l:n_snapshots=n')} FROM loose")
@@ -178,8 +178,9 @@ _ORDER_SQL = {
     for n, o in _ORDER_SQL.items()))
 def ordering_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole cleaned table under each ordering, as if no record had a month."""
-    cleaned = _cleaned(spark, sf_dir)[2].select("project_id", "harvest_seq", "expenditure", "physical_progress", "revised_date")
-    sequenced = K.sequence_ranged if K.largest_group(cleaned) > P.BLOCK_ROWS else K.sequence
+    raw, _, cleaned = _cleaned(spark, sf_dir)
+    cleaned = cleaned.select("project_id", "harvest_seq", "expenditure", "physical_progress", "revised_date")
+    sequenced = K.sequence_ranged if K.largest_group(raw) > P.BLOCK_ROWS else K.sequence
     out = None
     for name in K.ORDERINGS:
         part = sequenced(cleaned, K.ordering(name)).select(F.lit(name).alias("variant"), "project_id", "harvest_seq", "seq_index")
@@ -189,7 +190,8 @@ def ordering_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {O.RHIST} SELECT {cols('l:project_id', 'l:n_snapshots=max(n_snapshots)', 'd:order_confidence=max(order_confidence)', 'l:order_reliable=max((dated OR order_confidence >= 0.6)::INTEGER)')} FROM rhist GROUP BY 1""")
 def order_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hist = _raw_history(spark, sf_dir)
+    raw, _, cleaned = _cleaned(spark, sf_dir)
+    hist = _raw_history(raw, cleaned)
     return hist.groupBy("project_id").agg(
         F.max("n_snapshots").alias("n_snapshots"),
         F.max("order_confidence").alias("order_confidence"),
@@ -197,9 +199,8 @@ def order_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _raw_history(spark: SparkSession, sf_dir: str, cleaned: DataFrame | None = None) -> DataFrame:
-    cleaned = _cleaned(spark, sf_dir)[2] if cleaned is None else cleaned
-    long_undated = K.largest_group(cleaned.filter("not dated")) > P.BLOCK_ROWS
+def _raw_history(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
+    long_undated = K.has_long_undated(raw, cleaned, P.BLOCK_ROWS)
     dated, undated = P.order_snapshots(cleaned, long_undated=long_undated)
     loose = P.history(undated.select(dated.columns), block_rows=P.BLOCK_ROWS if long_undated else None)
     return P.history(dated).unionByName(loose)
@@ -243,7 +244,7 @@ SELECT {cols(*many('l', 'raw_records unique_snapshots expenditure_unit_rescaled
 FROM a, b, c, d""")
 def panel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw, _, cleaned = _cleaned(spark, sf_dir)
-    hist = _raw_history(spark, sf_dir, cleaned)
+    hist = _raw_history(raw, cleaned)
     return P.panel_counts(raw, cleaned, hist, P.transitions(hist.filter(P.eligible())))
 
 

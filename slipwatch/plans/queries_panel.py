@@ -39,9 +39,10 @@ def label_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT {cols(*_KEY, *many('l', 'slip_next slip_within_3m censored_3m slip_within_6m censored_6m'))} FROM ut""")
 def label_horizon_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of k reports for projects without reporting months."""
-    from slipwatch.plans.queries_ingest import _raw_history
+    from slipwatch.plans.queries_ingest import _cleaned, _raw_history
 
-    hist = _raw_history(spark, sf_dir).filter("not dated")
+    raw, _, cleaned = _cleaned(spark, sf_dir)
+    hist = _raw_history(raw, cleaned).filter("not dated")
     return P.transitions(hist).select("project_id", "seq_index", "slip_next", "slip_within_3m", "censored_3m", "slip_within_6m", "censored_6m")
 
 
