@@ -46,14 +46,14 @@ def pick(values: list[str], index: Column) -> Column:
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One typed snapshot per supplier and month."""
-    quantity, returned = C.money(F.col("l_quantity")), F.col("l_returnflag") == "R"
+    quantity, returned = C.cents(F.col("l_quantity")), F.col("l_returnflag") == "R"
     monthly = (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_suppkey").alias("project_id"), F.trunc("l_shipdate", "month").alias("mon"))
         .agg(
-            F.sum(C.money(F.col("l_extendedprice"))).alias("spend"),
+            F.sum(C.cents(F.col("l_extendedprice"))).alias("spend"),
             F.sum(quantity).alias("qty"),
-            F.sum(F.when(returned, quantity).otherwise(F.lit(0).cast("decimal(18,2)"))).alias("back"),
+            F.sum(F.when(returned, quantity).otherwise(0)).alias("back"),
         )
     )
     whole = Window.partitionBy("project_id")
@@ -61,10 +61,10 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = monthly.select(
         "project_id",
         "mon",
-        F.sum("spend").over(so_far).cast("double").alias("expenditure"),
-        F.sum("spend").over(whole).cast("double").alias("revised_cost"),
+        C.from_cents(F.sum("spend").over(so_far)).alias("expenditure"),
+        C.from_cents(F.sum("spend").over(whole)).alias("revised_cost"),
         (
-            F.floor(F.sum("qty").over(so_far).cast("double") * 100.0 / F.sum("qty").over(whole).cast("double") / 5.0)
+            F.floor(C.from_cents(F.sum("qty").over(so_far)) * 100.0 / C.from_cents(F.sum("qty").over(whole)) / 5.0)
             * F.lit(5.0)
         ).alias("physical_progress"),
         F.sum(F.when(F.col("back") * 2 > F.col("qty"), 1).otherwise(0)).over(so_far).cast("int").alias("moves"),

@@ -9,7 +9,7 @@ NUMBER = r"[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?"
 
 
 def cols(*specs: str) -> str:
-    """'d:name=expr' (double), 'l:' (integer), 's:' (text); the expression defaults to the name."""
+    """'d:name=expr' (double), 'm:' (money), 'l:' (integer), 's:' (text); the expression defaults to the name."""
     out = []
     for spec in specs:
         kind, rest = spec.split(":", 1)
@@ -17,6 +17,8 @@ def cols(*specs: str) -> str:
         expr = expr or name
         if kind == "d":
             out.append(f"round(({expr})::DOUBLE, 6) + 0.0 AS {name}")
+        elif kind == "m":
+            out.append(f"round(({expr})::DOUBLE, 2) + 0.0 AS {name}")
         elif kind == "l":
             out.append(f"({expr})::BIGINT AS {name}")
         else:

@@ -163,19 +163,19 @@ def sector_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.forms(spark, sf_dir).groupBy("sector", median.alias("median"), matched.alias("matched")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {O.RULES} SELECT {cols(*_KEY, 'd:capital_at_risk', 'd:effective_overrun_pct=effective_overrun', 'l:is_sector_fallback_used=fallback', 'l:is_clamped_to_cap=clamped')} FROM assessed")
+@query(f"WITH {O.RULES} SELECT {cols(*_KEY, 'm:capital_at_risk', 'd:effective_overrun_pct=effective_overrun', 'l:is_sector_fallback_used=fallback', 'l:is_clamped_to_cap=clamped')} FROM assessed")
 def exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = Fo.assess(I.forms(spark, sf_dir))
     return rows.select(*K, "capital_at_risk", "effective_overrun_pct", "is_sector_fallback_used", "is_clamped_to_cap")
 
 
 @query(f"""WITH {O.RULES}, g AS (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, gov_score / 100.0::DOUBLE)) AS pg FROM priced)
-SELECT {cols(*_KEY, 'd:capital_at_risk=CASE WHEN original_cost <= 0 OR pg <= 0 THEN 0.0 ELSE least(original_cost * 3.0::DOUBLE, original_cost * pg * (greatest(reported, median) / 100.0::DOUBLE)) END')} FROM g""")
+SELECT {cols(*_KEY, 'd:capital_at_risk_gov=round(CASE WHEN original_cost <= 0 OR pg <= 0 THEN 0.0 ELSE least(original_cost * 3.0::DOUBLE, original_cost * pg * (greatest(reported, median) / 100.0::DOUBLE)) END, 4)')} FROM g""")
 def exposure_gov(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = Fo.with_indicators(I.forms(spark, sf_dir))
     score = R.combined_score(F.col("p_model"), R.rule_floor())
     priced = X.exposure(F.col("original_cost"), X.score_as_probability(score), F.col("cost_overrun_pct_current"), X.sector_median(F.col("sector"))[0])
-    return rows.select(*K, priced["capital_at_risk"].alias("capital_at_risk"))
+    return rows.select(*K, F.round(priced["capital_at_risk"], 4).alias("capital_at_risk_gov"))
 
 
 _ACTIONS = "concat_ws(' | ', " + ", ".join(
@@ -192,7 +192,7 @@ def interventions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ASSESSED = ["s:project_id", "s:project_name", "s:sector", "s:implementing_agency", "d:physical_progress", "d:original_cost", "d:revised_cost", "d:p_model",
              "d:rule_floor", "d:gov_score", "s:dominant_source", "s:risk_tier", "d:sector_median_overrun_pct=median", "d:effective_overrun_pct=effective_overrun",
-             "d:capital_at_risk", "d:base_rate_probability=0.5", "l:active_signals_count=active"]
+             "m:capital_at_risk", "d:base_rate_probability=0.5", "l:active_signals_count=active"]
 _A = [s.split(":")[1].split("=")[0] for s in _ASSESSED]
 
 
@@ -206,10 +206,10 @@ def rank_slim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Fo.slim(Fo.assess(I.latest_forms(spark, sf_dir))).select(*_A)
 
 
-_TOTALS = ["l:projects=count(*)", "d:total_original_cost=sum(original_cost::DECIMAL(18,2))", "d:total_expenditure=sum(expenditure::DECIMAL(18,2))", "d:total_capital_at_risk=sum(capital_at_risk::DECIMAL(18,2))",
+_TOTALS = ["l:projects=count(*)", "d:total_original_cost=sum(round_even(original_cost * 100.0::DOUBLE, 0)::BIGINT)::DOUBLE / 100.0::DOUBLE", "d:total_expenditure=sum(round_even(expenditure * 100.0::DOUBLE, 0)::BIGINT)::DOUBLE / 100.0::DOUBLE", "d:total_capital_at_risk=sum(round_even(capital_at_risk * 100.0::DOUBLE, 0)::BIGINT)::DOUBLE / 100.0::DOUBLE",
            "d:avg_gov_score=avg(gov_score)", "l:critical_high_projects=count(*) FILTER (risk_tier IN ('HIGH', 'CRITICAL'))",
            *[f"l:tier_{t.lower()}=count(*) FILTER (risk_tier = '{t}')" for t in S.TIERS], *[f"l:source_{t.lower()}=count(*) FILTER (dominant_source = '{t}')" for t in S.SOURCES]]
-_SHARE = "d:capital_at_risk_pct=sum(capital_at_risk::DECIMAL(18,2))::DOUBLE / sum(original_cost::DECIMAL(18,2))::DOUBLE * 100.0::DOUBLE"
+_SHARE = "d:capital_at_risk_pct=(sum(round_even(capital_at_risk * 100.0::DOUBLE, 0)::BIGINT)::DOUBLE / 100.0::DOUBLE) / (sum(round_even(original_cost * 100.0::DOUBLE, 0)::BIGINT)::DOUBLE / 100.0::DOUBLE) * 100.0::DOUBLE"
 
 
 @query(f"WITH {O.RULES} SELECT {cols(*_TOTALS, _SHARE)} FROM assessed WHERE is_latest = 1")
@@ -228,17 +228,17 @@ def summary_with_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Po.summary_with_sectors(Fo.assess(I.forms(spark, sf_dir)))
 
 
-@query(f"WITH {O.RULES} SELECT {cols('s:project_id', 's:risk_tier', 'd:capital_at_risk')} FROM assessed WHERE is_latest = 1 ORDER BY assessed.capital_at_risk DESC, assessed.project_id LIMIT 25")
+@query(f"WITH {O.RULES} SELECT {cols('s:project_id', 's:risk_tier', 'm:capital_at_risk')} FROM assessed WHERE is_latest = 1 ORDER BY assessed.capital_at_risk DESC, assessed.project_id LIMIT 25")
 def top_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Po.ranking(Fo.assess(I.latest_forms(spark, sf_dir)), limit=25).select("project_id", "risk_tier", "capital_at_risk")
 
 
-@query(f"WITH {O.RULES} SELECT {cols(*_KEY, 's:risk_tier', 'd:capital_at_risk')} FROM assessed WHERE lower(sector) = 'railways' AND risk_tier = 'HIGH'")
+@query(f"WITH {O.RULES} SELECT {cols(*_KEY, 's:risk_tier', 'm:capital_at_risk')} FROM assessed WHERE lower(sector) = 'railways' AND risk_tier = 'HIGH'")
 def rank_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Po.ranking(Fo.assess(I.forms(spark, sf_dir)), sector="RAILWAYS", tier="high").select(*K, "risk_tier", "capital_at_risk")
 
 
-@query(f"""WITH {O.RULES} SELECT {cols(*_KEY, 's:risk_tier', 'd:capital_at_risk')} FROM assessed
+@query(f"""WITH {O.RULES} SELECT {cols(*_KEY, 's:risk_tier', 'm:capital_at_risk')} FROM assessed
 WHERE risk_tier = 'CRITICAL' AND (contains(lower(project_name), 'urb') OR contains(lower(sector), 'urb') OR contains(lower(implementing_agency), 'urb')) ORDER BY assessed.capital_at_risk DESC, assessed.project_id, assessed.report_month LIMIT 1000000""")
 def rank_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Po.search(Fo.assess(I.forms(spark, sf_dir)), " URB ", "CRITICAL").select(*K, "risk_tier", "capital_at_risk")
@@ -249,7 +249,7 @@ def detail_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Po.detail(Fo.assess(I.latest_forms(spark, sf_dir)), "SUP-7").select(*_A)
 
 
-@query(f"WITH {O.RULES} SELECT {cols('s:project_id', 'd:gov_score', 's:risk_tier', 'd:capital_at_risk')} FROM assessed WHERE is_latest = 1")
+@query(f"WITH {O.RULES} SELECT {cols('s:project_id', 'd:gov_score', 's:risk_tier', 'm:capital_at_risk')} FROM assessed WHERE is_latest = 1")
 def csv_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uploaded report: headers, typing, validation, assessment, ranking."""
     export = _export(spark, sf_dir)

@@ -14,12 +14,12 @@ ORACLE: dict[str, str] = {}
 
 
 def tidy(df: DataFrame) -> DataFrame:
-    """Output types that compare across engines: doubles to six places, whole numbers long."""
+    """Output types that compare across engines: doubles to six places, exposure to cents, whole numbers long."""
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.DoubleType):
-            c = F.round(c, 6) + F.lit(0.0)
+            c = F.round(c, 2 if f.name == "capital_at_risk" else 6) + F.lit(0.0)
         elif isinstance(f.dataType, (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType)):
             c = c.cast("int").cast("bigint")
         elif isinstance(f.dataType, (T.DateType, T.DecimalType)):
