@@ -22,18 +22,27 @@ def to_number(c: Column, default: float | Column | None = 0.0) -> Column:
     return F.coalesce(number, default if isinstance(default, Column) else F.lit(float(default)))
 
 
+# Shape of a date text -> how to read it. The shape is tested first, because a failed
+# parse is far dearer than a failed match.
+DATE_SHAPES = {
+    r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$": "d/M/yyyy",
+    r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$": "d-M-yyyy",
+    r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$": "yyyy-M-d",
+    r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}$": "d/M/yy",
+}
+
+
 def parse_date(c: Column) -> Column:
-    """First of four day-first or ISO formats that fits, else null."""
+    """Date from one of four day-first or ISO shapes, else null."""
     text = F.trim(c)
-    short = F.try_to_date(text, "d/M/yy")
-    # Two-digit years from 69 belong to the last century.
-    short = F.when(F.year(short) >= 2069, F.add_months(short, -1200)).otherwise(short)
-    return F.coalesce(
-        F.try_to_date(text, "d/M/yyyy"),
-        F.try_to_date(text, "d-M-yyyy"),
-        F.try_to_date(text, "yyyy-M-d"),
-        short,
-    )
+    out = F.lit(None).cast("date")
+    for shape, pattern in DATE_SHAPES.items():
+        day = F.try_to_date(text, pattern)
+        if pattern.endswith("/yy"):
+            # Two-digit years from 69 belong to the last century.
+            day = F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day)
+        out = F.when(text.rlike(shape), day).otherwise(out)
+    return out
 
 
 def month_ordinal(month: Column) -> Column:

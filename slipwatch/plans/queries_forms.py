@@ -305,7 +305,7 @@ def driver_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Tags for the given documents: the delay words do not occur in them.
-_ONTOLOGY = {"licence": r"(?i)\blicen[sc]e\b", "contact": r"[\w.]+@[\w.]+", "link": r"(?i)https?://[a-z]", "article": r"(?i)\b(the|and)\b"}
+_ONTOLOGY = {"licence": r"(?i)\blicen[sc]e\b", "contact": r"[\w.]@[\w.]", "link": r"(?i)https?://[a-z]", "article": r"(?i)\b(the|and)\b"}
 _TAG_SQL = [f"l:{t.lower()}=regexp_matches(coalesce(text, ''), '{p}')::INTEGER" for t, p in _ONTOLOGY.items()]
 
 
