@@ -57,9 +57,11 @@ def modal_values(df: DataFrame, fields: Sequence[str], key: str = "project_id")
 
 def axis_mode(unique: DataFrame) -> DataFrame:
     """Per project: does every de-duplicated row carry a reporting month?"""
-    return unique.groupBy("project_id").agg(
-        F.bool_and(F.coalesce(F.col("report_month"), F.lit("")) != "").alias("dated")
-    )
+    return unique.groupBy("project_id").agg(_has_months().alias("dated"))
+
+
+def _has_months() -> Column:
+    return F.bool_and(F.coalesce(F.col("report_month"), F.lit("")) != "")
 
 
 def project_attributes(raw: DataFrame, unique: DataFrame) -> DataFrame:
@@ -71,13 +73,13 @@ def project_attributes(raw: DataFrame, unique: DataFrame) -> DataFrame:
         C.to_number(F.col("original_cost")).alias("modal_cost"),
     )
     names = modal_values(raw, ["project_name"])
-    first = raw.groupBy("project_id").agg(
-        F.min_by(F.coalesce(F.col("sector_name"), F.lit("")), "harvest_seq").alias("sector_name")
+    # A project's first record always survives the de-duplication.
+    first = unique.groupBy("project_id").agg(
+        _has_months().alias("dated"),
+        F.min_by(F.coalesce(F.col("sector_name"), F.lit("")), "harvest_seq").alias("sector_name"),
     )
     return (
-        axis_mode(unique)
-        .join(first, "project_id")
-        .join(modal, "project_id", "left")
+        first.join(modal, "project_id", "left")
         .join(names, "project_id", "left")
         .select(
             "project_id",
