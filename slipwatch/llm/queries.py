@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slipwatch.llm import language_mix, piece_codec, secret_scan, toxic_grammar
+from slipwatch.llm import language_mix, piece_codec, secret_scan, source_mix, toxic_grammar
 from slipwatch.llm.common import id_remainder
 
 # Columns of the tables that the queries use; a scan reads no others.
@@ -33,6 +33,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return source_mix.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE["op4_mix"] = r"""
+WITH docs AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         coalesce(length(text) - length(translate(text, '#$%&*|', '')), 0)::DOUBLE AS marks
+  FROM documents
+), sizes AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source
+), limits AS (
+  SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0 ELSE 2.0 END AS w,
+         2.0::DOUBLE * source_size AS cap, row_number() OVER (ORDER BY source NULLS LAST) AS i
+  FROM sizes
+), levels AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(w) OVER (ORDER BY cap / w, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+         row_number() OVER (ORDER BY cap / w, i) AS pos
+  FROM limits
+), final AS (
+  SELECT coalesce((SELECT level FROM levels WHERE level <= cap / w ORDER BY pos LIMIT 1), (SELECT level FROM levels ORDER BY pos DESC LIMIT 1)) AS level
+), targets AS (
+  SELECT source, source_size, least(cap, final.level * w) AS target FROM levels, final
+), keyed AS (
+  SELECT *, -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
+         / (1.0::DOUBLE / (1.0::DOUBLE + 4.0::DOUBLE * marks / greatest(size, 1)::DOUBLE)) AS key
+  FROM docs
+), placed AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM keyed
+), spent AS (
+  SELECT p.*, t.source_size, t.target, floor(t.target / greatest(t.source_size, 1))::BIGINT AS epochs
+  FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+       (epochs * size + greatest(0, least(size, round(target - epochs * source_size)::BIGINT - before)))::BIGINT AS taken
+FROM spent
+"""
+
+
 @query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from four of five folds of the labels."""
