@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slipwatch.llm import language_mix, piece_codec, secret_scan, source_mix, toxic_grammar
+from slipwatch.llm import balanced_shards, language_mix, piece_codec, secret_scan, source_mix, toxic_grammar
 from slipwatch.llm.common import id_remainder
 
 # Columns of the tables that the queries use; a scan reads no others.
@@ -33,6 +33,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in 24 shards of equal counts, copies kept together as far as the counts allow."""
+    text = F.coalesce("text", F.lit(""))
+    narrow = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("digest"),
+    )
+    order = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text_crc32").cast("string"))
+    return balanced_shards.shard_documents(narrow, F.col("digest"), order).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 @query
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
