@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slipwatch.llm import balanced_shards, language_mix, piece_codec, secret_scan, source_mix, toxic_grammar
+from slipwatch.llm import balanced_shards, chat_format, language_mix, piece_codec, secret_scan, source_mix, toxic_grammar
 from slipwatch.llm.common import id_remainder
 
 # Columns of the tables that the queries use; a scan reads no others.
@@ -33,6 +33,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one made of control strings, formatted and read back."""
+    tricky = r"\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], SCHEMAS["conversations"])
+    chats = chat_format.format_chats(table(spark, sf_dir, "conversations").unionByName(own))
+    back = chat_format.read_loss(chat_format.read_chats(chats))
+    spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(spoken, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+ORACLE["op1_chats"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), coded AS (
+  SELECT *, row_number() OVER w AS k, lag(role) OVER w AS last_role,
+         length(replace(replace(replace(replace(text, '\', '\\'), '###', '\h'), '<part/>', '\p'), '</turn>', '\t')) AS body,
+         length(replace(replace(replace(replace(replace(role, '\', '\\'), '###', '\h'), '<part/>', '\p'), '</turn>', '\t'), ': ', '\c')) AS head
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(body + CASE WHEN last_role IS DISTINCT FROM role THEN 4 + head + 2 + 8 ELSE 7 END)::BIGINT AS formatted_chars
+FROM coded GROUP BY conv_id
+"""
+
+
 @query
 def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 24 shards of equal counts, copies kept together as far as the counts allow."""
