@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slipwatch.llm import balanced_shards, chat_format, language_mix, piece_codec, secret_scan, source_mix, toxic_grammar
+from slipwatch.llm import balanced_shards, bit_search, chat_format, itq_links, language_mix, piece_codec, secret_scan, source_mix, toxic_grammar
 from slipwatch.llm.common import id_remainder
 
 # Columns of the tables that the queries use; a scan reads no others.
@@ -87,6 +87,13 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    index = bit_search.build_index(table(spark, sf_dir, "embeddings"))
+    return bit_search.nearest(index, F.col("vec_id") % 20 == 0)
+
+
 @query
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
@@ -131,6 +138,14 @@ FROM spent
 """
 
 
+@query
+def op5_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors of one label with a cosine of 0.93 or more."""
+    return itq_links.link_vectors(table(spark, sf_dir, "embeddings")).select(
+        "vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept")
+    )
+
+
 @query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from four of five folds of the labels."""
