@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slipwatch.llm import balanced_shards, bit_search, chat_format, itq_links, language_mix, piece_codec, secret_scan, source_mix, toxic_grammar
+from slipwatch.llm import (
+    balanced_shards,
+    bit_search,
+    chat_format,
+    count_tree,
+    itq_links,
+    language_mix,
+    piece_codec,
+    secret_scan,
+    source_mix,
+    toxic_grammar,
+)
 from slipwatch.llm.common import id_remainder
 
 # Columns of the tables that the queries use; a scan reads no others.
@@ -194,3 +205,9 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(spell(base), 256).alias("base_sha256"),
         spell(F.col("secrets")).alias("spans"),
     )
+
+
+@query
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose five-word shingles overlap by 80 % or more."""
+    return count_tree.link_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
