@@ -127,9 +127,11 @@ class Tables:
             lo, hi = np.searchsorted(keys, want, "left"), np.searchsorted(keys, want, "right")
             n = hi - lo
             row, lo, n = row[n > 0], lo[n > 0], n[n > 0]
+            if not len(n):
+                continue
             # Blocks of bounded size, so that one crowded bucket cannot fill the memory.
             ends = np.cumsum(n)
-            cuts = np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, 200_000))
+            cuts = np.searchsorted(ends, np.arange(0, ends[-1], 200_000))
             for s, e in zip(cuts, [*cuts[1:], len(n)], strict=True):
                 if s == e:
                     continue
