@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from slipwatch import schema as S
 from slipwatch.functions import coerce as C
+from slipwatch.operators.ranked import axis_cell
 from slipwatch.operators.skew import HOT_ROWS, join_attributes
 
 MODAL_FIELDS = ["sanction_date", "original_end_date", "original_cost"]
@@ -128,7 +129,7 @@ def one_per_month(dated: DataFrame) -> DataFrame:
         dated.groupBy(*keys)
         .agg(last)
         .select(*keys, *[F.col(f"_r.{c}") for c in rest])
-        .withColumn("axis", C.month_ordinal(F.col("report_month")))
+        .withColumn("axis", C.month_ordinal(F.col("report_month")).cast("bigint"))
     )
 
 
@@ -153,54 +154,47 @@ def ordering(name: str = "expenditure_progress") -> list[Column]:
 
 
 def sequence(snapshots: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """Adds `seq_index` (from 0) and `n_snapshots` per project."""
+    """Adds `seq_index` (from 0) and `n_snapshots` per project, for projects bounded by the calendar."""
     whole = Window.partitionBy("project_id")
     return snapshots.select(
         "*",
-        (F.row_number().over(whole.orderBy(*order)) - 1).alias("seq_index"),
-        F.count(F.lit(1)).over(whole).cast("int").alias("n_snapshots"),
+        (F.row_number().over(whole.orderBy(*order)) - 1).cast("bigint").alias("seq_index"),
+        F.count(F.lit(1)).over(whole).alias("n_snapshots"),
     )
 
 
-def sequence_ranged(snapshots: DataFrame, order: Sequence[Column], parts: int | None = None) -> DataFrame:
-    """`sequence` for projects too large for one task.
+def sequence_undated(snapshots: DataFrame, name: str = "expenditure_progress") -> DataFrame:
+    """`sequence` for projects of any size, under a named ordering.
 
-    Rows are range-partitioned on (project, order), so a large project spans many
-    partitions; its rows count on from the totals of the partitions before. Partition
-    numbers must not change between the two uses, hence the checkpoint.
+    A project's rows are cut into cells by a fixed rule on the leading order column (a
+    month of dates, or a slice of the number axis). Rows are ranked inside a cell and count
+    on from the totals of the cells before, so no task holds more than a cell.
     """
-    from slipwatch.session import cut_lineage
-
-    spark = snapshots.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut_lineage(
-        snapshots.repartitionByRange(parts, F.col("project_id"), *order).withColumn("_range", F.spark_partition_id())
-    )
-    sizes = ranged.groupBy("project_id", "_range").agg(F.count(F.lit(1)).alias("_n"))
-    by_range = Window.partitionBy("project_id").orderBy("_range")
-    offsets = sizes.select(
-        "project_id",
-        "_range",
-        F.coalesce(F.sum("_n").over(by_range.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.sum("_n").over(Window.partitionBy("project_id")).alias("n_snapshots"),
+    cells = _cell(name)
+    inside = Window.partitionBy("project_id", "_cell").orderBy(*ordering(name))
+    rows = snapshots.withColumn("_cell", cells)
+    by_cell = Window.partitionBy("project_id").orderBy("_cell")
+    starts = (
+        rows.groupBy("project_id", "_cell").agg(F.count(F.lit(1)).alias("_n"))
+        .select(
+            "project_id",
+            "_cell",
+            F.coalesce(F.sum("_n").over(by_cell.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+            F.sum("_n").over(Window.partitionBy("project_id")).alias("n_snapshots"),
+        )
     )
-    inside = Window.partitionBy("project_id", "_range").orderBy(*order)
     return (
-        ranged.withColumn("_row", F.row_number().over(inside))
-        .join(offsets, ["project_id", "_range"])
+        rows.withColumn("_row", F.row_number().over(inside))
+        .join(starts, ["project_id", "_cell"])
         .withColumn("seq_index", F.col("_before") + F.col("_row") - 1)
-        .drop("_range", "_row", "_before")
+        .select(*snapshots.columns, "seq_index", "n_snapshots")
     )
 
 
-def largest_group(df: DataFrame, key: str = "project_id") -> int:
-    """Rows of the largest key; decides between the plain and the ranged plan."""
-    return df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
-
-
-def has_long_undated(raw: DataFrame, cleaned: DataFrame, limit: int) -> bool:
-    """Does any project without months hold more than `limit` snapshots?
-
-    The raw record count is a cheap upper bound; only above it the exact one is taken.
-    """
-    return largest_group(raw) > limit and largest_group(cleaned.filter("not dated")) > limit
+def _cell(name: str) -> Column:
+    """A whole number that never falls along the named ordering; nulls come first, last when reversed."""
+    lead = {"progress_first": "physical_progress", "revised_date_first": "revised_date"}.get(name, "expenditure")
+    if lead == "revised_date":
+        return F.coalesce(F.floor(F.unix_date(F.col(lead)) / 30), F.lit(-(10**9))).cast("bigint")
+    cell = F.coalesce(axis_cell(F.col(lead).cast("double")), F.lit(-(2**62)))
+    return -cell if name == REVERSED else cell

@@ -12,7 +12,7 @@ from slipwatch.functions import coerce as C
 from slipwatch.functions.features import STALL, panel_features
 from slipwatch.operators import clean as K
 
-# A project with more snapshots than this is worked on in blocks.
+# Rows of an undated project that share a window; the plan is the same for every size.
 BLOCK_ROWS = 250_000
 LOOK_BACK = 3
 
@@ -24,7 +24,7 @@ def history(snapshots: DataFrame, horizons: Sequence[int] = S.HORIZONS, block_ro
     month is known). All windows share one partitioning and one order, so the plan has a
     single exchange and a single sort.
 
-    Dated projects are bounded by the calendar. For undated ones `block_rows` cuts a long
+    Dated projects are bounded by the calendar. For undated ones `block_rows` cuts every
     project into blocks that share a few border rows; the running stall count crosses a
     border through one carried number per block.
     """
@@ -77,7 +77,7 @@ def _confidence(share: Column) -> Column:
 
 def _with_borders(df: DataFrame, block_rows: int, look_ahead: int) -> DataFrame:
     """Each row in its block; the first rows also end the block before, the last also start the next."""
-    block = F.floor(F.col("seq_index") / block_rows).cast("int")
+    block = F.floor(F.col("seq_index") / block_rows)
     inside = F.pmod(F.col("seq_index"), F.lit(block_rows))
     copies = F.array_compact(
         F.array(
@@ -158,14 +158,12 @@ def order_snapshots(
     cleaned: DataFrame,
     order: str = "expenditure_progress",
     harvest: tuple[int, int] = S.HARVEST_MONTH,
-    long_undated: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(dated, undated) snapshots in order, each with axis, as_of and sequence numbers."""
     dated = K.one_per_month(cleaned.filter("dated"))
     dated = K.sequence(dated, [F.col("axis")]).withColumn("as_of", C.mid_month(F.col("axis")))
 
-    sequenced = K.sequence_ranged if long_undated else K.sequence
-    undated = sequenced(cleaned.filter("not dated"), K.ordering(order))
+    undated = K.sequence_undated(cleaned.filter("not dated"), order)
     stamp = stamp_months(harvest)
     undated = undated.select(
         "*", F.col("seq_index").alias("axis"), C.mid_month(stamp).alias("as_of")
@@ -190,13 +188,12 @@ def build_panel(
     """Raw records to the transition panel in full precision."""
     unique = K.dedupe(raw.filter(F.coalesce(F.col("project_id"), F.lit(0)) != 0))
     cleaned = K.clean(unique, K.project_attributes(raw, unique))
-    # The calendar bounds a dated project; an undated one may need ranges and blocks.
-    long_undated = K.has_long_undated(raw, cleaned, block_rows)
-    dated, undated = order_snapshots(cleaned, order, harvest, long_undated)
+    # The calendar bounds a dated project; an undated one is worked on in cells and blocks.
+    dated, undated = order_snapshots(cleaned, order, harvest)
     columns = dated.columns
     parts = [
         history(dated.filter(eligible()), horizons),
-        history(undated.select(columns).filter(eligible()), horizons, block_rows if long_undated else None),
+        history(undated.select(columns).filter(eligible()), horizons, block_rows),
     ]
     hist = parts[0].unionByName(parts[1])
     return bookkeeping(with_features(transitions(hist, horizons, slip_days)), min_confidence)

@@ -30,6 +30,11 @@ def _cells(score: Column) -> tuple[Column, Column]:
     )
 
 
+def axis_cell(number: Column) -> Column:
+    """The cell of a number; never falls with the number."""
+    return _cells(number)[0]
+
+
 def ranked(
     df: DataFrame,
     value: str,

@@ -154,9 +154,7 @@ def seq_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _undated(spark: SparkSession, sf_dir: str, order: str = "expenditure_progress") -> DataFrame:
-    raw, _, cleaned = _cleaned(spark, sf_dir)
-    sequenced = K.sequence_ranged if K.has_long_undated(raw, cleaned, P.BLOCK_ROWS) else K.sequence
-    return sequenced(cleaned.filter("not dated"), K.ordering(order))
+    return K.sequence_undated(_cleaned(spark, sf_dir)[2].filter("not dated"), order)
 
 
 @query(f"WITH {O.ORDERED} SELECT {cols('l:project_id', 'l:harvest_seq', 'l:seq_index=axis', 'l:n_snapshots=n')} FROM loose")
@@ -178,12 +176,10 @@ _ORDER_SQL = {
     for n, o in _ORDER_SQL.items()))
 def ordering_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole cleaned table under each ordering, as if no record had a month."""
-    raw, _, cleaned = _cleaned(spark, sf_dir)
-    cleaned = cleaned.select("project_id", "harvest_seq", "expenditure", "physical_progress", "revised_date")
-    sequenced = K.sequence_ranged if K.largest_group(raw) > P.BLOCK_ROWS else K.sequence
+    cleaned = _cleaned(spark, sf_dir)[2].select("project_id", "harvest_seq", "expenditure", "physical_progress", "revised_date")
     out = None
     for name in K.ORDERINGS:
-        part = sequenced(cleaned, K.ordering(name)).select(F.lit(name).alias("variant"), "project_id", "harvest_seq", "seq_index")
+        part = K.sequence_undated(cleaned, name).select(F.lit(name).alias("variant"), "project_id", "harvest_seq", "seq_index")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -200,9 +196,8 @@ def order_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _raw_history(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
-    long_undated = K.has_long_undated(raw, cleaned, P.BLOCK_ROWS)
-    dated, undated = P.order_snapshots(cleaned, long_undated=long_undated)
-    loose = P.history(undated.select(dated.columns), block_rows=P.BLOCK_ROWS if long_undated else None)
+    dated, undated = P.order_snapshots(cleaned)
+    loose = P.history(undated.select(dated.columns), block_rows=P.BLOCK_ROWS)
     return P.history(dated).unionByName(loose)
 
 

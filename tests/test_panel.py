@@ -131,19 +131,20 @@ def many_snapshots(spark, n=97):
 
 
 @pytest.mark.parametrize("order", K.ORDERINGS)
-def test_ranged_sequence_equals_the_plain_one(spark, order):
+def test_sequence_in_cells_equals_the_plain_one(spark, order):
     df = many_snapshots(spark)
     keys = ["project_id", "harvest_seq", "seq_index", "n_snapshots"]
     plain = K.sequence(df, K.ordering(order)).select(*keys)
-    ranged = K.sequence_ranged(df, K.ordering(order), parts=5).select(*keys)
-    assert sorted(plain.collect()) == sorted(ranged.collect())
+    cells = K.sequence_undated(df, order).select(*keys)
+    assert plain.dtypes == cells.dtypes
+    assert sorted(plain.collect()) == sorted(cells.collect())
 
 
 def test_history_in_blocks_equals_the_plain_one(spark):
     seq = K.sequence(many_snapshots(spark), K.ordering()).withColumn("axis", F.col("seq_index"))
     plain, blocks = P.history(seq), P.history(seq, block_rows=8)
     names = plain.columns
-    assert set(names) == set(blocks.columns)
+    assert {f.name: f.dataType for f in plain.schema} == {f.name: f.dataType for f in blocks.schema}
     # Before the third report the first value stands in; later it is not read.
     for df_names in [[c for c in names if c != "progress_first"]]:
         a = sorted(plain.select(*df_names).collect(), key=lambda r: (r.project_id, r.seq_index))
@@ -151,7 +152,25 @@ def test_history_in_blocks_equals_the_plain_one(spark):
         assert a == b
 
 
-def test_long_undated_projects_take_the_ranged_plan(spark):
+def test_undated_projects_have_one_plan_and_one_schema(spark):
+    def build(n):
+        return P.build_panel(raw(spark, [record(spend=str(i), progress=str(i % 40)) for i in range(n)]))
+
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup
+    before = set(jobs())
+    few, many = build(10), P.build_panel(
+        raw(spark, [record()]).drop("expenditure", "harvest_seq").crossJoin(
+            spark.range(300_000).select(F.col("id").cast("string").alias("expenditure"), F.col("id").alias("harvest_seq"))
+        ).select(*raw(spark, [record()]).columns)
+    )
+    assert set(jobs()) == before
+    assert few.dtypes == many.dtypes
+    dated = P.build_panel(raw(spark, [record(month="2025-01"), record(month="2025-02", spend="20")]))
+    assert dated.dtypes == few.dtypes
+    assert many.agg(F.max("seq_index")).first()[0] == 299_998
+
+
+def test_undated_projects_in_small_blocks(spark):
     rows = [record(spend=str(i * 3 % 50), progress=str(i % 40)) for i in range(50)] + [record(pid=2, month=f"2025-0{i}") for i in range(1, 9)]
     plain, long = panel(spark, rows), panel(spark, rows, block_rows=10)
     drop = {"progress_first"}
