@@ -97,10 +97,15 @@ def money(c: Column) -> Column:
 
 
 def cents(c: Column) -> Column:
-    """Whole cents: their sums are exact in any order, and cheaper than decimals."""
+    """Whole cents of amounts that are bounded per group: exact in any order, and cheaper than decimals."""
     return F.rint(c * 100.0).cast("bigint")
 
 
+def exact_cents(c: Column) -> Column:
+    """Whole cents as decimals, for totals over any number of rows; what no decimal holds is left out."""
+    return F.rint(c * 100.0).try_cast("decimal(28,0)")
+
+
 def from_cents(total: Column) -> Column:
     return total / 100.0
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Delay reasons and their patterns.
@@ -26,3 +26,13 @@ def text_tags(text: Column, ontology: dict[str, str] = DELAY_TAGS) -> dict[str,
         tag: F.coalesce(text.rlike(pattern), F.lit(False)).cast("int")
         for tag, pattern in ontology.items()
     }
+
+
+def tag_share(rows: DataFrame, text: str, delayed: Column, ontology: dict[str, str] = DELAY_TAGS) -> DataFrame:
+    """(tag, rows, share): how many of the delayed rows carry each tag; one pass."""
+    late = rows.filter(delayed)
+    counts = late.agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(t) for t, c in text_tags(F.col(text), ontology).items()])
+    pairs = F.array(*[F.struct(F.lit(t).alias("tag"), F.coalesce(F.col(t), F.lit(0)).alias("rows")) for t in ontology])
+    return counts.select("_n", F.explode(pairs).alias("x")).select(
+        "x.tag", "x.rows", F.coalesce(F.try_divide("x.rows", "_n"), F.lit(0.0)).alias("share")
+    )

@@ -12,6 +12,10 @@ from slipwatch.functions import rules as R
 from slipwatch.functions.features import form_features, form_indicators
 
 
+UNUSABLE = -1
+OWN = "_form_"
+
+
 class HeaderError(ValueError):
     """Neither a project id nor an original cost column was recognised."""
 
@@ -50,7 +54,8 @@ def type_form(df: DataFrame) -> DataFrame:
         else:
             value = C.to_number(F.col(field), None) if field in present else F.lit(None).cast("double")
             if field in S.FORM_INTS:
-                value = value.cast("int")
+                # A number beyond the type becomes one that no bound allows, so the row is quarantined.
+                value = F.when(value.isNotNull(), F.coalesce(value.try_cast("int"), F.lit(UNUSABLE)))
         if default is not None:
             value = F.coalesce(value, F.lit(default))
         out.append(value.alias(field))
@@ -69,6 +74,8 @@ def form_errors() -> Column:
         if high is not None:
             bad = bad | (c > high)
         checks.append(F.when(bad, f"{field}: out of range"))
+    for field in S.FORM_DOUBLES:
+        checks.append(F.when(F.abs(field) == float("inf"), f"{field}: not finite"))
     checks.append(F.when(F.trim("sector") == "", "sector: empty"))
     checks.append(F.when(~F.col("dispute_status").isin(S.DISPUTE_STATES), "dispute_status: unknown"))
     checks.append(
@@ -99,16 +106,31 @@ def feature_rows(forms: DataFrame, wanted: list[str] = S.FEATURES, medians: dict
 
     A feature the form cannot yield is filled with the training median and reported.
     """
+    columns, approximated = _form_columns(wanted, medians)
+    return forms.select("project_id", *columns, F.array(*[F.lit(f) for f in approximated]).alias("approximated"))
+
+
+def _form_columns(wanted: list[str], medians: dict[str, float] | None) -> tuple[list[Column], list[str]]:
     from slipwatch.functions.features import APPROXIMATED
 
-    known = form_features()
-    medians = medians or {}
-    unknown = [f for f in wanted if f not in known]
-    approximated = [f for f in wanted if f in APPROXIMATED or f in unknown]
-    columns = [
-        (known[f] if f in known else F.lit(float(medians.get(f, 0.0)))).alias(f) for f in wanted
-    ]
-    return forms.select("project_id", *columns, F.array(*[F.lit(f) for f in approximated]).alias("approximated"))
+    known, medians = form_features(), medians or {}
+    columns = [(known[f] if f in known else F.lit(float(medians.get(f, 0.0)))).alias(f) for f in wanted]
+    return columns, [f for f in wanted if f in APPROXIMATED or f not in known]
+
+
+def with_form_features(forms: DataFrame, wanted: list[str] = S.FEATURES, medians: dict[str, float] | None = None) -> DataFrame:
+    """Form rows with the wanted features beside their own columns, ready for a scorer.
+
+    A form column that shares a feature's name waits under another one.
+    """
+    columns, _ = _form_columns(wanted, medians)
+    own = [F.col(c).alias(OWN + c if c in wanted else c) for c in forms.columns]
+    return forms.select(*own, *columns)
+
+
+def without_form_features(scored: DataFrame, wanted: list[str] = S.FEATURES) -> DataFrame:
+    """Takes the features off again and gives the form columns their names back."""
+    return scored.select(*[F.col(c).alias(c.removeprefix(OWN)) for c in scored.columns if c not in wanted])
 
 
 def assess(forms: DataFrame, p: str = "p_model", base_rate: float = 0.5, weights: dict[str, float] | None = None) -> DataFrame:

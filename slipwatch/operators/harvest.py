@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SLICE = ["report_month", "harvest_sector_id"]
+MOST_SLICES = 100_000  # a few MB; 300 years of 27 sectors
 
 
 def slice_collapse(records: DataFrame) -> DataFrame:
@@ -20,8 +21,15 @@ def slice_collapse(records: DataFrame) -> DataFrame:
 
 
 def resume(records: DataFrame, done: DataFrame) -> DataFrame:
-    """Records of (month, sector) pairs that are not there yet."""
-    return records.join(done.select(*SLICE).distinct(), SLICE, "left_anti")
+    """Records of (month, sector) pairs that are not there yet.
+
+    The pairs are months times sectors, so they are counted and broadcast: a plain join
+    would send all records of a pair to one task. A list beyond MOST_SLICES is joined plainly.
+    """
+    pairs = done.select(*SLICE).distinct()
+    if pairs.limit(MOST_SLICES + 1).count() <= MOST_SLICES:
+        pairs = F.broadcast(pairs)
+    return records.join(pairs, SLICE, "left_anti")
 
 
 def month_spine(bounds: DataFrame) -> DataFrame:

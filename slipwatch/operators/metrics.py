@@ -16,6 +16,7 @@ THRESHOLDS = [round(0.05 * i, 2) for i in range(1, 20)]
 STRATA = [(2, 5), (6, 8), (9, 11), (12, 20)]
 COHORTS = {"already_overdue": None, "not_yet_overdue": 0.0, "runway_over_3_months": 3.0, "runway_over_6_months": 6.0}
 MIN_COHORT = 50
+SCORE_PARTS = 16
 
 
 def _d(name: str) -> Column:
@@ -87,8 +88,12 @@ def delong(df: DataFrame, label: str, first: str, second: str, keys: Sequence[st
     ).select(*keys, "_y", "_s1", "_s2", "_w", F.col("x.side").alias("_side"), F.col("x.s").alias("_s"))
     placed = placements(sides, "_y", "_s", [*keys, "_side"], "_w").select(*keys, "_side", "_s", "v10", "v01")
     value = F.when(F.col("_y") == 1, F.col("v10")).otherwise(F.col("v01"))
+    # A score with few values meets very many partners: the partner's hash splits it, and
+    # the placements, one row for each score, are repeated for every part.
+    part = F.pmod(F.xxhash64("_s1", "_s2", "_y"), F.lit(SCORE_PARTS)).cast("int")
+    placed = placed.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SCORE_PARTS - 1))))
     values = (
-        sides.join(placed, [*keys, "_side", "_s"])
+        sides.withColumn("_part", part).join(placed, [*keys, "_side", "_s", "_part"])
         .groupBy(*keys, "_y", "_s1", "_s2")
         .agg(
             F.max(_d("_w")).alias("w"),
@@ -134,13 +139,15 @@ def delong(df: DataFrame, label: str, first: str, second: str, keys: Sequence[st
     delta = F.col("auc_1") - F.col("auc_2")
     spread = F.col("var_1") + F.col("var_2") - 2.0 * F.col("cov_12")
     # Sums differ from zero in the last bits only when the placements are the same.
-    same = spread <= 1e-18
+    scale = F.col("var_1") + F.col("var_2")
+    same = spread <= scale * 1e-12
+    even = F.abs(delta) <= F.sqrt(scale) * 1e-9
     z = (
         F.when(~same, delta / F.sqrt(spread))
-        .when(F.abs(delta) < 1e-12, F.lit(0.0))
+        .when(even, F.lit(0.0))
         .otherwise(F.signum(delta) * F.lit(float("inf")))
     )
-    p = F.when(~same, two_sided_p(F.col("z"))).when(F.abs(delta) < 1e-12, 1.0).otherwise(0.0)
+    p = F.when(~same, two_sided_p(F.col("z"))).when(even, 1.0).otherwise(0.0)
     return out.select("*", delta.alias("auc_delta"), z.alias("z")).select("*", p.alias("p_value"))
 
 

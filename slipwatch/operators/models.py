@@ -22,9 +22,7 @@ from slipwatch.session import cut_lineage
 SEED = 20260917
 MIN_PANEL_ROWS = 200
 MIN_ISOTONIC_POSITIVES = 500
-# Isotonic fits see scores at this many decimals: at most 1,000,001 weighted points,
-# whatever the number of rows.
-CALIBRATION_DECIMALS = 6
+TREES = 400
 
 
 @dataclass
@@ -89,7 +87,7 @@ def fit_hazard(train: DataFrame, features: Sequence[str] = S.FEATURES, label: st
     return _fit(name, [scale, stage], train, features, label, F.lit(1.0), output="_hazard")
 
 
-def fit_gbt(train: DataFrame, features: Sequence[str] = S.FEATURES, label: str = "slip_next", name: str = "gbt", trees: int = 40) -> Scorer:
+def fit_gbt(train: DataFrame, features: Sequence[str] = S.FEATURES, label: str = "slip_next", name: str = "gbt", trees: int = TREES) -> Scorer:
     """Boosted trees with the positive class weighted by neg/pos."""
     n, pos = _class_counts(train, label)
     weight = F.when(F.col(label) == 1, (n - pos) / max(1.0, float(pos))).otherwise(1.0)
@@ -109,7 +107,7 @@ def _rule(name: str, score: Callable[[], Column]) -> Candidate:
     return Candidate(name, lambda train, features, label: lambda rows: rows.withColumn(name, score()))
 
 
-def candidates(trees: int = 40) -> list[Candidate]:
+def candidates(trees: int = TREES) -> list[Candidate]:
     """All compared models, from the constant prior to boosted trees."""
     return [
         Candidate("prior", lambda t, f, y: fit_prior(t, f, y)),
@@ -122,7 +120,7 @@ def candidates(trees: int = 40) -> list[Candidate]:
     ]
 
 
-def select_candidates(names: Sequence[str], trees: int = 40) -> list[Candidate]:
+def select_candidates(names: Sequence[str], trees: int = TREES) -> list[Candidate]:
     return [c for c in candidates(trees) if c.name in names]
 
 
@@ -167,6 +165,29 @@ def holdout(split: DataFrame, models: Sequence[Candidate], features: Sequence[st
     return score_with(test, [m.fit(train, features, label) for m in models])
 
 
+def ordering_auc(raw: DataFrame, model: Candidate | None = None, features: Sequence[str] = S.FEATURES, label: str = "slip_next", folds: int = 5) -> DataFrame:
+    """Cross-fitted AUC of a model on the panel rebuilt under each ordering of undated records.
+
+    The model is the proposed one unless given. Panels below MIN_PANEL_ROWS labelled rows
+    are left out. `raw` is read once per ordering, so it should be stored.
+    """
+    from slipwatch.operators import clean as K
+    from slipwatch.operators.panel import build_panel
+
+    model = model or select_candidates(["gbt"])[0]
+    out = None
+    for name in K.ORDERINGS:
+        panel = cut_lineage(build_panel(raw, order=name).filter("order_reliable = 1"))
+        if _class_counts(Sp.labelled(panel, label), label)[0] < MIN_PANEL_ROWS:
+            continue
+        scores = grouped_cv(panel, [model], features, label, folds)
+        part = M.auc(scores, label, model.name).select(F.lit(name).alias("ordering"), "auc", "positives", "negatives")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError(f"no ordering yields {MIN_PANEL_ROWS} labelled rows")
+    return out
+
+
 def compare(scores: DataFrame, names: Sequence[str], label: str = "slip_next") -> DataFrame:
     """Score report of several score columns, one row per model."""
     stacked = scores.select(
@@ -182,28 +203,35 @@ class Calibrator:
 
     method: str
     model: object
+    decimals: int | None = None
 
     def __call__(self, rows: DataFrame, score: str, name: str) -> DataFrame:
         before = rows.columns
         if self.method == "isotonic":
-            out = self.model.transform(rows.withColumn("_x", F.col(score)))
+            x = F.col(score) if self.decimals is None else F.round(F.col(score), self.decimals)
+            out = self.model.transform(rows.withColumn("_x", x))
             return out.select(*before, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("prediction"))).alias(name))
         ready = VectorAssembler(inputCols=[score], outputCol="_x").transform(rows)
         out = self.model.transform(ready)
         return out.select(*before, vector_to_array(F.col("probability"))[1].alias(name))
 
 
-def fit_calibrator(rows: DataFrame, score: str, label: str, method: str | None = None) -> Calibrator:
-    """Isotonic with at least 500 positives, else a sigmoid."""
+def fit_calibrator(rows: DataFrame, score: str, label: str, method: str | None = None, decimals: int | None = None) -> Calibrator:
+    """Isotonic with at least 500 positives, else a sigmoid.
+
+    Distinct scores travel with their counts. Their number bounds the driver's part of the
+    isotonic fit; `decimals` rounds the scores first where there are too many of them, and
+    then the calibrator sees rounded scores too.
+    """
     if method is None:
         _, pos = _class_counts(rows, label)
         method = "isotonic" if pos >= MIN_ISOTONIC_POSITIVES else "sigmoid"
     if method == "isotonic":
-        x = F.round(F.col(score), CALIBRATION_DECIMALS)
+        x = F.col(score) if decimals is None else F.round(F.col(score), decimals)
         points = rows.groupBy(x.alias("_x")).agg(
             F.avg(F.col(label).cast("double")).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w")
         )
-        return Calibrator(method, IsotonicRegression(featuresCol="_x", labelCol="_y", weightCol="_w").fit(points))
+        return Calibrator(method, IsotonicRegression(featuresCol="_x", labelCol="_y", weightCol="_w").fit(points), decimals)
     ready = VectorAssembler(inputCols=[score], outputCol="_x").transform(
         rows.withColumn("_y", F.col(label).cast("double"))
     )

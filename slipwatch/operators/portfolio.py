@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slipwatch import schema as S
-from slipwatch.functions.coerce import cents, from_cents
+from slipwatch.functions.coerce import exact_cents, from_cents
 
 
 def _rollup_columns() -> list[Column]:
     def total(name: str) -> Column:
-        return from_cents(F.sum(cents(F.col(name))))
+        return from_cents(F.sum(exact_cents(F.col(name))).cast("double"))
 
     tiers = [F.count_if(F.col("risk_tier") == t).alias(f"tier_{t.lower()}") for t in S.TIERS]
     sources = [F.count_if(F.col("dominant_source") == s).alias(f"source_{s.lower()}") for s in S.SOURCES]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from slipwatch import schema as S
 from slipwatch.operators.ranked import quantiles
+from slipwatch.operators.skew import join_attributes
 
 
 def assert_no_leakage(features: Sequence[str]) -> None:
@@ -31,8 +32,9 @@ def censor_counts(panel: DataFrame, labels: Sequence[str]) -> DataFrame:
 
 
 def fold(k: int = 5, key: str = "project_id") -> Column:
-    """Fold of a project by hash: stable on recomputation, one project in one fold."""
-    return F.pmod(F.xxhash64(key), F.lit(k)).cast("int")
+    """Fold of a project by a digest that other engines know too: stable, one project in one fold."""
+    digits = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 12), 16, 10).cast("bigint")
+    return F.pmod(digits, F.lit(k)).cast("int")
 
 
 def with_folds(df: DataFrame, k: int = 5) -> DataFrame:
@@ -50,10 +52,10 @@ def split_last(df: DataFrame) -> DataFrame:
     """`is_test` marks each project's last transition.
 
     The last position per project is found by a grouped maximum; only that one number per
-    project goes back to the rows.
+    project goes back to the rows, and projects with very many rows are split on the way.
     """
     last = df.groupBy("project_id").agg(F.max("seq_index").alias("_last"))
-    return df.join(last, "project_id").withColumn("is_test", (F.col("seq_index") == F.col("_last")).cast("int")).drop("_last")
+    return join_attributes(df, last, "project_id", "seq_index").withColumn("is_test", (F.col("seq_index") == F.col("_last")).cast("int")).drop("_last")
 
 
 def split_out_of_time(df: DataFrame, test_months: int = 3) -> DataFrame:

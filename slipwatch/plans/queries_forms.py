@@ -10,6 +10,8 @@ from slipwatch.functions import coerce as C
 from slipwatch.functions import exposure as X
 from slipwatch.functions import rules as R
 from slipwatch.functions.features import form_indicators
+from slipwatch.functions.text import DELAY_TAGS
+from slipwatch.functions.text import tag_share as share_of_tags
 from slipwatch.functions.text import text_tags as tags
 from slipwatch.operators import drivers as D
 from slipwatch.operators import forms as Fo
@@ -315,12 +317,16 @@ def text_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *[c.alias(t) for t, c in tags(F.col("text"), _ONTOLOGY).items()])
 
 
-@query(f"WITH t AS (SELECT source, {cols(*_TAG_SQL)} FROM documents) SELECT {cols('s:source', 'l:n=count(*)', 'd:share=avg(greatest(licence, contact, link))')} FROM t GROUP BY source")
+_DELAY_SQL = "[" + ", ".join(
+    f"{{'tag': '{t}', 'hit': regexp_matches(coalesce(delay_remarks, ''), '{p}')::INTEGER}}" for t, p in DELAY_TAGS.items()
+) + "]"
+
+
+@query(f"""WITH {O.FORM}, late AS (SELECT unnest({_DELAY_SQL}) AS x FROM form WHERE current_delay_months > 0)
+SELECT {cols('s:tag=x.tag', 'l:rows=sum(x.hit)', 'd:share=sum(x.hit) / count(*)')} FROM late GROUP BY 1""")
 def tag_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = I.table(spark, sf_dir, "documents")
-    found = tags(F.col("text"), _ONTOLOGY)
-    hit = F.greatest(found["licence"], found["contact"], found["link"])
-    return docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg(hit).alias("share"))
+    """Reasons of delay among the delayed reports."""
+    return share_of_tags(I.forms(spark, sf_dir), "delay_remarks", F.col("current_delay_months") > 0)
 
 
 @query(f"WITH {O.RULES} SELECT {cols('d:p_min=min(p_model)', 'd:p_max=max(p_model)', 'd:p_spread=max(p_model) - min(p_model)', 'l:tiers_populated=count(DISTINCT risk_tier)', 'd:p_median=quantile_cont(p_model, 0.5)', 'd:p_90=quantile_cont(p_model, 0.9)')} FROM assessed")

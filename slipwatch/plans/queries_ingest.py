@@ -63,16 +63,16 @@ def _bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {O.RAW}, b AS (SELECT min(l_shipdate) AS a, max(l_shipdate) AS z FROM lineitem),
-spine AS (SELECT strftime(unnest(generate_series(date_trunc('month', a)::TIMESTAMP, date_trunc('month', z)::TIMESTAMP, INTERVAL 1 MONTH)), '%Y-%m') AS report_month FROM b),
+spine AS (SELECT strftime(unnest(generate_series(date_trunc('year', a)::TIMESTAMP, (date_trunc('year', z) + INTERVAL 11 MONTH)::TIMESTAMP, INTERVAL 1 MONTH)), '%Y-%m') AS report_month FROM b),
 sectors AS (SELECT DISTINCT harvest_sector_id FROM raw),
-c AS (SELECT report_month, harvest_sector_id, count(*) AS n FROM raw WHERE axis_filter GROUP BY 1, 2)
-SELECT {cols('s:report_month', 's:harvest_sector_id', 'l:n=coalesce(n, 0)')} FROM spine CROSS JOIN sectors LEFT JOIN c USING (report_month, harvest_sector_id)""".replace("WHERE axis_filter", "WHERE substr(report_month, 6, 2) <> '02'"))
+c AS (SELECT report_month, harvest_sector_id, count(*) AS n FROM raw GROUP BY 1, 2)
+SELECT {cols('s:report_month', 's:harvest_sector_id', 'l:n=coalesce(n, 0)')} FROM spine CROSS JOIN sectors LEFT JOIN c USING (report_month, harvest_sector_id)""")
 def slice_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Months of February are not harvested here, so their rows are explicit zeros."""
+    """Whole calendar years; months in which a sector reports nothing are zero rows."""
+    years = _bounds(spark, sf_dir).select(F.trunc("first", "year").alias("first"), F.add_months(F.trunc("last", "year"), 11).alias("last"))
     raw = I.raw(spark, sf_dir).select("report_month", "harvest_sector_id")
     sectors = raw.select("harvest_sector_id").distinct()
-    harvested = raw.filter(F.substring("report_month", 6, 2) != "02")
-    return H.slice_counts(harvested, H.month_spine(_bounds(spark, sf_dir)), sectors)
+    return H.slice_counts(raw, H.month_spine(years), sectors)
 
 
 @query(f"WITH {O.RAW} SELECT {cols('l:n_records=count(*)', 'l:n_unique_projects=count(DISTINCT project_id)')} FROM raw")
@@ -263,17 +263,20 @@ def sector_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _latest_sql() -> str:
     n = lambda c: O.num(c, "0.0", commas=False)
     return f"""WITH {O.RAW},
-sp AS (SELECT *, {n('expenditure')} AS spend FROM raw WHERE project_id <> 0),
+sp AS (SELECT *, {n('expenditure')} AS spend,
+      CASE WHEN project_id % 3 = 0 THEN project_id % 30 END AS reported, CASE WHEN project_id % 2 = 0 THEN 'Tribunal order on forest land' END AS reason,
+      CASE project_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'Works Company ' || repeat('x', (project_id % 90)::INTEGER) END AS company,
+      CASE WHEN project_id % 8 < 4 THEN 'Ministry ' || (project_id % 8) END AS ministry FROM raw WHERE project_id <> 0),
 rk AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY spend DESC, harvest_seq DESC) AS r FROM sp),
 j AS (SELECT a.*, b.spend AS before_spend, b.physical_progress AS before_progress, b.r IS NOT NULL AS has_before
       FROM (SELECT * FROM rk WHERE r = 1) a LEFT JOIN (SELECT * FROM rk WHERE r = 2) b USING (project_id)),
 v AS (SELECT *, {n('original_cost')} AS cost, {n('revised_cost')} AS rev, least(greatest({n('physical_progress')}, 0.0), 100.0) AS prog,
       {n('before_progress')} AS bprog, {O.day('sanction_date')} AS sd, {O.day('original_end_date')} AS ed, {O.day('revised_date')} AS rd,
-      trim(coalesce(remarks, '')) AS rem FROM j),
+      trim(coalesce(nullif(remarks, ''), reason, '')) AS rem, trim(coalesce(nullif(company, ''), nullif(ministry, ''), 'CPSE')) AS agency FROM j),
 x AS (SELECT *, CASE WHEN spend > 20 * cost THEN spend / 100.0::DOUBLE ELSE spend END AS spent,
-      coalesce(greatest(0.0::DOUBLE, (rd - ed) / 30.44::DOUBLE), 0.0) AS delay FROM v WHERE cost > 0)
+      CASE WHEN reported > 0 THEN reported::DOUBLE ELSE coalesce(greatest(0.0::DOUBLE, (rd - ed) / 30.44::DOUBLE), 0.0) END AS delay FROM v WHERE cost > 0)
 SELECT {cols('l:project_id', "s:project_name=coalesce(nullif(trim(project_name), ''), 'Central Project ' || project_id)",
- 's:sector=' + O.sector_rules("coalesce(nullif(trim(sector_name), ''), 'Other')", True), "s:implementing_agency='CPSE'",
+ 's:sector=' + O.sector_rules("coalesce(nullif(trim(sector_name), ''), 'Other')", True), "s:implementing_agency=CASE WHEN length(agency) > 60 THEN substr(agency, 1, 57) || '...' ELSE agency END",
  'd:original_cost=round(cost, 2)', 'd:revised_cost=round(CASE WHEN rev > 0 THEN rev ELSE cost END, 2)', 'd:expenditure=round(spent, 2)',
  'd:expenditure_change_recent=round(CASE WHEN has_before THEN greatest(0.0::DOUBLE, spent - before_spend) ELSE 0.0 END, 2)',
  'd:physical_progress=round(prog, 2)', 'd:progress_change_recent=round(CASE WHEN has_before THEN least(greatest(prog - bprog, -5.0), 100.0) ELSE 0.0 END, 2)',
@@ -288,8 +291,14 @@ SELECT {cols('l:project_id', "s:project_name=coalesce(nullif(trim(project_name),
 @query(_latest_sql())
 def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = I.raw(spark, sf_dir)
-    missing = ["delayed_time", "revised_date_reason", "company_name", "line_ministry"]
-    wide = raw.select("*", *[F.lit(None).cast("string").alias(c) for c in missing])
+    pid, late = F.col("project_id"), F.pmod(F.col("project_id"), F.lit(30))
+    wide = raw.select(
+        "*",
+        F.when(F.pmod(pid, F.lit(3)) == 0, late.cast("string")).alias("delayed_time"),
+        F.when(F.pmod(pid, F.lit(2)) == 0, "Tribunal order on forest land").alias("revised_date_reason"),
+        F.when(F.pmod(pid, F.lit(4)) == 0, "").when(F.pmod(pid, F.lit(4)) == 1, F.concat(F.lit("Works Company "), F.repeat(F.lit("x"), F.pmod(pid, F.lit(90)).cast("int")))).alias("company_name"),
+        F.when(F.pmod(pid, F.lit(8)) < 4, F.concat(F.lit("Ministry "), F.pmod(pid, F.lit(8)).cast("string"))).alias("line_ministry"),
+    )
     return latest(wide, date(2026, 9, 15)).drop("state")
 
 

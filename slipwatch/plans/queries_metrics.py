@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,13 +50,26 @@ def _delong_sql(base: str) -> str:
   max(k) FILTER (y = 1) AS positives, max(k) FILTER (y = 0) AS negatives FROM {base}_m)"""
 
 
-_DELONG = ["d:auc_1", "d:auc_2", "d:var_1", "d:var_2", "d:cov_12", "l:positives", "l:negatives", "d:auc_delta=auc_1 - auc_2", "d:z=(auc_1 - auc_2) / sqrt(var_1 + var_2 - 2 * cov_12)"]
+def _two_sided_p(z: str) -> str:
+    """Normal tail in SQL: power series below 2, continued fraction above, both of fixed length."""
+    x = f"(abs({z}) / sqrt(2.0::DOUBLE))"
+    series, fraction = "1.0::DOUBLE", x
+    for n in range(40, 0, -1):
+        series = f"({series} * {x} * {x} * {2.0 / (2 * n + 1)!r}::DOUBLE + 1.0)"
+    for n in range(60, 0, -1):
+        fraction = f"({x} + {n / 2.0}::DOUBLE / {fraction})"
+    small = f"1.0 - {x} * {series} * exp(-{x} * {x}) * {2.0 / math.sqrt(math.pi)!r}::DOUBLE"
+    large = f"exp(-{x} * {x}) / ({fraction} * {math.sqrt(math.pi)!r}::DOUBLE)"
+    return f"CASE WHEN {x} < 2.0 THEN {small} ELSE {large} END"
+
+
+_Z = "((auc_1 - auc_2) / sqrt(var_1 + var_2 - 2 * cov_12))"
+_DELONG = ["d:auc_1", "d:auc_2", "d:var_1", "d:var_2", "d:cov_12", "l:positives", "l:negatives", "d:auc_delta=auc_1 - auc_2", f"d:z={_Z}", f"d:p_value={_two_sided_p(_Z)}"]
 
 
 @query(f"WITH {O.PANEL}, {_delong_sql('p_rules')} SELECT {cols(*_DELONG)} FROM p_rules_o")
 def delong(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All but the p-value, which SQL cannot express here (tests check it)."""
-    return M.delong(I.panel(spark, sf_dir), "slip_next", "p_deadline", "p_rules").drop("p_value")
+    return M.delong(I.panel(spark, sf_dir), "slip_next", "p_deadline", "p_rules")
 
 
 @query(f"WITH {O.PANEL}, {_delong_sql('p_rules')}, {_delong_sql('p_binary')} "
@@ -62,7 +77,7 @@ def delong(spark: SparkSession, sf_dir: str) -> DataFrame:
        + " UNION ALL SELECT 'p_flat', 'constant', " + ", ".join(f"NULL::{'BIGINT' if s.startswith('l') else 'DOUBLE'}" for s in _DELONG))
 def delong_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = I.panel(spark, sf_dir).withColumn("p_flat", F.lit(0.2))
-    return M.delong_all(rows, "slip_next", "p_deadline", ["p_rules", "p_binary", "p_flat"]).drop("p_value")
+    return M.delong_all(rows, "slip_next", "p_deadline", ["p_rules", "p_binary", "p_flat"])
 
 
 def _bins(p: str) -> str:

@@ -78,7 +78,8 @@ def censor_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Sp.censor_counts(I.transitions(spark, sf_dir), ["slip_next", "slip_within_3m", "slip_within_6m"])
 
 
-@query()
+@query(f"""WITH {O.TRANS}, f AS (SELECT project_id, ('0x' || substr(md5(project_id::VARCHAR), 1, 12))::BIGINT % 5 AS fold FROM trans)
+SELECT {cols('l:fold', 'l:rows=count(*)', 'l:projects=count(DISTINCT project_id)')} FROM f GROUP BY 1""")
 def fold_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Sp.fold_sizes(I.transitions(spark, sf_dir))
 

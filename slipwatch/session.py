@@ -31,7 +31,8 @@ def build_session(app: str = "slipwatch", master: str | None = None, **conf: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in `spark.checkpoint.dir`.
 
-    Only where the setting is absent (tests, a laptop) a fresh local folder is used.
+    Only where the setting is absent and everything runs in one process (tests, a laptop) a
+    fresh local folder is used; on a cluster the setting is required.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
@@ -41,6 +42,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if current is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="slipwatch-checkpoint-"))
     return context.getCheckpointDir()
 

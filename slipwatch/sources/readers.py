@@ -39,15 +39,19 @@ def prefer_dated(dated: DataFrame, undated: DataFrame) -> DataFrame:
 
 
 def read_form_csv(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, list[str]]:
-    """(typed form rows, ignored columns) of a CSV with free header spelling."""
-    text = spark.read.csv(path, header=True, inferSchema=False)
+    """(typed form rows, ignored columns) of a CSV with free header spelling.
+
+    All files of one call must have the same header; one with other columns, or in another
+    order, is an error and not read into the wrong columns.
+    """
+    text = spark.read.csv(path, header=True, inferSchema=False, enforceSchema=False)
     _, ignored = match_headers(text.columns)
     return type_form(rename_headers(text)), ignored
 
 
-def read_form_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Typed form rows from JSON records whose names are the form's own."""
-    text = spark.read.schema(", ".join(f"{f} string" for f in S.FORM_FIELDS)).json(path, multiLine=True)
+def read_form_json(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:
+    """Typed form rows from JSON records whose names are the form's own (JSON lines split across tasks)."""
+    text = spark.read.schema(", ".join(f"{f} string" for f in S.FORM_FIELDS)).json(path, multiLine=not lines)
     return type_form(text)
 
 

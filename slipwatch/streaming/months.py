@@ -1,7 +1,8 @@
 """Incremental month load with Structured Streaming.
 
 New files are collapsed within (month, sector, project) and appended for pairs that are
-not in the table yet. Every batch owns one folder of the table, so a batch that is run
+not in the table yet. Records that come later for a loaded pair are not lost: they are kept
+beside the table, where they can be counted and looked at. Every batch owns one folder of the table, so a batch that is run
 again after a failure replaces its own rows and nothing else.
 """
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from slipwatch.operators.harvest import resume, slice_collapse
+from slipwatch.operators.harvest import SLICE, resume, slice_collapse
 
 
 def month_stream(spark: SparkSession, source: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
@@ -33,15 +34,23 @@ def loaded(spark: SparkSession, target: str, schema: T.StructType) -> DataFrame:
         return spark.createDataFrame([], full)
 
 
-def load_months(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Runs over all files that are there and stops; start it again for the next month."""
+def load_months(stream: DataFrame, target: str, checkpoint: str, late: str | None = None) -> StreamingQuery:
+    """Runs over all files that are there and stops; start it again for the next month.
+
+    `late` is the folder for records of pairs that were loaded before (default: beside the table).
+    """
     schema = stream.schema
+    late = late or f"{target.rstrip('/')}_late"
     origin = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def append(batch: DataFrame, batch_id: int) -> None:
         load = f"{origin}-{batch_id}"
         done = loaded(batch.sparkSession, target, schema).filter(F.col("load") != load)
-        fresh = resume(slice_collapse(batch), done).select(*schema.names)
+        records = slice_collapse(batch)
+        fresh = resume(records, done).select(*schema.names)
+        # Only pairs of earlier loads count as done, so this does not depend on the write below.
+        behind = records.join(F.broadcast(done.select(*SLICE).distinct()), SLICE, "left_semi").select(*schema.names)
+        behind.write.mode("overwrite").parquet(f"{late}/load={load}")
         fresh.write.mode("overwrite").parquet(f"{target}/load={load}")
 
     return (

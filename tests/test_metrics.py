@@ -224,3 +224,13 @@ def test_ordering_stability(spark):
     df = spark.createDataFrame([("expenditure_progress", 0.8), ("progress_first", 0.79), ("reversed", 0.6)], "ordering string, auc double")
     got = Dg.ordering_stability(df).first()
     assert (got.stability, got.control) == ("stable", "passed")
+
+
+def test_delong_splits_a_score_of_few_values(spark):
+    rows = spark.range(4000).select(
+        F.pmod(F.xxhash64("id"), F.lit(2)).cast("int").alias("y"), F.pmod(F.col("id"), F.lit(2)).cast("double").alias("two"),
+        (F.pmod(F.xxhash64("id", F.lit(3)), F.lit(4000)) / 4000.0).alias("many"),
+    )
+    plan = M.delong(rows, "y", "many", "two")
+    assert plan.first()["positives"] + plan.first()["negatives"] == 4000
+    assert "_part" in plan._jdf.queryExecution().toString()

@@ -77,9 +77,22 @@ def test_calibration_lowers_the_error(rows, method, monkeypatch):
 
 def test_bad_calibrator_is_discarded(rows):
     perfect = rows.withColumn("p", F.col("slip_next").cast("double"))
-    _, shipped, report = Mo.cross_fit_calibration(perfect.withColumn("p", F.col("p") * 1.0), "p", folds=3)
-    assert report["ece_before"] == 0.0
-    assert report["kept"] == (report["ece_after"] <= 0.0) and (shipped is not None) == report["kept"]
+    _, shipped, report = Mo.cross_fit_calibration(perfect, "p", folds=3)
+    assert report["ece_before"] == 0.0 and report["kept"] == (shipped is not None)
+    # Held-out projects contradict the others, so what is learned makes their error worse.
+    odd = F.pmod(F.col("fold"), F.lit(2))
+    torn = Sp.with_folds(rows, 3).withColumn("p", F.lit(0.5) + F.col("a") * 0.0).withColumn("slip_next", odd.cast("int"))
+    half = torn.groupBy("slip_next").count().collect()
+    assert len(half) == 2
+    _, shipped, report = Mo.cross_fit_calibration(torn.drop("fold"), "p", folds=3)
+    assert report["ece_after"] > report["ece_before"] and not report["kept"] and shipped is None
+
+
+def test_calibrator_sees_scores_as_they_are(rows):
+    close = rows.withColumn("p", F.col("a") * 1e-8)
+    cal = Mo.fit_calibrator(close, "p", "slip_next", "isotonic")
+    assert cal(close, "p", "c").select("c").distinct().count() > 5
+    assert Mo.fit_calibrator(close, "p", "slip_next", "isotonic", decimals=6)(close, "p", "c").select("c").distinct().count() == 1
 
 
 def test_splits(rows):

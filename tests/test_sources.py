@@ -121,6 +121,8 @@ def test_month_load_resumes_and_keeps_quiet_months(spark, tmp_path):
     again.write.parquet(f"{source}/m2")
     load_months(stream, target, check).awaitTermination()
     load_months(stream, target, check).awaitTermination()
+    behind = loaded(spark, f"{target}_late", first.schema).collect()
+    assert [(r.report_month, r.project_id, r.v) for r in behind] == [("2025-01", 9, "late")]
     got = sorted((r.report_month, r.harvest_sector_id, r.project_id, r.v) for r in loaded(spark, target, first.schema).collect())
     assert got == [("2025-01", "1", 7, "a"), ("2025-01", "2", 8, "c"), ("2025-02", "1", 7, "a")]
 
@@ -134,3 +136,44 @@ def test_checkpoint_folder_comes_from_the_session(spark):
         from slipwatch.operators.splits import assert_no_leakage
 
         assert_no_leakage(["expenditure", "revised_date_next"])
+
+
+def test_a_cluster_must_name_its_checkpoint_folder():
+    from slipwatch.session import checkpoint_dir
+
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Session())
+
+
+def test_form_cells_beyond_their_type_are_quarantined(spark):
+    names = "project_id string, project_name string, original_cost string, expenditure string, physical_progress string, overdue_milestones string"
+    form = Fo.type_form(spark.createDataFrame(
+        [("A-01", "Bridge", "1e999", "10", "5", "1"), ("A-02", "Bridge", "100", "10", "5", "9999999999"), ("A-03", "Bridge", "100", "10", "5", "3")], names
+    ))
+    errors = {r.project_id: r.errors for r in Fo.validate(form).collect()}
+    assert errors == {"A-01": ["original_cost: not finite"], "A-02": ["overdue_milestones: out of range"], "A-03": []}
+
+
+def test_csv_files_with_other_headers_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Project ID,Sanctioned Cost,Expenditure\nA-01,100,10\n")
+    (tmp_path / "b.csv").write_text("Project ID,Expenditure,Sanctioned Cost\nA-02,10,100\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        Rd.read_form_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])[0].collect()
+
+
+def test_form_json_lines(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"project_id": "A-01", "original_cost": "5"}\n{"project_id": "A-02", "original_cost": "6"}\n')
+    rows = Rd.read_form_json(spark, str(tmp_path / "a.jsonl"), lines=True).orderBy("project_id").collect()
+    assert [(r.project_id, r.original_cost) for r in rows] == [("A-01", 5.0), ("A-02", 6.0)]
