@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+END_CELL = 1 << 40  # the cell of infinity, above all others
+
+
 def _cells(score: Column) -> tuple[Column, Column]:
     size = F.abs(score)
     exponent = F.floor(F.log2(size))
@@ -23,10 +26,11 @@ def _cells(score: Column) -> tuple[Column, Column]:
     sign = F.signum(score)
     cell = (exponent + 1100) * 4096 + F.floor(mantissa * 1024.0)
     subcell = F.floor(mantissa * 2147483648.0)
-    zero = score == 0.0
+    zero, endless = score == 0.0, size == float("inf")
+    odd = F.raise_error(F.lit("NaN has no rank: filter such scores out first")).cast("double")
     return (
-        F.when(zero, 0).otherwise(sign * cell).cast("long"),
-        F.when(zero, 0).otherwise(sign * subcell).cast("long"),
+        F.when(F.isnan(score), odd).when(zero, 0).when(endless, sign * END_CELL).otherwise(sign * cell).cast("long"),
+        F.when(zero | endless, 0).otherwise(sign * subcell).cast("long"),
     )
 
 

@@ -234,3 +234,26 @@ def test_delong_splits_a_score_of_few_values(spark):
     plan = M.delong(rows, "y", "many", "two")
     assert plan.first()["positives"] + plan.first()["negatives"] == 4000
     assert "_part" in plan._jdf.queryExecution().toString()
+
+
+def test_ranks_of_infinities_and_nan(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(x,) for x in (1.0, inf, -inf, 1e308, -1e-300, 0.0, inf)], "s double")
+    below = {r["s"]: r["n_below"] for r in ranked(df, "s", {"n": F.lit(1)}).collect()}
+    assert below == {-inf: 0, -1e-300: 1, 0.0: 2, 1.0: 3, 1e308: 4, inf: 5}
+    with pytest.raises(Exception, match="NaN has no rank"):
+        ranked(spark.createDataFrame([(float("nan"),)], "s double"), "s", {"n": F.lit(1)}).collect()
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 400, 401])
+def test_medians_in_two_passes(spark, n):
+    import statistics
+
+    from slipwatch.operators.splits import medians
+
+    r = random.Random(n)
+    rows = [(r.choice([0.0, 1.0, r.gauss(0, 5)]), None if i % 3 else r.random(), 7.0) for i in range(n)]
+    got = {x["feature"]: x["median"] for x in medians(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"]).collect()}
+    for k, name in enumerate("abc"):
+        values = [x[k] for x in rows if x[k] is not None]
+        assert got.get(name) == pytest.approx(statistics.median(values))
