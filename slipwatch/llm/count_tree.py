@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slipwatch.llm.common import components, saved
@@ -41,6 +41,7 @@ LEAF = 32
 BLOCK = 2048  # points of one frequent shingle's block; a tree holds two blocks
 EVERY = 32  # one document in so many tells which shingles are frequent
 FREQUENT = 4  # of the documents looked at, so many at least hold a frequent shingle
+FILTER_BITS = 1 << 23  # 1 MB; a power of two
 MOST_FREQUENT = 1 << 20  # frequent shingles at most, 16 MB on each worker; more keep their place in the order
 
 
@@ -77,7 +78,7 @@ class CountTree:
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> None:
         self.points, self.sizes, self.percent = points, sizes, percent
-        order = np.lexsort((points[:, int(points.var(0).argmax())], sizes))
+        order = np.lexsort((points[:, int(np.ptp(points, axis=0).argmax())], sizes)) if len(sizes) > LEAF else np.arange(len(sizes))
         groups = [order[i : i + LEAF] for i in range(0, len(order), LEAF)]
         self.boxes: list[tuple[np.ndarray, np.ndarray, np.ndarray, list]] = []
         corners = np.stack([points[g].max(0) for g in groups])
@@ -155,6 +156,30 @@ def open_pairs(tree: CountTree, ids: np.ndarray, roots: np.ndarray) -> tuple[np.
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
 
 
+def visit_trees(rows: pd.DataFrame, rooted: bool, percent: int) -> pd.DataFrame:
+    """Pairs of all trees in `rows`, which come in order of tree."""
+    tree, ids, sizes = (rows[c].to_numpy(np.int64) for c in ("tree", "rep", "n"))
+    points = np.frombuffer(b"".join(rows["counts"]), np.uint16).reshape(len(rows), GROUPS).astype(np.int32)
+    roots = rows["root"].to_numpy(np.int64) if rooted else None
+    starts = np.concatenate(([0], np.flatnonzero(tree[1:] != tree[:-1]) + 1, [len(tree)]))
+    count = np.diff(starts)
+    # Trees of two points are one comparison each, and are done together.
+    two = starts[:-1][count == 2]
+    bound = np.minimum(points[two], points[two + 1]).sum(1)
+    ok = (100 + percent) * bound >= percent * (sizes[two] + sizes[two + 1])
+    if rooted:
+        ok &= roots[two] != roots[two + 1]
+    two = two[ok]
+    out = [(ids[two], ids[two + 1], tree[two], np.zeros(len(two), bool))]
+    for k in np.flatnonzero(count > 2):
+        own = slice(starts[k], starts[k + 1])
+        made = CountTree(points[own], sizes[own], percent)
+        a, b = open_pairs(made, ids[own], roots[own]) if rooted else leader_pairs(made, ids[own])
+        out.append((a, b, np.full(len(a), tree[starts[k]]), np.ones(len(a), bool)))
+    a, b, t, again = (np.concatenate(x) for x in zip(*out, strict=True))
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "tree": t, "again": again})[a != b]
+
+
 def frequent_shingles(docs: DataFrame, every: int = EVERY) -> tuple[np.ndarray, np.ndarray]:
     """(shingles, blocks): sorted shingles that many documents hold, with the number of blocks each needs.
 
@@ -178,6 +203,30 @@ def frequent_shingles(docs: DataFrame, every: int = EVERY) -> tuple[np.ndarray,
     return s[order], -(-found["n"].to_numpy(np.int64)[order] * every // BLOCK)
 
 
+def maybe_in(doc_id: Column, ids: DataFrame) -> Column:
+    """Whether an id may be among `ids`: false only where it is not.
+
+    A bitmap of FILTER_BITS bits, whatever the number of ids: it is put together on the
+    cluster and reaches the driver as at most FILTER_BITS / 32 words.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    at = bit(ids.columns[0])
+    words = (
+        ids.select(F.shiftright(at, 5).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({ids.columns[0]}), 32) as int))").alias("b"))
+        .groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    )
+    bits = np.zeros(FILTER_BITS // 32, np.uint32)
+    bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).astype(np.uint32)
+    shared = ids.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def test(place: pd.Series) -> pd.Series:
+        x = place.to_numpy(np.int64)
+        return pd.Series((shared.value[x >> 5] >> (x & 31).astype(np.uint32) & 1).astype(bool))
+
+    return test(bit(doc_id))
+
+
 def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of `docs` (needs doc_id, text)."""
     spark = docs.sparkSession
@@ -191,12 +240,12 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             for t in part["text"]:
                 s = shingle_set(t)
                 own = set_id(s) if len(s) else 0
-                rows.append((own, len(s), dealt_keys(s, own & 0x7FFFFFFFFFFFFFFF, frequent, blocks, percent).view(np.int64) if len(s) else []))
-            out = pd.DataFrame(rows, columns=["cid", "n", "keys"])
+                rows.append((own, len(s), point(s).tobytes(), dealt_keys(s, own & 0x7FFFFFFFFFFFFFFF, frequent, blocks, percent).view(np.int64) if len(s) else []))
+            out = pd.DataFrame(rows, columns=["cid", "n", "counts", "keys"])
             out.insert(0, "doc_id", part["doc_id"].array)
             yield out
 
-    described = saved(docs.mapInPandas(describe, "doc_id long, cid long, n long, keys array<long>"), "shingles")
+    described = saved(docs.mapInPandas(describe, "doc_id long, cid long, n long, counts binary, keys array<long>"), "shingles")
     classes = described.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep")).filter("rep is not null")
 
     # Trees with at least two classes, as lists of class numbers.
@@ -246,49 +295,31 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
     members = saved(lists.select("tree", F.explode("members").alias("cid")), "trees")
 
-    # Shingles and points of the classes in trees, from one document each.
+    # The point of each class in a tree, from the document that names the class.
     wanted = members.select("cid").distinct().join(classes, "cid")
-
-    def sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            found = [shingle_set(t) for t in part["text"]]
-            yield pd.DataFrame(
-                {
-                    "cid": [set_id(s) for s in found], "rep": part["doc_id"].array, "n": [len(s) for s in found],
-                    "counts": [point(s).tobytes() for s in found], "shingles": [s.tobytes() for s in found],
-                }
-            )
-
-    made = (
-        docs.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-        .mapInPandas(sets, "cid long, rep long, n long, counts binary, shingles binary")
+    points = saved(
+        described.filter("n > 0").select("cid", "doc_id", "n", "counts")
+        .join(wanted, "cid").filter("doc_id = rep").select("cid", "rep", "n", "counts").dropDuplicates(["cid"]),
+        "points",
     )
-    # An id may stand on several rows with different texts.
-    made = saved(made.join(wanted.withColumnRenamed("rep", "_rep"), "cid").filter("rep = _rep").drop("_rep").dropDuplicates(["cid"]), "sets")
-    points, bodies = made.select("cid", "rep", "n", "counts"), made.select("rep", "shingles")
 
     def pairs_of(rows: DataFrame, rooted: bool) -> DataFrame:
-        def visit(part: pd.DataFrame) -> pd.DataFrame:
-            sizes = part["n"].to_numpy(np.int64)
-            counts = np.frombuffer(b"".join(part["counts"]), np.int32).reshape(len(part), GROUPS)
-            tree, ids = CountTree(counts, sizes, percent), part["rep"].to_numpy(np.int64)
-            a, b = open_pairs(tree, ids, part["root"].to_numpy(np.int64)) if rooted else leader_pairs(tree, ids)
-            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        """(a, b, tree, again): pairs that may link; `again` where the tree holds more that were not looked at."""
 
         def visit_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held: list[pd.DataFrame] = []
             for part in batches:
-                starts = np.flatnonzero(part["tree"].to_numpy()[1:] != part["tree"].to_numpy()[:-1]) + 1
-                for piece in np.split(np.arange(len(part)), starts):
-                    own = part.iloc[piece]
-                    if held and held[0]["tree"].iloc[0] != own["tree"].iloc[0]:
-                        yield visit(pd.concat(held))
-                        held = []
-                    held.append(own)
+                tree = part["tree"].to_numpy()
+                cut = int(np.searchsorted(tree, tree[-1])) if len(tree) else 0
+                # The last tree may go on in the next batch.
+                if cut or (held and held[0]["tree"].iloc[0] != tree[-1]):
+                    yield visit_trees(pd.concat([*held, part.iloc[:cut]]), rooted, percent)
+                    held = []
+                held.append(part.iloc[cut:])
             if held:
-                yield visit(pd.concat(held))
+                yield visit_trees(pd.concat(held), rooted, percent)
 
-        return rows.repartition(width, "tree").sortWithinPartitions("tree").mapInPandas(visit_all, "a long, b long").filter("a <> b").distinct()
+        return rows.repartition(width, "tree").sortWithinPartitions("tree").mapInPandas(visit_all, "a long, b long, tree long, again boolean")
 
     def verified(pairs: DataFrame) -> DataFrame:
         @F.pandas_udf("boolean")
@@ -300,22 +331,43 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 out.append(100 * both >= percent * (len(s) + len(t) - both))
             return pd.Series(out, dtype=bool)
 
+        bodies = sets_of(pairs)
         left = bodies.select(F.col("rep").alias("a"), F.col("shingles").alias("_x"))
         right = bodies.select(F.col("rep").alias("b"), F.col("shingles").alias("_y"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", link("_x", "_y").alias("linked"))
 
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """The shingles of every document in `pairs`; only texts that may be among them are shuffled."""
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(points.select("rep", "cid"), "rep")
+
+        def make(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                found = [shingle_set(t) for t in part["text"]]
+                out = pd.DataFrame({"rep": part["doc_id"].array, "shingles": [s.tobytes() for s in found]})
+                # An id may stand on several rows with different texts.
+                yield out[[set_id(s) == c for s, c in zip(found, part["cid"], strict=True)]]
+
+        once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("cid")
+        few = docs.filter(maybe_in(F.col("doc_id"), ids.select("rep")))
+        rows = few.join(ids.withColumnRenamed("rep", "doc_id"), "doc_id").withColumn("_row", F.row_number().over(once))
+        return saved(rows.filter("_row = 1").select("doc_id", "cid", "text").mapInPandas(make, "rep long, shingles binary"), "sets")
+
     rows = members.join(points, "cid").select("tree", "rep", "n", "counts")
-    first = saved(verified(pairs_of(rows, False)), "pairs")
-    roots = components(first.filter("linked"))
+    near = saved(pairs_of(rows, False), "pairs")
+    first = saved(verified(near.select("a", "b").distinct()), "pairs")
+    roots = saved(components(first.filter("linked")), "links")
     rooted = (
         members.join(points.select("cid", "rep"), "cid").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
         .select("tree", "cid", "rep", F.coalesce("root", "rep").alias("root"))
     )
     mixed = rooted.groupBy("tree").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("tree")
-    rooted = rooted.join(mixed, "tree").join(points.select("cid", "n", "counts"), "cid").select("tree", "rep", "n", "counts", "root")
-    second = pairs_of(rooted, True).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = saved(verified(second), "pairs")
-    roots = components(first.filter("linked").unionByName(second.filter("linked")).select("a", "b"))
+    open_trees = near.filter("again").select("tree").distinct().join(mixed, "tree")
+    rooted = rooted.join(open_trees, "tree").join(points.select("cid", "n", "counts"), "cid").select("tree", "rep", "n", "counts", "root")
+    second = pairs_of(rooted, True).select("a", "b").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
+    second = saved(verified(saved(second, "pairs")), "pairs")
+    # The components of the first round go on as stars.
+    stars = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
+    roots = components(stars.unionByName(second.filter("linked").select("a", "b")))
     named = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("cid", F.coalesce("root", "rep").alias("component_id"))
     return (
         described.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cid")).alias("cid"))

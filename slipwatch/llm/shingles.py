@@ -61,8 +61,11 @@ def shingle_set(text: str | None) -> np.ndarray:
 
 
 def point(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    """How many shingles fall into each group."""
-    return np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
+    """How many shingles fall into each group; a text for which 16 bits are too few is refused."""
+    counts = np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    if counts.max(initial=0) > 0xFFFF:
+        raise ValueError("a text of more than about 16 million shingles")
+    return counts.astype(np.uint16)
 
 
 def set_id(shingles: np.ndarray) -> int:
