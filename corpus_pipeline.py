@@ -15,14 +15,13 @@ from slipwatch.llm.common import saved
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-LEAST_SHARE = 0.4  # a text in which no language reaches this share is rejected
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps texts with a language; a missing label is filled with the prediction."""
+    """Rejects texts without a language (null, or no letter); a missing label is filled with the prediction."""
     model = language_mix.learn_languages(docs)
     found = language_mix.identify(docs.select(*COLUMNS), model)
-    kept = found.filter((F.col("lang_pred") != language_mix.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
+    kept = found.filter(F.col("lang_pred") != language_mix.UNKNOWN)
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
