@@ -48,13 +48,18 @@ def calibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def score_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A model fitted on the panel scores all form rows in place, which are then assessed."""
-    from slipwatch.operators import forms as Fo
-
-    scorer = Mo.fit_logit(cut_lineage(I.panel(spark, sf_dir).select(*S.FEATURES, "slip_next")))
-    forms = Fo.with_form_features(I.forms(spark, sf_dir).drop("p_model"))
-    scored = Fo.without_form_features(scorer(forms).withColumnRenamed("logit", "p_model"))
-    return Fo.slim(Fo.assess(scored)).select("project_id", "report_month", "p_model", "gov_score", "risk_tier", "capital_at_risk")
+    """A calibrated model with its threshold, fitted on the panel, scores and assesses all form rows in place."""
+    from slipwatch.operators import serving as Sv
+
+    panel = cut_lineage(I.panel(spark, sf_dir).select("project_id", *S.FEATURES, "slip_next"))
+    served = Sv.fit_horizon(panel, 1, "slip_next", Mo.select_candidates(["logit"])[0])
+    terms = Mo.linear_terms(served.scorer, S.FEATURES)
+    means = panel.agg(*[F.avg(f).alias(f) for f in S.FEATURES]).first().asDict()
+    rows = Sv.assess_forms(I.forms(spark, sf_dir).drop("p_model"), [served], terms, {k: v or 0.0 for k, v in means.items()})
+    return rows.select(
+        "project_id", "report_month", "p_model", "model_score", "decision_1m", "gov_score", "risk_tier", "capital_at_risk",
+        F.get("drivers", 0)["feature_name"].alias("first_driver"),
+    )
 
 
 @query()

@@ -124,3 +124,22 @@ def deadline_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {O.PANEL} SELECT {cols(*_KEY, 'd:rulefloor=p_rules')} FROM panel")
 def rule_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.panel(spark, sf_dir).select("project_id", "seq_index", F.col("p_rules").alias("rulefloor"))
+
+
+_SERVED = ["d:p_1m", "d:p_3m", "d:p_6m", "l:lifted_3m=(p_3m > r3 + 1e-9)::INTEGER", "l:lifted_6m=(p_6m > r6 + 1e-9)::INTEGER", *[f"l:decision_{k}m=(p_{k}m >= 0.3)::INTEGER" for k in (1, 3, 6)]]
+
+
+@query(f"""WITH {O.PANEL}, r AS (SELECT p_binary > 0 AS on_, avg(slip_next) AS r1, avg(slip_within_3m) AS r3, avg(slip_within_6m) AS r6 FROM panel GROUP BY 1),
+s AS (SELECT project_id, seq_index, r3, r6, r1 AS p_1m, greatest(r1, r3) AS p_3m, greatest(r1, r3, r6) AS p_6m FROM panel JOIN r ON on_ = (p_binary > 0))
+SELECT {cols(*_KEY, *_SERVED)} FROM s""")
+def score_horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three horizons served together; the models are saturated, so SQL can state their probabilities."""
+    from slipwatch.operators import serving as Sv
+
+    panel = I.panel(spark, sf_dir)
+    model = Sv.group_rates("p_binary")
+    labels = {1: "slip_next", 3: "slip_within_3m", 6: "slip_within_6m"}
+    served = [Sv.Horizon(k, model.fit(Sp.labelled(panel, y), (), y), model.name) for k, y in labels.items()]
+    return Sv.score_horizons(panel, served).select(
+        "project_id", "seq_index", "p_1m", "p_3m", "p_6m", "lifted_3m", "lifted_6m", "decision_1m", "decision_3m", "decision_6m"
+    )

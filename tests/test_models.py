@@ -119,3 +119,17 @@ def test_horizon_evaluation(rows):
     assert small == {"status": "insufficient_rows", "rows_available": 150}
     gbt = Mo.fit_gbt(rows, FEATURES, "slip_next", trees=3)
     assert Mo.importances(gbt, FEATURES)[0][0] == "a"
+
+
+def test_horizons_are_served_together(rows):
+    from slipwatch.operators import serving as Sv
+
+    logit = Mo.select_candidates(["logit"])[0]
+    one = Sv.fit_horizon(rows, 1, "slip_next", logit, FEATURES, folds=2)
+    assert 0.05 <= one.threshold <= 0.95 and one.report["method"] in ("isotonic", "sigmoid")
+    flat = Sv.Horizon(3, lambda df: df.withColumn("low", F.lit(0.2)), "low", None, 0.5)
+    out = Sv.score_horizons(rows.drop("b").withColumn("b", F.lit(None).cast("double")), [one, flat])
+    assert out.filter("p_3m < p_1m or p_3m < 0.2").count() == 0
+    assert out.filter("lifted_3m <> cast(p_1m > 0.2 + 1e-9 as int)").count() == 0
+    assert out.filter("decision_3m <> cast(p_3m >= 0.5 as int)").count() == 0
+    assert not [c for c in out.columns if c.startswith("_own") or c in ("logit", "low")]
