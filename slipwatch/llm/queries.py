@@ -109,7 +109,7 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return source_mix.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return source_mix.mix_sources(docs, keep_text=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLE["op4_mix"] = r"""
@@ -157,6 +157,26 @@ def op5_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_REACH = """both_ways AS (SELECT x AS a, y AS b FROM links UNION ALL SELECT y, x FROM links),
+reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+roots AS (SELECT a AS id, min(least(a, b)) AS root FROM reach GROUP BY a)"""
+
+ORACLE["op5_vector_links"] = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+), links AS (
+  SELECT p.vec_id AS x, q.vec_id AS y FROM v p JOIN v q ON p.label = q.label AND p.vec_id < q.vec_id AND len(p.e) = len(q.e)
+  WHERE list_cosine_similarity(p.e, q.e) >= 0.93
+), {_REACH},
+n AS (SELECT a AS id, count(*) AS n FROM both_ways GROUP BY a)
+SELECT d.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(d.vec_id, coalesce(root, d.vec_id)) AS component_id,
+       d.vec_id = least(d.vec_id, coalesce(root, d.vec_id)) AS kept
+FROM (SELECT DISTINCT vec_id FROM embeddings WHERE vec_id IS NOT NULL) d LEFT JOIN n ON n.id = d.vec_id LEFT JOIN roots ON roots.id = d.vec_id
+"""
+
+
 @query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from four of five folds of the labels."""
@@ -211,3 +231,21 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose five-word shingles overlap by 80 % or more."""
     return count_tree.link_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLE["op10_jaccard"] = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), sh AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+         WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] END)) AS s FROM w
+), n AS (
+  SELECT doc_id, count(*) AS k FROM sh GROUP BY 1
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM shared JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.k + q.k - c)
+), {_REACH}
+SELECT d.doc_id, coalesce(k, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(root, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN roots ON roots.id = d.doc_id
+"""

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slipwatch.llm.common import BLANKS, WORD, running_total
+from slipwatch.llm.common import BLANKS, WORD, running_total, saved
 
 # Weights of the sources in code point order, repeating; share of all words; most epochs.
 WEIGHTS = (3, 1, 2)
@@ -76,10 +76,14 @@ def source_targets(
 
 
 def mix_sources(
-    docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: float = MOST, cells: int = CELLS
+    docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: float = MOST, cells: int = CELLS,
+    keep_text: bool = True,
 ) -> DataFrame:
     """Adds size, source_size, target and taken (words the mix takes, repeats counted) to `docs`.
 
+    Without `keep_text` the text goes, and the narrow rows are written once, so that each
+    text is read a single time.
+
     Needs doc_id, text and source; other columns stay (same names as the added ones are
     replaced). One source may hold any share of the rows: prefix sums go over cells of the
     key range, so no task gets more than a cell of a source.
@@ -88,10 +92,16 @@ def mix_sources(
     rest = [c for c in docs.columns if c not in (*added, "source")]
     sized = docs.select(*[F.col(f"`{c}`") for c in rest], "source", word_count(F.col("text")).alias("size"))
     keyed = sized.withColumn("_key", -F.log(uniform(F.col("doc_id"))) / quality_weight(F.col("text"), F.col("size")))
+    keyed = keyed.withColumn("_src", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
     keyed = keyed.withColumn("_cell", F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * cells).cast("int"))
-    totals = docs.select("source", word_count(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
+    if keep_text:
+        sizes = docs.select("source", word_count(F.col("text")).alias("size"))
+    else:
+        rest = [c for c in rest if c != "text"]
+        sizes = keyed = saved(keyed.drop("text"), "mix")
+    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(totals, weights, share, most).select(F.col("source").alias("_source"), "source_size", "target")
-    placed = running_total(keyed, ["source"], "_cell", [F.col("_key"), F.col("doc_id"), F.col("size")], "size", "_before")
+    placed = running_total(keyed, ["_src"], "_cell", [F.col("_key"), F.col("doc_id"), F.col("size")], "size", "_before")
     epochs = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)).cast("double")).cast("long")
     budget = F.round(F.col("target") - epochs * F.col("source_size")).cast("long")
     part = F.greatest(F.lit(0), F.least(F.col("size"), budget - F.col("_before")))
