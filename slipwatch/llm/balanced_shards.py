@@ -17,11 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slipwatch.llm.common import running_total, saved
+from slipwatch.llm.common import finished, running_total, saved
 
 ROUNDS = 4
 CELLS = 512
-PIECE = 50_000  # rows of one value that share a window
 
 
 def _exact_sizes(rows: int, shards: int) -> list[int]:
@@ -126,10 +125,15 @@ def shard_documents(docs: DataFrame, link: Column, order: Column, shards: int =
     one value apart. `docs` should hold narrow columns: its rows are written once and
     shuffled by value in pieces of bounded size, so one value may hold any share of them.
     """
+    return finished(docs.sparkSession, lambda: _place(docs, link, order, shards, rounds), "sharded")
+
+
+def _place(docs: DataFrame, link: Column, order: Column, shards: int, rounds: int) -> DataFrame:
     unlinked = F.xxhash64(order, F.lit("alone")).cast("string")
     base = docs.withColumn("_link", F.coalesce(link, F.concat(F.lit("-"), unlinked)))
     rows = docs.count()
-    pieces = max(1, rows // PIECE)
+    # A value with all rows falls into as many pieces as a piece has rows.
+    pieces = max(1, int(rows**0.5))
     base = saved(base.withColumn("_piece", F.pmod(F.xxhash64(order), F.lit(pieces)).cast("int")).withColumn("_order", order), "shards")
     sizes = _exact_sizes(rows, shards)
     counts = saved(base.groupBy("_link", "_piece").agg(F.count(F.lit(1)).alias("_c")), "shards")
