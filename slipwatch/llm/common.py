@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slipwatch.session import checkpoint_dir
@@ -15,16 +15,37 @@ BLANKS = r"\x20\x09-\x0D"
 WORD = f"[^{BLANKS}]+"
 
 
+_written: list[list[str]] = []  # tables written by the operators that are under way, innermost last
+
+
 def saved(df: DataFrame, kind: str = "step") -> DataFrame:
     """Write `df` as Parquet to the shared folder of `spark.checkpoint.dir` and read it back.
 
     Unlike checkpoint() the columns stay prunable, so a later use reads only what it needs.
     """
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/slipwatch-{kind}-{uuid.uuid4().hex}"
+    if _written:
+        _written[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def finished(spark: SparkSession, build: Callable[[], DataFrame], kind: str) -> DataFrame:
+    """The result of `build`, written; the tables that `build` wrote on its way are removed."""
+    _written.append([])
+    try:
+        result = build()
+        steps = _written.pop()
+    except BaseException:
+        _written.pop()
+        raise
+    result = saved(result, kind)
+    for step in steps:
+        path = spark._jvm.org.apache.hadoop.fs.Path(step)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return result
+
+
 def id_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
@@ -48,20 +69,19 @@ def running_total(
 
     `cell` is a coarse position, non-decreasing in the wanted order. The cells are summed
     first and only their sums meet in one window per key, so one key may hold any share of
-    the rows: the second window sees a single cell.
+    the rows: the second window sees a single cell. Keys are not null; the join then keeps
+    the window's partitioning, so the rows are shuffled once.
     """
     keys = list(keys)
     sums = rows.groupBy(*keys, cell).agg(F.sum(weight).alias("_cell_sum"))
     before = Window.partitionBy(*keys).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(*keys, cell, F.coalesce(F.sum("_cell_sum").over(before), F.lit(0)).alias("_cell_start"))
     inside = Window.partitionBy(*keys, cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    renamed = starts.select(*[F.col(k).alias(f"_s_{k}") for k in [*keys, cell]], "_cell_start")
-    same = [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in [*keys, cell]]
     return (
         rows.withColumn("_inside", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-        .join(renamed, same)
+        .join(starts, [*keys, cell])
         .withColumn(out, F.col("_inside") + F.col("_cell_start"))
-        .drop("_inside", "_cell_start", *[f"_s_{k}" for k in [*keys, cell]])
+        .drop("_inside", "_cell_start")
     )
 
 
@@ -71,6 +91,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     Alternates large-star and small-star steps; the edges stay on the cluster, each round
     is written to the shared folder and only a count and a checksum reach the driver.
     """
+    return finished(links.sparkSession, lambda: _components(links, a, b, max_rounds), "components")
+
+
+def _components(links: DataFrame, a: str, b: str, max_rounds: int) -> DataFrame:
     edges = saved(
         links.filter(F.col(a) != F.col(b))
         .select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u"))

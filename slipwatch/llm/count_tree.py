@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slipwatch.llm.common import components, saved
+from slipwatch.llm.common import components, finished, saved
 from slipwatch.llm.shingles import GROUPS, mix, point, set_id, shingle_set
 
 PERCENT = 80
@@ -229,8 +229,12 @@ def maybe_in(doc_id: Column, ids: DataFrame) -> Column:
 
 def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of `docs` (needs doc_id, text)."""
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
+    return finished(docs.sparkSession, lambda: _link(docs, percent), "jaccard")
+
+
+def _link(docs: DataFrame, percent: int) -> DataFrame:
+    spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(frequent_shingles(docs))
 
     def describe(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -355,7 +359,7 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = members.join(points, "cid").select("tree", "rep", "n", "counts")
     near = saved(pairs_of(rows, False), "pairs")
     first = saved(verified(near.select("a", "b").distinct()), "pairs")
-    roots = saved(components(first.filter("linked")), "links")
+    roots = components(first.filter("linked"))
     rooted = (
         members.join(points.select("cid", "rep"), "cid").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
         .select("tree", "cid", "rep", F.coalesce("root", "rep").alias("root"))

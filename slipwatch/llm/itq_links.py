@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slipwatch.llm.common import components, finite_vector, saved
+from slipwatch.llm.common import components, finished, finite_vector, saved
 
 SAMPLE = 8192  # vectors that the rotation is learned on, the first by a hash of the id
 ROUNDS = 40
@@ -169,6 +169,10 @@ def _lowest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def link_vectors(rows: DataFrame, least: float = 0.93, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id) for every row with an id of `rows`."""
+    return finished(rows.sparkSession, lambda: _link(rows, least, vec_id, vector, label), "vector-links")
+
+
+def _link(rows: DataFrame, least: float, vec_id: str, vector: str, label: str) -> DataFrame:
     spark = rows.sparkSession
     given = rows.select(F.col(vec_id).alias("vec_id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
     able = F.col("label").isNotNull() & finite_vector(F.col("v"))
