@@ -14,6 +14,7 @@ from slipwatch.llm import count_tree, language_mix, piece_codec, secret_scan, so
 from slipwatch.llm.common import saved
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+BATCH_ROWS, REMEMBER = 1000, 100_000
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
@@ -48,14 +49,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit), their count and digests of ids and decoded text."""
+    # Ids of long texts are large, and workers go on to other jobs: small batches, a small memory of chunks.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = piece_codec.decode_pieces(piece_codec.encode_pieces(docs.select(*COLUMNS), model), model)
-    return coded.select(
-        "doc_id", "lang", "source",
-        (F.octet_length("piece_ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("piece_ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-        "piece_ids",
+    return piece_codec.round_trip(docs.select(*COLUMNS), model, keep_ids=True, remember=REMEMBER).select(
+        "doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256", "piece_ids"
     )
 
 

@@ -30,15 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-CHUNKS = 1_000_000  # chunks a worker remembers
-PAIRS = 4_000_000  # token pairs a worker remembers
+REMEMBER = 1_000_000  # chunks a worker remembers, about 230 MB, and four times as many token pairs
 LONG_CHUNK = 64  # longer chunks are encoded anew each time
 
 
 class PieceTable:
     """Encoder over the pieces of one model file; one per Python worker."""
 
-    def __init__(self, model_file: str) -> None:
+    def __init__(self, model_file: str, remember: int = REMEMBER) -> None:
+        self.room, self.pair_room = remember, 4 * remember
         self.library = sentencepiece.SentencePieceProcessor(model_file=model_file)
         sp = self.library
         self.begin, self.end, self.unknown = sp.bos_id(), sp.eos_id(), sp.unk_id()
@@ -149,9 +149,8 @@ class PieceTable:
             ok = known(key)
             if ok is None:
                 ok = self.compatible(last[start], token)
-                if len(pairs) >= PAIRS:
-                    pairs.clear()
-                pairs[key] = ok
+                if len(pairs) < self.pair_room:
+                    pairs[key] = ok
             if ok:
                 last[end], size[end] = token, length
         ids, at = [], n - 1
@@ -174,9 +173,8 @@ class PieceTable:
             for k, chunk in enumerate(cut, 1):
                 if out[k] is None:
                     ids = chunks.get(chunk) or self.chunk_ids(chunk)
-                    if len(chunk) <= LONG_CHUNK:
-                        if len(chunks) >= CHUNKS:
-                            chunks.clear()
+                    # Frequent chunks come early, so what is remembered stays.
+                    if len(chunk) <= LONG_CHUNK and len(chunks) < self.room:
                         chunks[chunk] = ids
                     out[k] = ids
         return b"".join(out)
@@ -191,8 +189,8 @@ class PieceTable:
 
 
 @lru_cache(maxsize=2)
-def table(model_file: str) -> PieceTable:
-    return PieceTable(model_file)
+def table(model_file: str, remember: int = REMEMBER) -> PieceTable:
+    return PieceTable(model_file, remember)
 
 
 def encode_pieces(docs: DataFrame, model_file: str, text: str = "text", out: str = "piece_ids") -> DataFrame:
@@ -222,19 +220,28 @@ def decode_pieces(docs: DataFrame, model_file: str, ids: str = "piece_ids", out:
     return docs.withColumn(out, run(F.col(f"`{ids}`")))
 
 
-def round_trip(docs: DataFrame, model_file: str, text: str = "text") -> DataFrame:
-    """Adds n_tokens, ids_sha256 and decoded_sha256: encoding and decoding in one pass over each text."""
+def round_trip(
+    docs: DataFrame, model_file: str, text: str = "text", keep_ids: bool = False, remember: int = REMEMBER
+) -> DataFrame:
+    """Adds n_tokens, ids_sha256 and decoded_sha256: encoding and decoding in one pass over each text.
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    With `keep_ids` the ids come too, as binary column piece_ids; the decoded text stays in
+    the worker either way. A worker keeps up to `remember` chunks, also after this job.
+    """
+    made = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", piece_ids binary" * keep_ids
+    names = [x.split()[0] for x in made.split(", ")]
+
+    @F.pandas_udf(made)
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = table(model_file)
+        codec = table(model_file, remember)
         for texts in parts:
             rows = []
             for t in texts.fillna(""):
                 ids = codec.encode(t)
-                back = codec.decode(ids)
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode("utf-8")).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+                back = codec.decode(ids).encode("utf-8")
+                row = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest(), ids)
+                rows.append(row[: len(names)])
+            yield pd.DataFrame(rows, columns=names)
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256")]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
     return docs.select(*kept, run(F.col(f"`{text}`")).alias("_trip")).select(*kept, "_trip.*")
