@@ -317,3 +317,31 @@ def test_join_odd_tables(spark):
 def test_join_on_the_table(spark):
     texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").collect()]
     assert {tuple(r) for r in queries.QUERIES["op10_jaccard"](spark, MEDIUM).collect()} == plain_join(texts)
+
+
+def test_steps_of_an_operator_are_removed(spark, tmp_path):
+    import os
+
+    from slipwatch.llm.common import checkpoint_dir, finished, saved
+
+    root = checkpoint_dir(spark).removeprefix("file:").replace("//", "/")
+    before = set(os.listdir(root))
+
+    def build():
+        return saved(saved(spark.range(5), "step").withColumn("x", F.col("id") + 1), "step")
+
+    out = finished(spark, build, "result")
+    assert sorted(r["x"] for r in out.collect()) == [1, 2, 3, 4, 5]
+    assert [x.split("-")[1] for x in set(os.listdir(root)) - before] == ["result"]
+    with pytest.raises(ValueError):
+        finished(spark, lambda: (_ for _ in ()).throw(ValueError()), "result")
+
+
+def test_narrow_mix_is_the_same(spark):
+    docs = spark.createDataFrame(
+        [(i, "w " * (i % 13), [None, "a", "b"][i % 3], "z") for i in range(200)], "doc_id long, text string, source string, more string"
+    )
+    columns = ["doc_id", "source", "more", "size", "source_size", "target", "taken"]
+    wide = source_mix.mix_sources(docs).select(*columns).collect()
+    narrow = source_mix.mix_sources(docs, keep_text=False).select(*columns).collect()
+    assert sorted(map(tuple, wide), key=repr) == sorted(map(tuple, narrow), key=repr)
