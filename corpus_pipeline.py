@@ -7,7 +7,7 @@ columns of `documents`. Models are learned from the stage's own input.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slipwatch.llm import count_tree, language_mix, piece_codec, secret_scan, source_mix
@@ -27,14 +27,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component; of repeated rows one stays."""
-    linked = count_tree.link_documents(docs)
-    kept = linked.filter("doc_id = component_id").select("doc_id").distinct()
-    once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
-    return (
-        docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
-        .withColumn("_row", F.row_number().over(once)).filter("_row = 1").select(*COLUMNS)
-    )
+    """Keeps the document with the smallest id of each component; of repeated rows one stays.
+
+    Rows without an id link like all others and come last: they go only if a document with
+    an id, or an earlier row without one, is in their component.
+    """
+    firsts = count_tree.first_documents(docs)
+    keyed = docs.select(*COLUMNS, count_tree.row_key().alias("_key"))
+    own = lambda once: keyed.join(firsts.filter(F.col("once") == once).select(F.col("key").alias("_key")), "_key", "left_semi")
+    again = own(True).groupBy("_key").agg(F.min(F.struct(*COLUMNS)).alias("_row")).select("_row.*")
+    return own(False).select(*COLUMNS).unionByName(again)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

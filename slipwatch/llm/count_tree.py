@@ -18,9 +18,9 @@ verifies; the second takes every pair left between different components. Only co
 are wanted, so pairs inside one component need no check.
 
 Defined results: null and empty texts and texts without words have no shingles and link
-with nothing; fewer than five words are one shingle; rows with equal sets link; a null id
-never names a component. Two different sets share a class number with a chance of about
-2**-64 a pair.
+with nothing; fewer than five words are one shingle; rows with equal sets link; rows without
+an id link like all others, and a component of such rows alone has a null name. Two
+different sets share a class number, or two rows a key, with a chance of about 2**-64 a pair.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slipwatch.llm.common import components, finished, saved
@@ -158,7 +158,7 @@ def open_pairs(tree: CountTree, ids: np.ndarray, roots: np.ndarray) -> tuple[np.
 
 def visit_trees(rows: pd.DataFrame, rooted: bool, percent: int) -> pd.DataFrame:
     """Pairs of all trees in `rows`, which come in order of tree."""
-    tree, ids, sizes = (rows[c].to_numpy(np.int64) for c in ("tree", "rep", "n"))
+    tree, ids, sizes = (rows[c].to_numpy(np.int64) for c in ("tree", "cid", "n"))
     points = np.frombuffer(b"".join(rows["counts"]), np.uint16).reshape(len(rows), GROUPS).astype(np.int32)
     roots = rows["root"].to_numpy(np.int64) if rooted else None
     starts = np.concatenate(([0], np.flatnonzero(tree[1:] != tree[:-1]) + 1, [len(tree)]))
@@ -203,8 +203,13 @@ def frequent_shingles(docs: DataFrame, every: int = EVERY) -> tuple[np.ndarray,
     return s[order], -(-found["n"].to_numpy(np.int64)[order] * every // BLOCK)
 
 
-def maybe_in(doc_id: Column, ids: DataFrame) -> Column:
-    """Whether an id may be among `ids`: false only where it is not.
+def row_key() -> Column:
+    """One number for rows of equal id and text; the id may be null."""
+    return F.xxhash64("doc_id", "text")
+
+
+def maybe_in(key: Column, ids: DataFrame) -> Column:
+    """Whether a key may be among `ids`: false only where it is not.
 
     A bitmap of FILTER_BITS bits, whatever the number of ids: it is put together on the
     cluster and reaches the driver as at most FILTER_BITS / 32 words.
@@ -224,18 +229,49 @@ def maybe_in(doc_id: Column, ids: DataFrame) -> Column:
         x = place.to_numpy(np.int64)
         return pd.Series((shared.value[x >> 5] >> (x & 31).astype(np.uint32) & 1).astype(bool))
 
-    return test(bit(doc_id))
+    return test(bit(key))
 
 
 def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of `docs` (needs doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    return finished(docs.sparkSession, lambda: _link(docs, percent), "jaccard")
 
+    def build() -> DataFrame:
+        described, named = _link(docs, percent)
+        return (
+            described.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cid")).alias("cid"))
+            .join(named.select("cid", "component_id"), "cid", "left")
+            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        )
+
+    return finished(docs.sparkSession, build, "jaccard")
+
+
+def first_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(key, once): the `row_key` of the first row of each component, by id with null ids last, and of rows without words.
+
+    `once` tells that several rows have the key and are one document; rows without id and
+    words link with nothing, so they stay apart.
+    """
+    docs = docs.select("doc_id", "text")
 
-def _link(docs: DataFrame, percent: int) -> DataFrame:
+    def build() -> DataFrame:
+        described, named = _link(docs, percent)
+        keys = described.groupBy("key").agg(F.max("n").alias("n"), F.max("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"))
+        firsts = named.filter("key = first").select("key", F.lit(True).alias("named"))
+        return (
+            keys.join(firsts, "key", "left").filter("named or n = 0")
+            .select("key", F.expr("rows > 1 and (n > 0 or doc_id is not null)").alias("once"))
+        )
+
+    return finished(docs.sparkSession, build, "firsts")
+
+
+def _link(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Each row of `docs` with its class and point; each class with its own first row, its component's name and first row."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(frequent_shingles(docs))
+    first = lambda doc_id: F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), "key")).alias("x")
 
     def describe(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frequent, blocks = shared.value
@@ -246,11 +282,16 @@ def _link(docs: DataFrame, percent: int) -> DataFrame:
                 own = set_id(s) if len(s) else 0
                 rows.append((own, len(s), point(s).tobytes(), dealt_keys(s, own & 0x7FFFFFFFFFFFFFFF, frequent, blocks, percent).view(np.int64) if len(s) else []))
             out = pd.DataFrame(rows, columns=["cid", "n", "counts", "keys"])
-            out.insert(0, "doc_id", part["doc_id"].array)
-            yield out
-
-    described = saved(docs.mapInPandas(describe, "doc_id long, cid long, n long, counts binary, keys array<long>"), "shingles")
-    classes = described.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep")).filter("rep is not null")
+            yield pd.concat([part[["id", "named", "key"]], out], axis=1)
+
+    # Among nulls pandas would turn ids into floating-point numbers.
+    given = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col("doc_id").isNotNull().alias("named"), row_key().alias("key"), "text")
+    described = saved(
+        given.mapInPandas(describe, "id long, named boolean, key long, cid long, n long, counts binary, keys array<long>")
+        .select(F.when(F.col("named"), F.col("id")).alias("doc_id"), "key", "cid", "n", "counts", "keys"),
+        "shingles",
+    )
+    classes = saved(described.filter("n > 0").groupBy("cid").agg(first("doc_id")).select("cid", F.col("x.id").alias("rep"), "x.key"), "classes")
 
     # Trees with at least two classes, as lists of class numbers.
     def gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,11 +340,10 @@ def _link(docs: DataFrame, percent: int) -> DataFrame:
     )
     members = saved(lists.select("tree", F.explode("members").alias("cid")), "trees")
 
-    # The point of each class in a tree, from the document that names the class.
-    wanted = members.select("cid").distinct().join(classes, "cid")
+    # The point of each class in a tree, from the row that names the class.
+    wanted = members.select("cid").distinct().join(classes.select("cid", "key"), "cid")
     points = saved(
-        described.filter("n > 0").select("cid", "doc_id", "n", "counts")
-        .join(wanted, "cid").filter("doc_id = rep").select("cid", "rep", "n", "counts").dropDuplicates(["cid"]),
+        described.filter("n > 0").select("cid", "key", "n", "counts").join(wanted, ["cid", "key"]).dropDuplicates(["cid", "key"]),
         "points",
     )
 
@@ -336,45 +376,36 @@ def _link(docs: DataFrame, percent: int) -> DataFrame:
             return pd.Series(out, dtype=bool)
 
         bodies = sets_of(pairs)
-        left = bodies.select(F.col("rep").alias("a"), F.col("shingles").alias("_x"))
-        right = bodies.select(F.col("rep").alias("b"), F.col("shingles").alias("_y"))
+        left = bodies.select(F.col("cid").alias("a"), F.col("shingles").alias("_x"))
+        right = bodies.select(F.col("cid").alias("b"), F.col("shingles").alias("_y"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", link("_x", "_y").alias("linked"))
 
     def sets_of(pairs: DataFrame) -> DataFrame:
-        """The shingles of every document in `pairs`; only texts that may be among them are shuffled."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(points.select("rep", "cid"), "rep")
+        """The shingles of every class in `pairs`; only texts that may be among them are shuffled."""
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(points.select("cid", "key"), "cid")
 
         def make(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
-                found = [shingle_set(t) for t in part["text"]]
-                out = pd.DataFrame({"rep": part["doc_id"].array, "shingles": [s.tobytes() for s in found]})
-                # An id may stand on several rows with different texts.
-                yield out[[set_id(s) == c for s, c in zip(found, part["cid"], strict=True)]]
+                yield pd.DataFrame({"cid": part["cid"], "shingles": [shingle_set(t).tobytes() for t in part["text"]]})
 
-        once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("cid")
-        few = docs.filter(maybe_in(F.col("doc_id"), ids.select("rep")))
-        rows = few.join(ids.withColumnRenamed("rep", "doc_id"), "doc_id").withColumn("_row", F.row_number().over(once))
-        return saved(rows.filter("_row = 1").select("doc_id", "cid", "text").mapInPandas(make, "rep long, shingles binary"), "sets")
+        few = docs.select(row_key().alias("key"), "text").filter(maybe_in(F.col("key"), ids.select("key")))
+        # Rows of one id and text are equal; they are put together before the shuffle.
+        rows = few.groupBy("key").agg(F.min("text").alias("text")).join(ids, "key")
+        return saved(rows.select("cid", "text").mapInPandas(make, "cid long, shingles binary"), "sets")
 
-    rows = members.join(points, "cid").select("tree", "rep", "n", "counts")
+    rows = members.join(points, "cid").select("tree", "cid", "n", "counts")
     near = saved(pairs_of(rows, False), "pairs")
-    first = saved(verified(near.select("a", "b").distinct()), "pairs")
-    roots = components(first.filter("linked"))
-    rooted = (
-        members.join(points.select("cid", "rep"), "cid").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("tree", "cid", "rep", F.coalesce("root", "rep").alias("root"))
-    )
+    checked = saved(verified(near.select("a", "b").distinct()), "pairs")
+    roots = components(checked.filter("linked"))
+    rooted = members.join(roots.withColumnRenamed("id", "cid"), "cid", "left").select("tree", "cid", F.coalesce("root", "cid").alias("root"))
     mixed = rooted.groupBy("tree").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("tree")
     open_trees = near.filter("again").select("tree").distinct().join(mixed, "tree")
-    rooted = rooted.join(open_trees, "tree").join(points.select("cid", "n", "counts"), "cid").select("tree", "rep", "n", "counts", "root")
-    second = pairs_of(rooted, True).select("a", "b").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
+    rooted = rooted.join(open_trees, "tree").join(points.select("cid", "n", "counts"), "cid").select("tree", "cid", "n", "counts", "root")
+    second = pairs_of(rooted, True).select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
     second = saved(verified(saved(second, "pairs")), "pairs")
     # The components of the first round go on as stars.
     stars = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
     roots = components(stars.unionByName(second.filter("linked").select("a", "b")))
-    named = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("cid", F.coalesce("root", "rep").alias("component_id"))
-    return (
-        described.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cid")).alias("cid"))
-        .join(named, "cid", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    )
+    placed = saved(classes.join(roots.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")), "classes")
+    names = placed.groupBy("root").agg(first("rep")).select("root", F.col("x.id").alias("component_id"), F.col("x.key").alias("first"))
+    return described, placed.join(names, "root").select("cid", "key", "component_id", "first")

@@ -58,6 +58,21 @@ def test_duplicate_stage(steps):
     assert len(steps[2]) < len(steps[1])
 
 
+def test_duplicate_stage_keeps_rows_without_id(spark):
+    base = " ".join(f"b{k}" for k in range(40))
+    other = " ".join(f"c{k}" for k in range(40))
+    rows = [
+        (None, base + " x"), (5, base), (6, base + " y"),  # a component with ids
+        (None, other), (None, other), (None, other + " x"),  # one without: a single row stays
+        (None, "clean and unique"), (None, "another one"), (None, None), (None, ""), (None, ""), (8, ""), (8, ""), (9, "of its own"), (9, "of its own"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], P.SCHEMA).repartition(3)
+    got = Counter((r["doc_id"], r["text"]) for r in P.near_duplicates(spark, docs, SMALL).collect())
+    left = got.pop((None, other), 0) + got.pop((None, other + " x"), 0)
+    assert left == 1
+    assert got == Counter([(5, base), (None, "clean and unique"), (None, "another one"), (None, None), (None, ""), (None, ""), (8, ""), (9, "of its own")])
+
+
 def test_secret_stage(steps):
     want = []
     for r in steps[2]:

@@ -314,6 +314,21 @@ def test_join_odd_tables(spark):
     assert got == sorted([(3, 2, 3), (3, 2, 3), (7, 2, 3), (None, 2, 3)], key=str)
 
 
+def test_join_links_rows_without_id(spark):
+    base = [f"n{k}" for k in range(60)]
+    tail = lambda k: " ".join(base[k:])
+    # Neither end links with the other, both with the row between them.
+    rows = [
+        (7, "a b c d e f g h i j k l m n o p q r s t"), (None, "a b c d e f g h i j k l m n o p q r s t u"),
+        (20, tail(0)), (None, tail(8)), (21, tail(16)), (None, "quite alone in here"), (2**60 + 1, "a number that is large"), (None, None),
+    ]
+    alone = [(i, t) for i, t in rows if i in (20, 21)]
+    assert {c for _, _, c in plain_join(alone)} == {20, 21}
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted(map(tuple, count_tree.link_documents(df).collect()), key=str)
+    assert got == sorted([(7, 16, 7), (None, 17, 7), (20, 56, 20), (None, 48, 20), (21, 40, 20), (None, 1, None), (2**60 + 1, 1, 2**60 + 1), (None, 0, None)], key=str)
+
+
 def test_join_on_the_table(spark):
     texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").collect()]
     assert {tuple(r) for r in queries.QUERIES["op10_jaccard"](spark, MEDIUM).collect()} == plain_join(texts)
