@@ -329,6 +329,14 @@ def test_join_links_rows_without_id(spark):
     assert got == sorted([(7, 16, 7), (None, 17, 7), (20, 56, 20), (None, 48, 20), (21, 40, 20), (None, 1, None), (2**60 + 1, 1, 2**60 + 1), (None, 0, None)], key=str)
 
 
+def test_join_with_one_id_on_two_texts(spark):
+    one, two = (" ".join(f"{c}{k}" for k in range(40)) for c in "uv")
+    rows = [(1, one), (1, two), (2, one + " x"), (3, two + " x"), (4, "something else")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, count_tree.link_documents(df).collect()))
+    assert got == [(1, 36, 1), (1, 36, 1), (2, 37, 1), (3, 37, 1), (4, 1, 4)]
+
+
 def test_join_on_the_table(spark):
     texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").collect()]
     assert {tuple(r) for r in queries.QUERIES["op10_jaccard"](spark, MEDIUM).collect()} == plain_join(texts)
