@@ -1,9 +1,10 @@
 """Secret scan: regular candidates plus structural confirmation of encoded keys and signed tokens.
 
 Base kinds (assignments, access keys, long hex) follow fixed patterns. On top of them every
-base64 or hex candidate is decoded and parsed: DER keys with their nested lengths, SSH keys
-with their length-prefixed fields, PEM blocks whose body is such a key, and signed tokens
-whose header is JSON with an algorithm. Only what parses is reported.
+base64 or hex candidate is decoded and parsed: DER keys, also encrypted ones, with their
+nested lengths, SSH keys with their length-prefixed fields, PEM blocks whose body is such a
+key or fits the cipher that the block's headers declare, and signed tokens whose header is
+JSON with an algorithm. Only what parses is reported.
 
 Defined results: null text counts as empty; empty text has no spans; repeated rows are
 reported each; texts are scanned whole, in any number of characters.
@@ -29,7 +30,16 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "pem", "jwt", "der", "ssh")
 ASSIGN_MIN = 6
 
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*(?:PRIVATE|PUBLIC) KEY)-----([A-Za-z0-9+/=\s]+?)-----END \1-----", re.A)
+# Header lines end before a line break, and may go on in lines that begin with a blank.
+PEM = re.compile(
+    r"-----BEGIN ([A-Z0-9 ]*(?:PRIVATE|PUBLIC) KEY)-----(?P<headers>(?:\s*\n[A-Za-z][A-Za-z0-9-]*:[^\n]*(?:\n[ \t]+[^\s][^\n]*)*(?=\n))*)"
+    r"(?P<body>[A-Za-z0-9+/=\s]+?)-----END \1-----",
+    re.A,
+)
+ENCRYPTED = re.compile(r"^Proc-Type:\s*4\s*,\s*ENCRYPTED\s*$", re.M | re.A)
+CIPHER = re.compile(r"^DEK-Info:\s*([A-Z0-9]+(?:-[A-Z0-9]+)*)\s*,\s*([0-9A-Fa-f]{32}|[0-9A-Fa-f]{16})\s*$", re.M | re.A)
+# Identifiers of encryption by password: PKCS 5 (1.2.840.113549.1.5) and PKCS 12 (1.2.840.113549.1.12.1).
+BY_PASSWORD = (b"\x2a\x86\x48\x86\xf7\x0d\x01\x05", b"\x2a\x86\x48\x86\xf7\x0d\x01\x0c\x01")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)", re.A)
 BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}|[A-Za-z0-9_-]{40,}={0,2}", re.A)
 ANY_HEX = re.compile(r"[0-9A-Fa-f]{48,}", re.A)
@@ -85,9 +95,13 @@ def is_der_key(data: bytes) -> bool:
     if not parts or len(parts) < 2:
         return False
     tags = [t for t, _, _ in parts]
-    if tags[0] == 0x30:  # public: algorithm, bit string
+    if tags[0] == 0x30:
         inner = _children(data, parts[0][1], parts[0][2])
-        return tags[1] == 0x03 and bool(inner) and inner[0][0] == 0x06
+        if not inner or inner[0][0] != 0x06:
+            return False
+        if tags == [0x30, 0x04]:  # private, encrypted: algorithm, octets; a digest is built alike but names another algorithm
+            return data[inner[0][1] : inner[0][2]].startswith(BY_PASSWORD)
+        return tags[1] == 0x03  # public: algorithm, bit string
     if tags[0] != 0x02 or parts[0][2] - parts[0][1] != 1:
         # public in the older form: modulus and exponent alone
         return tags == [0x02, 0x02] and parts[0][2] - parts[0][1] >= 32 and parts[1][2] - parts[1][1] <= 8
@@ -140,6 +154,19 @@ def _keyed(data: bytes | None) -> str | None:
     return "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None
 
 
+def _pem_key(headers: str, body: str) -> bool:
+    """Whether a block's body is a key, or can be one under the cipher that its headers declare."""
+    data = decode64(re.sub(r"\s", "", body))
+    if _keyed(data):
+        return True
+    cipher = CIPHER.search(headers) if ENCRYPTED.search(headers) else None
+    if not data or cipher is None:
+        return False
+    # The initial vector is as long as a block; other modes take any length.
+    block = len(cipher[2]) // 2
+    return len(data) >= block and (len(data) % block == 0 or not cipher[1].endswith(("-CBC", "-ECB", "-EDE3", "-EDE")))
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """The base kinds, leftmost and non-overlapping within each kind."""
     out: list[tuple[str, int, int]] = []
@@ -157,7 +184,7 @@ def structured_spans(text: str) -> list[tuple[str, int, int]]:
     taken: list[tuple[int, int]] = []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            if _keyed(decode64(re.sub(r"\s", "", m[2]))):
+            if _pem_key(m["headers"], m["body"]):
                 out.append(("pem", *m.span()))
                 taken.append(m.span())
     if "eyJ" in text:

@@ -158,6 +158,30 @@ def test_structure_confirms_keys():
     assert found_kinds("-----BEGIN RSA PRIVATE KEY-----\nnot a key at all\n-----END RSA PRIVATE KEY-----") == []
 
 
+def test_structure_confirms_encrypted_keys(spark):
+    lines = lambda body: re.sub("(.{64})", r"\1\n", base64.b64encode(body).decode())
+    octets = der(0x04, b"\x8d" * 160)
+    for oid in (b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d", b"\x2a\x86\x48\x86\xf7\x0d\x01\x0c\x01\x03"):
+        body = der(0x30, der(0x30, der(0x06, oid), der(0x30, der(0x04, b"\x01" * 8))), octets)
+        assert found_kinds("key " + base64.b64encode(body).decode() + " end") == ["der"]
+        assert found_kinds("key " + base64.b64encode(body[:-1]).decode()) == []
+        assert found_kinds(f"-----BEGIN ENCRYPTED PRIVATE KEY-----\n{lines(body)}\n-----END ENCRYPTED PRIVATE KEY-----") == ["pem"]
+    digest = der(0x30, der(0x30, der(0x06, b"\x60\x86\x48\x01\x65\x03\x04\x02\x03"), der(0x05)), der(0x04, b"\x8d" * 64))
+    assert found_kinds("sum " + base64.b64encode(digest).decode()) == []
+
+    block = "-----BEGIN RSA PRIVATE KEY-----\n{}\n\n{}\n-----END RSA PRIVATE KEY-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF"
+    text = "see " + block.format(head, lines(b"\x8d" * 608)) + " end"
+    assert secret_scan.structured_spans(text) == [("pem", 4, len(text) - 4)]
+    assert secret_scan.structured_spans(text.replace("\n", "\r\n"))[0][0] == "pem"
+    assert found_kinds(block.format(head.replace("AES-128-CBC,0123456789ABCDEF", "DES-EDE3-CBC,"), lines(b"\x8d" * 120))) == ["pem"]
+    assert found_kinds(block.format(head, lines(b"\x8d" * 607))) == []
+    assert found_kinds(block.format("Proc-Type: 4,ENCRYPTED", lines(b"\x8d" * 608))) == []
+    assert found_kinds(block.format("Comment: mine\n and yours", lines(PRIVATE))) == ["pem"]
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert secret_scan.redact(df).first()["text"] == "see <secret> end"
+
+
 def test_structure_confirms_signed_tokens():
     part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
     good = f"{part({'alg': 'HS256', 'typ': 'JWT'})}.{part({'sub': '1'})}.c2lnbmF0dXJl"
