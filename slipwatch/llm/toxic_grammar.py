@@ -2,10 +2,12 @@
 
 A tagger gives each word of a clause a tag: insult and threat words and stems with weights
 learned from labels, and fixed words of address, negation and reported speech. Transducers
-for target, negation and report read the tags side by side; their composition is built
-lazily, state by state, and tells for every insult or threat in which reading it stands. A
-clause scores the weights of its matches by reading; a logistic model of the clause scores,
-fitted on the same labelled sample, turns them into a probability.
+for insult, threat, target, negation and report read the tags side by side; their
+composition is built lazily, state by state, and tells for every insult or threat in which
+reading it stands, as soon as the clause is over: an address may follow the insult. A comma
+or colon ends a clause but not the report it stands in. A clause scores the weights of its
+matches by reading; a logistic model of the clause scores, fitted on the same labelled
+sample, turns them into a probability.
 
 Defined results: null and empty texts match nothing and get the score of a text without
 matches; with no labels of both classes every score is 0; repeated label rows of one
@@ -38,7 +40,8 @@ NEGATIONS = frozenset("not no never none nor isn't aren't don't doesn't nicht ke
 REPORTS = frozenset("said says say wrote called calls quoted reported claimed according sagte sagt schrieb nannte laut dit disait écrit appelé selon dijo dice escribió llamó según".split())
 THREATS = frozenset("kill hurt destroy beat burn shoot attack töten schlagen zerstören tuer frapper détruire matar golpear destruir".split())
 
-CLAUSE = re.compile(r"[.!?;:,\n()]+")
+CLAUSE = re.compile(r"([.!?;:,\n()](?:\s*[.!?;:,\n()])*)")
+CARRIES = frozenset(",: \t\r\n")  # a separator of these alone, with a comma or colon, carries the report on
 TOKEN = re.compile(r"[\w'’]+")
 
 READINGS = ("plain", "aimed", "negated", "reported", "threat")
@@ -52,6 +55,14 @@ def tag_class(word: str) -> str:
 
 
 # Each transducer maps (state, tag) to the next state; what it says of a match follows from the state.
+def insult_step(state: int, tag: str) -> int:
+    return int(tag == "I")
+
+
+def threat_step(state: int, tag: str) -> int:
+    return int(tag == "H")
+
+
 def target_step(state: int, tag: str) -> int:
     return 1 if tag == "T" else state
 
@@ -64,30 +75,44 @@ def report_step(state: int, tag: str) -> int:
     return 1 if tag == "R" else state
 
 
+State = tuple[int, int, int, int, int]
+Match = tuple[str, bool]  # the reading but for the target, and whether it is a threat's
+
+
 class Composed:
     """The transducers side by side; transitions are made once and kept (a few dozen states)."""
 
-    steps = (target_step, negation_step, report_step)
+    steps = (insult_step, threat_step, target_step, negation_step, report_step)
 
     def __init__(self) -> None:
-        self.arcs: dict[tuple[tuple[int, int, int], str], tuple[tuple[int, int, int], str | None]] = {}
+        self.arcs: dict[tuple[State, str], tuple[State, Match | None]] = {}
+
+    @staticmethod
+    def start(reported: int = 0) -> State:
+        return (0, 0, 0, 0, reported)
 
-    def step(self, state: tuple[int, int, int], tag: str) -> tuple[tuple[int, int, int], str | None]:
+    def step(self, state: State, tag: str) -> tuple[State, Match | None]:
         arc = self.arcs.get((state, tag))
         if arc is None:
             after = tuple(f(s, tag) for f, s in zip(self.steps, state, strict=True))
-            reading = None
-            if tag in "IH":
-                aimed, negated, reported = state
-                reading = (
-                    "reported" if reported else "negated" if negated else "threat" if tag == "H" and aimed
-                    else "aimed" if aimed else "plain"
-                )
-                if tag == "H" and reading == "plain":
-                    reading = None  # an act without a target is no threat
-            arc = self.arcs[state, tag] = (after, reading)
+            _, _, _, negated, reported = state
+            insult, threat, *_ = after
+            match = None
+            if insult or threat:
+                match = ("reported" if reported else "negated" if negated else "plain", bool(threat))
+            arc = self.arcs[state, tag] = (after, match)
         return arc
 
+    @staticmethod
+    def reading(match: Match, end: State) -> str | None:
+        """How a match reads at the end of its clause; an act without a target is no threat."""
+        found, threat = match
+        if found != "plain":
+            return found
+        if threat:
+            return "threat" if end[2] else None
+        return "aimed" if end[2] else "plain"
+
 
 @dataclass
 class ToxicModel:
@@ -114,36 +139,47 @@ class ToxicModel:
             return w
         return max((self.stems.get(word[:k], 0.0) for k in STEMS if len(word) > k), default=0.0)
 
-    def clause(self, text: str) -> dict[str, float]:
+    def clause(self, text: str, reported: int = 0) -> dict[str, float]:
         """Summed weights of a clause's matches by reading."""
-        state, found = (0, 0, 0), {}
-        tokens = TOKEN.findall(text)
-        # An address may follow the insult: the target transducer also reads the clause's later words.
-        later = any(t in TARGETS for t in tokens)
-        if later:
-            state = (1, 0, 0)
-        for t in tokens:
+        return self._read(text, reported)[0]
+
+    def _read(self, text: str, reported: int) -> tuple[dict[str, float], int]:
+        """The sums of a clause, and the report transducer's state at its end."""
+        state, matches, found = self._grammar.start(reported), [], {}
+        for t in TOKEN.findall(text):
             w = self.weight(t)
             tag = "I" if w > 0 else tag_class(t)
-            state, reading = self._grammar.step(state, tag)
+            state, match = self._grammar.step(state, tag)
+            if match:
+                matches.append((match, w or 1.0))
+        for match, w in matches:
+            reading = self._grammar.reading(match, state)
             if reading:
-                found[reading] = found.get(reading, 0.0) + (w or 1.0)
-        return found
+                found[reading] = found.get(reading, 0.0) + w
+        return found, state[4]
 
     def features(self, text: str | None) -> list[float]:
         low = (text or "").lower()
         if not low or next(self._finder.iter(low), None) is None:
             return [0.0] * len(FEATURES)
         sums, clauses, strongest = dict.fromkeys(READINGS, 0.0), 0, 0.0
-        for part in CLAUSE.split(low):
+        reported, unread = 0, []  # the report so far, and clauses without a match that may begin one
+        pieces = CLAUSE.split(low)
+        for part, mark in zip(pieces[::2], [*pieces[1::2], "."], strict=True):
             if next(self._finder.iter(part), None) is None:
-                continue
-            found = self.clause(part)
-            if found:
-                clauses += 1
-                strongest = max(strongest, sum(found.values()))
-                for k, v in found.items():
-                    sums[k] += v
+                unread.append(part)
+            else:
+                for t in (t for p in unread for t in TOKEN.findall(p)):
+                    reported = report_step(reported, tag_class(t))
+                unread = []
+                found, reported = self._read(part, reported)
+                if found:
+                    clauses += 1
+                    strongest = max(strongest, sum(found.values()))
+                    for k, v in found.items():
+                        sums[k] += v
+            if not CARRIES.issuperset(mark) or not ("," in mark or ":" in mark):
+                reported, unread = 0, []
         return [*(math.log1p(sums[k]) for k in READINGS), math.log1p(clauses), math.log1p(strongest)]
 
     def score(self, features: list[float]) -> float:

@@ -252,6 +252,24 @@ def test_toxic_grammar_reads_clauses():
     assert two[toxic_grammar.FEATURES.index("clauses")] == pytest.approx(np.log1p(2))
 
 
+def test_reports_go_on_after_comma_and_colon():
+    model = toxic_grammar.ToxicModel({"idiot": 3.0})
+
+    def readings(text):
+        found = model.features(text)
+        return {k for k, v in zip(toxic_grammar.READINGS, found, strict=False) if v}
+
+    for text in ("he said, you are an idiot", "She wrote: you are an idiot.", "as he called it:\n you idiot", "she said, as always, you idiot", "he said, idiot, you idiot"):
+        assert readings(text) == {"reported"}, text
+    for text in ("he said. you are an idiot", "he said so\nyou are an idiot", "(he said) you are an idiot", "he said, well; you idiot", "you idiot, he said"):
+        assert readings(text) == {"aimed"}, text
+    assert readings("not here, idiot") == {"plain"}
+    assert model.clause("idiot that you are") == {"aimed": 3.0}
+    grammar = toxic_grammar.Composed()
+    assert len(grammar.steps) == 5
+    assert [grammar.step(grammar.start(), tag)[0] for tag in "IHTNR"] == [(1, 0, 0, 0, 0), (0, 1, 0, 0, 0), (0, 0, 1, 0, 0), (0, 0, 0, 3, 0), (0, 0, 0, 0, 1)]
+
+
 def test_toxicity_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
