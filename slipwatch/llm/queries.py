@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from slipwatch.llm import (
     balanced_shards,
     bit_search,
+    bucket_refine,
     chat_format,
+    contour_whitening,
     count_tree,
+    dual_tree,
     itq_links,
     language_mix,
     piece_codec,
@@ -20,7 +23,7 @@ from slipwatch.llm import (
     source_mix,
     toxic_grammar,
 )
-from slipwatch.llm.common import id_remainder
+from slipwatch.llm.common import finished, id_remainder
 
 # Columns of the tables that the queries use; a scan reads no others.
 SCHEMAS = {
@@ -28,6 +31,7 @@ SCHEMAS = {
     "labels": "doc_id bigint, toxic int",
     "embeddings": "vec_id bigint, embedding array<float>, label int",
     "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "benchmark": "item_id bigint, text string",
 }
 MODEL_FILE = "piece_bpe_32k.model"
 
@@ -249,3 +253,81 @@ WITH RECURSIVE w AS (
 SELECT d.doc_id, coalesce(k, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(root, d.doc_id)) AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN roots ON roots.id = d.doc_id
 """
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 8 whitened components of every embedding."""
+    rows = contour_whitening.whitened_components(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return rows.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+@query
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without byte strings of 100 that occur earlier."""
+
+    def digests() -> DataFrame:
+        removed = F.aggregate("spans", F.lit(0).cast("long"), lambda x, s: x + s["end"] - s["start"])
+        return bucket_refine.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+            "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+        )
+
+    return finished(spark, digests, "repeats")
+
+
+ORACLE["op12_repeats"] = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), w AS (
+  SELECT doc_id, p, substr(x, 2 * p - 1, 200) AS s
+  FROM (SELECT doc_id, x, unnest(range(1, length(x) // 2 - 98)) AS p FROM d WHERE length(x) >= 200)
+), gone AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY md5_number(s) ORDER BY doc_id, p) AS k FROM w) WHERE k > 1
+), runs AS (
+  SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS fresh FROM gone
+), spans AS (
+  SELECT doc_id, min(p) AS a, max(p) + 99 AS b, r
+  FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM runs) GROUP BY doc_id, r
+), cuts AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER o, 0) AS last_b, lead(a) OVER o AS next_a FROM spans WINDOW o AS (PARTITION BY doc_id ORDER BY a)
+), parts AS (
+  SELECT c.doc_id, count(*) AS n_spans, sum(b - a + 1) AS n_removed,
+         string_agg(substr(x, 2 * last_b + 1, 2 * (a - 1 - last_b)) || CASE WHEN next_a IS NULL THEN substr(x, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS kept
+  FROM cuts c JOIN d ON d.doc_id = c.doc_id GROUP BY c.doc_id
+)
+SELECT d.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN parts ON parts.doc_id = d.doc_id
+"""
+
+
+@query
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return finished(spark, lambda: dual_tree.rank_documents(docs, table(spark, sf_dir, "benchmark")), "ranked")
+
+
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+ORACLE["op13_lexical"] = f"""
+WITH docs AS (
+  SELECT doc_id, {_TERMS} AS ts FROM documents
+), sizes AS (
+  SELECT count(*) AS n_all, sum(len(ts))::BIGINT AS l FROM docs WHERE len(ts) > 0
+), asked AS (
+  SELECT item_id, unnest(list_distinct({_TERMS})) AS t FROM benchmark
+), tf AS (
+  SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS t FROM docs) GROUP BY ALL
+), df AS (
+  SELECT t, count(*) AS df FROM tf GROUP BY t
+), weights AS (
+  SELECT t, floor(1000 * ln((2 * n_all + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM df, sizes
+), scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_all) // l))))::BIGINT AS score
+  FROM asked JOIN tf USING (t) JOIN weights USING (t), sizes GROUP BY item_id, doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::BIGINT AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
