@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +39,7 @@ from slipwatch.llm.common import saved
 LENGTH, GRAM = 100, 32
 LIMIT = 2000  # spans of a bucket that are compared in one task
 BLOCK, LONGEST = 1 << 19, 1 << 12
+ROWS = 1 << 16  # rows a task gives out at once
 KEY = ["late", "id", "fp"]
 MARKS = "late boolean, id long, fp long, start long, n int"
 
@@ -124,12 +126,34 @@ def _packed(start: np.ndarray, n: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (start << 14) | (n << 7) | place
 
 
+def _first_of_batch(h: np.ndarray, g: np.ndarray, keys: list[np.ndarray], doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which rows repeat a span that is earlier in the same batch."""
+    gone = np.zeros(len(h), bool)
+    code = h ^ (g << np.uint64(1))
+    order = np.argsort(code, kind="stable")
+    equal = code[order[1:]] == code[order[:-1]]
+    some = order[np.concatenate((equal, [False])) | np.concatenate(([False], equal))]
+    if len(some):
+        some = some[np.lexsort((at[some], *(k[doc[some]] for k in reversed(keys)), g[some], h[some]))]
+        a, b = some[1:], some[:-1]
+        once = at[a] == at[b]  # one place given twice: rows equal in id and text
+        for k in keys:
+            once &= k[doc[a]] == k[doc[b]]
+        gone[a[(h[a] == h[b]) & (g[a] == g[b]) & ~once]] = True
+    return gone
+
+
 def suffixes(keyed: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, g, late, id, fp, at): a row for each run of strings filed under one q-gram."""
+    """(h, g, late, id, fp, at, gone): a row for each run of strings filed under one q-gram.
+
+    `gone` marks a span that is earlier in the same batch already, so that of a span that is
+    everywhere one row a batch is compared with others.
+    """
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, starts = _bytes(batch.column("text"))
+            found = []
             for at in range(0, max(0, len(raw) - length + 1), BLOCK):
                 block = raw[at : at + BLOCK + length - 1]
                 first, last = np.searchsorted(starts, [at, at + len(block)], "left")
@@ -139,18 +163,23 @@ def suffixes(keyed: DataFrame, length: int, gram: int) -> DataFrame:
                 np.add.at(steps, np.clip(ends - length + 1, 0, len(block)), 1)
                 np.add.at(steps, np.clip(ends, 0, len(block)), -1)
                 start, n, place, h, g = runs(block, np.cumsum(steps[:-1]) > 0, length, gram)
-                if len(start):
-                    doc = np.searchsorted(starts, start + at, "right") - 1
-                    rows = pa.array(doc)
-                    own = start + at - starts[doc]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h.view(np.int64)), pa.array(g.view(np.int64))]
-                        + [batch.column(c).take(rows) for c in KEY]
-                        + [pa.array(_packed(own, n, place - start))],
-                        ["h", "g", *KEY, "at"],
-                    )
+                doc = np.searchsorted(starts, start + at, "right") - 1
+                found.append((h, g, doc, _packed(start + at - starts[doc], n, place - start)))
+            if not found:
+                continue
+            h, g, doc, places = (np.concatenate(x) for x in zip(*found, strict=True))
+            keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in KEY]
+            gone = _first_of_batch(h, g, keys, doc, places)
+            for k in range(0, len(h), ROWS):
+                part = slice(k, k + ROWS)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[part].view(np.int64)), pa.array(g[part].view(np.int64))]
+                    + [pa.array(x[doc[part]]) for x in keys]
+                    + [pa.array(places[part]), pa.array(gone[part])],
+                    ["h", "g", *KEY, "at", "gone"],
+                )
 
-    return keyed.mapInArrow(file, "h long, g long, late boolean, id long, fp long, at long")
+    return keyed.mapInArrow(file, "h long, g long, late boolean, id long, fp long, at long, gone boolean")
 
 
 def _sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,6 +189,10 @@ def _sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     before, told = None, False
     for batch in batches:
+        done = batch.column("gone")
+        if done.true_count:
+            yield batch.filter(done).select(["h", *KEY, "at", "gone"])
+            batch = batch.filter(pc.invert(done))
         if not batch.num_rows:
             continue
         if before is not None:
@@ -190,7 +223,9 @@ def _sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sorted_out(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     """(h, late, id, fp, start, n, s, gone) of the rows whose bucket has more than one place."""
-    rows = suffixes(keyed, length, gram).repartition("h").sortWithinPartitions("h", "g", *KEY, "at")
+    # Rows that are decided already go to any task.
+    deal = F.when(F.col("gone"), F.xxhash64("fp", "at")).otherwise(F.col("h"))
+    rows = suffixes(keyed, length, gram).repartition(deal).sortWithinPartitions("h", "g", *KEY, "at")
     found = rows.mapInArrow(_sort_out, "h long, late boolean, id long, fp long, at long, gone boolean")
     return found.select(
         "h", *KEY, F.shiftright("at", 14).alias("start"),

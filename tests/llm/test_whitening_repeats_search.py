@@ -172,11 +172,12 @@ def test_repeats_across_blocks(spark, monkeypatch):
     assert removed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")) == want
 
 
-def test_repeats_order_of_odd_ids(spark):
+@pytest.mark.parametrize("parts", [1, 6])
+def test_repeats_order_of_odd_ids(spark, parts):
     """Rows without an id come last; a repeated row is a copy; one id on two texts is two documents."""
     rng = np.random.default_rng(8)
     a, b = prose(rng, 60), prose(rng, 60)
-    df = spark.createDataFrame([(None, a), (5, a), (5, a), (5, b), (7, b), (None, "short")], "doc_id long, text string")
+    df = spark.createDataFrame([(None, a), (5, a), (5, a), (5, b), (7, b), (None, "short")], "doc_id long, text string").repartition(parts)
     rows = sorted(((r["doc_id"] is None, r["doc_id"], r["n_bytes"], len(r["kept"])) for r in bucket_refine.remove_repeats(df).collect()))
     n, m = len(a.encode()), len(b.encode())
     assert rows == sorted([(False, 5, n, n), (False, 5, n, 0), (False, 5, m, m), (False, 7, m, 0), (True, None, n, 0), (True, None, 5, 5)])
@@ -184,6 +185,15 @@ def test_repeats_order_of_odd_ids(spark):
     assert empty.count() == 0 and empty.columns == ["doc_id", "n_bytes", "kept", "spans"]
 
 
+def test_a_span_that_is_everywhere_is_dealt_once_a_batch(spark):
+    df = spark.createDataFrame([(i, "z" * 900 + "ab" * 200) for i in range(300)], "doc_id long, text string").coalesce(2)
+    rows = bucket_refine.suffixes(bucket_refine._keyed(df), 100, 32)
+    dealt = rows.filter("not gone").groupBy("h", "g").count().agg(F.max("count")).first()[0]
+    assert rows.count() > 100_000 and dealt <= 2
+    kept = removed(df)
+    assert kept[0][1] > 1000 and all(v[1] == 1300 for k, v in kept.items() if k)
+
+
 def test_large_buckets_are_refined(spark):
     """One passage in many different surroundings: no task compares more than `limit` spans."""
     rng = np.random.default_rng(10)
