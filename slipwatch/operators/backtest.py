@@ -42,8 +42,8 @@ def lead_time(events: DataFrame) -> DataFrame:
     """Lead time and project-level confusion per alert level.
 
     A slip at position i shows in report i + 1; leads may be negative; slips never
-    alerted are counted and left out of the distribution. Leads are whole months, so the
-    exact percentile holds no more values than there are months.
+    alerted are counted and left out of the distribution. Equal leads are counted first, so
+    the one exact percentile is taken over distinct leads with their counts.
     """
     slip, alert = F.col("first_slip").isNotNull(), F.col("first_alert").isNotNull()
     lead = F.when(slip & alert, F.col("first_slip") + 1 - F.col("first_alert"))
@@ -54,10 +54,7 @@ def lead_time(events: DataFrame) -> DataFrame:
         F.count_if(F.col("s") & ~F.col("a")).alias("never_alerted"),
         F.count_if(F.col("s") & (F.col("first_slip") == F.col("first_row"))).alias("left_censored"),
         F.count_if(F.col("lead").isNotNull() & (F.col("n_snapshots") <= 3)).alias("window_truncated"),
-        F.percentile("lead", 0.5).alias("median_lead"),
         F.avg("lead").alias("mean_lead"),
-        F.percentile("lead", 0.25).alias("p25_lead"),
-        F.percentile("lead", 0.75).alias("p75_lead"),
         F.avg((F.col("lead") > 0).cast("double")).alias("share_positive"),
         F.avg((F.col("lead") == 0).cast("double")).alias("share_zero"),
         F.avg((F.col("lead") < 0).cast("double")).alias("share_negative"),
@@ -66,6 +63,11 @@ def lead_time(events: DataFrame) -> DataFrame:
         F.count_if(F.col("s") & ~F.col("a")).alias("fn"),
         F.count(F.lit(1)).alias("projects_total"),
     )
+    leads = rows.filter("lead is not null").groupBy("level", "lead").agg(F.count(F.lit(1)).alias("n"))
+    spread = leads.groupBy("level").agg(F.percentile("lead", [0.25, 0.5, 0.75], F.col("n")).alias("_q"))
+    out = out.join(spread, "level", "left").select(
+        *out.columns, *[F.get("_q", F.lit(i)).alias(f"{q}_lead") for i, q in enumerate(["p25", "median", "p75"])]
+    )
     zero = F.lit(0.0)
     precision = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), zero)
     recall = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), zero)

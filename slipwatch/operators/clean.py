@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,9 @@ from slipwatch import schema as S
 from slipwatch.functions import coerce as C
 from slipwatch.operators.ranked import axis_cell
 from slipwatch.operators.skew import HOT_ROWS, join_attributes
+from slipwatch.session import cut_lineage
+
+Store = Callable[[DataFrame], DataFrame]
 
 MODAL_FIELDS = ["sanction_date", "original_end_date", "original_cost"]
 
@@ -163,12 +166,43 @@ def sequence(snapshots: DataFrame, order: Sequence[Column]) -> DataFrame:
     )
 
 
-def sequence_undated(snapshots: DataFrame, name: str = "expenditure_progress") -> DataFrame:
+def sequence_sorted(snapshots: DataFrame, name: str = "expenditure_progress", store: Store = cut_lineage) -> DataFrame:
     """`sequence` for projects of any size, under a named ordering.
 
+    The rows are sorted across the cluster by project and all order columns down to
+    `harvest_seq`, so a project of any size is spread over ranges of even size, also one whose
+    leading column is null or equal in all rows. The sorted rows are written once; a row's
+    position in its range, and the counts of its project in the ranges before, give its
+    index. Only these counts, one row for each project and range, are ranked in a window.
+    `store` must write the rows, so that ranges and counts are of one sort.
+    """
+    order = [F.col("project_id").asc(), *ordering(name)]
+    placed = store(
+        snapshots.repartitionByRange(*order).sortWithinPartitions(*order)
+        # The upper bits are the range, the lower ones the position in it.
+        .withColumn("_place", F.monotonically_increasing_id()).withColumn("_range", F.spark_partition_id())
+    )
+    counts = placed.groupBy("project_id", "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    ranges = Window.partitionBy("project_id").orderBy("_range")
+    starts = counts.select(
+        "project_id", "_range", "_first",
+        (F.sum("_n").over(ranges) - F.col("_n")).alias("_before"),
+        F.sum("_n").over(Window.partitionBy("project_id")).alias("n_snapshots"),
+    )
+    return (
+        placed.join(starts, ["project_id", "_range"])
+        .withColumn("seq_index", F.col("_place") - F.col("_first") + F.col("_before"))
+        .select(*snapshots.columns, "seq_index", "n_snapshots")
+    )
+
+
+def sequence_undated(snapshots: DataFrame, name: str = "expenditure_progress") -> DataFrame:
+    """`sequence_sorted` without a job of its own, for plans that store nothing.
+
     A project's rows are cut into cells by a fixed rule on the leading order column (a
     month of dates, or a slice of the number axis). Rows are ranked inside a cell and count
-    on from the totals of the cells before, so no task holds more than a cell.
+    on from the totals of the cells before, so no task holds more than a cell; rows that
+    agree in the leading column stay together, which `sequence_sorted` avoids.
     """
     cells = _cell(name)
     inside = Window.partitionBy("project_id", "_cell").orderBy(*ordering(name))

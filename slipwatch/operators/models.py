@@ -7,15 +7,17 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression, IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slipwatch import schema as S
 from slipwatch.functions import rules as R
+from slipwatch.operators import hazard as Hz
 from slipwatch.operators import metrics as M
+from slipwatch.operators import pooling as Po
 from slipwatch.operators import splits as Sp
 from slipwatch.session import cut_lineage
 
@@ -76,15 +78,10 @@ def fit_logit(train: DataFrame, features: Sequence[str] = S.FEATURES, label: str
     return _fit(name, [stage], train, features, label, weight)
 
 
-def fit_hazard(train: DataFrame, features: Sequence[str] = S.FEATURES, label: str = "slip_next", name: str = "hazard") -> Scorer:
-    """Discrete-time proportional hazards: binomial regression with the cloglog link."""
-    n, _ = _class_counts(train, label)
-    scale = StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True)
-    stage = GeneralizedLinearRegression(
-        featuresCol="_scaled", labelCol="_label", family="binomial", link="cloglog",
-        regParam=2.0 / max(1, n), maxIter=50, predictionCol="_hazard",
-    )
-    return _fit(name, [scale, stage], train, features, label, F.lit(1.0), output="_hazard")
+def fit_hazard(train: DataFrame, features: Sequence[str] = S.FEATURES, label: str = "slip_next", name: str = "hazard") -> Hz.Hazard:
+    """Discrete-time proportional hazards: cloglog link, penalty on the slopes only."""
+    Sp.assert_no_leakage(features)
+    return Hz.fit(train, features, label, name, medians=Sp.fit_medians(train, features))
 
 
 def fit_gbt(train: DataFrame, features: Sequence[str] = S.FEATURES, label: str = "slip_next", name: str = "gbt", trees: int = TREES) -> Scorer:
@@ -208,49 +205,71 @@ class Calibrator:
     def __call__(self, rows: DataFrame, score: str, name: str) -> DataFrame:
         before = rows.columns
         if self.method == "isotonic":
-            x = F.col(score) if self.decimals is None else F.round(F.col(score), self.decimals)
-            out = self.model.transform(rows.withColumn("_x", x))
+            out = self.model.transform(rows.withColumn("_x", _rounded(score, self.decimals)))
             return out.select(*before, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("prediction"))).alias(name))
         ready = VectorAssembler(inputCols=[score], outputCol="_x").transform(rows)
         out = self.model.transform(ready)
         return out.select(*before, vector_to_array(F.col("probability"))[1].alias(name))
 
 
+def calibration_method(rows: DataFrame, label: str) -> str:
+    return "isotonic" if _class_counts(rows, label)[1] >= MIN_ISOTONIC_POSITIVES else "sigmoid"
+
+
+def _rounded(score: str, decimals: int | None) -> Column:
+    return F.col(score) if decimals is None else F.round(F.col(score), decimals)
+
+
+def step_calibrator(steps: DataFrame, decimals: int | None = None) -> Calibrator:
+    """The steps of `pooling.isotonic_steps` as a calibrator; only the edges of steps reach the driver."""
+    points = Po.step_edges(steps).select(F.col("x").alias("_x"), F.col("value").alias("_y"), F.col("rows").alias("_w"))
+    return Calibrator("isotonic", IsotonicRegression(featuresCol="_x", labelCol="_y", weightCol="_w").fit(points), decimals)
+
+
 def fit_calibrator(rows: DataFrame, score: str, label: str, method: str | None = None, decimals: int | None = None) -> Calibrator:
     """Isotonic with at least 500 positives, else a sigmoid.
 
-    Distinct scores travel with their counts. Their number bounds the driver's part of the
-    isotonic fit; `decimals` rounds the scores first where there are too many of them, and
-    then the calibrator sees rounded scores too.
+    An isotonic fit of n rows is pooled on the cluster; its steps, of which whole-number
+    counts allow no more than the order of n ** (2/3), are all that the driver sees. With
+    `decimals` scores are rounded first, here and by the calibrator.
     """
-    if method is None:
-        _, pos = _class_counts(rows, label)
-        method = "isotonic" if pos >= MIN_ISOTONIC_POSITIVES else "sigmoid"
+    method = method or calibration_method(rows, label)
     if method == "isotonic":
-        x = F.col(score) if decimals is None else F.round(F.col(score), decimals)
-        points = rows.groupBy(x.alias("_x")).agg(
-            F.avg(F.col(label).cast("double")).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w")
-        )
-        return Calibrator(method, IsotonicRegression(featuresCol="_x", labelCol="_y", weightCol="_w").fit(points), decimals)
+        rounded = rows.select(label, _rounded(score, decimals).alias("_x"))
+        return step_calibrator(Po.isotonic_steps(Po.score_counts(rounded, label, "_x")), decimals)
     ready = VectorAssembler(inputCols=[score], outputCol="_x").transform(
         rows.withColumn("_y", F.col(label).cast("double"))
     )
     return Calibrator(method, LogisticRegression(featuresCol="_x", labelCol="_y", regParam=0.0).fit(ready))
 
 
-def cross_fit_calibration(scores: DataFrame, score: str, label: str = "slip_next", folds: int = 5) -> tuple[DataFrame, Calibrator | None, dict]:
+def fold_calibrators(rows: DataFrame, score: str, label: str, folds: int, method: str) -> list[Calibrator | None]:
+    """For every fold a calibrator of the others; None where the others hold no row.
+
+    Isotonic fits of all folds are pooled together, from one count of the scores.
+    """
+    if method != "isotonic":
+        return [fit_calibrator(rows.filter(F.col("fold") != k), score, label, method) for k in range(folds)]
+    counts = Po.score_counts(rows, label, score, ["fold"])
+    steps = Po.isotonic_steps(Po.other_folds(counts, folds), ["fold"])
+    known = {r["fold"] for r in steps.select("fold").distinct().collect()}
+    return [step_calibrator(steps.filter(F.col("fold") == k)) if k in known else None for k in range(folds)]
+
+
+def cross_fit_calibration(
+    scores: DataFrame, score: str, label: str = "slip_next", folds: int = 5, method: str | None = None
+) -> tuple[DataFrame, Calibrator | None, dict]:
     """(rows + `calibrated`, shipped calibrator or None, report).
 
     Every row is calibrated by a fit on the other projects. A calibrator that makes the
     held-out error worse is discarded; otherwise the one shipped is refitted on all rows.
     """
     rows = cut_lineage(Sp.with_folds(Sp.labelled(scores, label), folds))
-    _, pos = _class_counts(rows, label)
-    method = "isotonic" if pos >= MIN_ISOTONIC_POSITIVES else "sigmoid"
+    method = method or calibration_method(rows, label)
     out = None
-    for k in range(folds):
-        cal = fit_calibrator(rows.filter(F.col("fold") != k), score, label, method)
-        part = cal(rows.filter(F.col("fold") == k), score, "calibrated")
+    for k, cal in enumerate(fold_calibrators(rows, score, label, folds, method)):
+        own = rows.filter(F.col("fold") == k)
+        part = cal(own, score, "calibrated") if cal else own.withColumn("calibrated", F.col(score).cast("double"))
         out = part if out is None else out.unionByName(part)
     out = cut_lineage(out)
     before = M.ece(rows, label, score).first()["ece"]

@@ -158,12 +158,14 @@ def order_snapshots(
     cleaned: DataFrame,
     order: str = "expenditure_progress",
     harvest: tuple[int, int] = S.HARVEST_MONTH,
+    store: K.Store | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(dated, undated) snapshots in order, each with axis, as_of and sequence numbers."""
     dated = K.one_per_month(cleaned.filter("dated"))
     dated = K.sequence(dated, [F.col("axis")]).withColumn("as_of", C.mid_month(F.col("axis")))
 
-    undated = K.sequence_undated(cleaned.filter("not dated"), order)
+    loose = cleaned.filter("not dated")
+    undated = K.sequence_sorted(loose, order, store) if store else K.sequence_undated(loose, order)
     stamp = stamp_months(harvest)
     undated = undated.select(
         "*", F.col("seq_index").alias("axis"), C.mid_month(stamp).alias("as_of")
@@ -184,12 +186,18 @@ def build_panel(
     harvest: tuple[int, int] = S.HARVEST_MONTH,
     horizons: Sequence[int] = S.HORIZONS,
     block_rows: int = BLOCK_ROWS,
+    store: K.Store | None = None,
 ) -> DataFrame:
-    """Raw records to the transition panel in full precision."""
-    unique = K.dedupe(raw.filter(F.coalesce(F.col("project_id"), F.lit(0)) != 0))
-    cleaned = K.clean(unique, K.project_attributes(raw, unique))
-    # The calendar bounds a dated project; an undated one is worked on in cells and blocks.
-    dated, undated = order_snapshots(cleaned, order, harvest)
+    """Raw records to the transition panel in full precision.
+
+    With `store` (such as `cut_lineage`) the unique and the typed records are each derived
+    once, and undated projects are sorted across the cluster; without it no job runs here.
+    """
+    keep = store or (lambda df: df)
+    unique = keep(K.dedupe(raw.filter(F.coalesce(F.col("project_id"), F.lit(0)) != 0)))
+    cleaned = keep(K.clean(unique, K.project_attributes(raw, unique)))
+    # The calendar bounds a dated project; an undated one is worked on in ranges or cells, and in blocks.
+    dated, undated = order_snapshots(cleaned, order, harvest, store)
     columns = dated.columns
     parts = [
         history(dated.filter(eligible()), horizons),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,21 +31,24 @@ def join_attributes(
     rows: DataFrame,
     attributes: DataFrame,
     key: str,
-    row_id: str,
+    row_id: str | Sequence[str],
     share: float = HOT_SHARE,
     min_rows: int = HOT_ROWS,
+    how: str = "inner",
 ) -> DataFrame:
-    """Inner join of many rows with one attribute row per key.
+    """Join of many rows with one attribute row per key: "inner", "left_semi" or "left_anti".
 
     Rows of a hot key are spread over parts and its attribute row is repeated once per
-    part, so no task gets more than about `share` of the rows.
+    part, so no task gets more than about `share` of the rows. Rows without a key match
+    nothing and are spread as well.
     """
     hot = F.broadcast(hot_keys(rows, key, share, min_rows))
+    spread = F.xxhash64(*([row_id] if isinstance(row_id, str) else row_id))
     parts = F.coalesce(F.col("_parts"), F.lit(1))
     left = rows.join(hot, key, "left").withColumn(
-        "_part", F.when(parts == 1, 0).otherwise(F.pmod(F.xxhash64(row_id), parts)).cast("int")
+        "_part", F.when(F.col(key).isNull(), F.pmod(spread, F.lit(1 << 20))).when(parts == 1, 0).otherwise(F.pmod(spread, parts)).cast("int")
     )
     right = attributes.join(hot, key, "left").withColumn(
         "_part", F.explode(F.sequence(F.lit(0), parts - 1))
     )
-    return left.drop("_parts").join(right.drop("_parts"), [key, "_part"]).drop("_part")
+    return left.drop("_parts").join(right.drop("_parts"), [key, "_part"], how).drop("_part")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slipwatch import schema as S
-from slipwatch.operators.ranked import axis_cell, ranked
+from slipwatch.operators.radix import middles
 from slipwatch.operators.skew import join_attributes
 
 
@@ -112,32 +112,10 @@ def out_of_time_report(df: DataFrame, label: str, test_months: int = 3) -> DataF
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Exact median per column as (feature, median), without sorting a column in one task.
-
-    The first pass counts values per cell of the number axis, a few thousand sums for each
-    column; the second ranks only the values of the one or two cells that hold the middle.
-    """
-    stacked = df.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")
-    ).select("x.feature", "x.value").filter("value is not null").withColumn("_cell", axis_cell(F.col("value") + F.lit(0.0)))
-    counts = stacked.groupBy("feature", "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    whole = Window.partitionBy("feature")
-    middle = (F.col("_all") - 1) / 2.0
-    holds = lambda at: (F.col("_before") <= at) & (at < F.col("_before") + F.col("_n"))
-    cells = (
-        counts.withColumn("_all", F.sum("_n").over(whole))
-        .withColumn("_before", F.sum("_n").over(whole.orderBy("_cell")) - F.col("_n"))
-        .filter(holds(F.floor(middle)) | holds(F.ceil(middle)))
-    )
-    # At most two cells a column: safe to broadcast.
-    near = stacked.join(F.broadcast(cells.select("feature", "_cell")), ["feature", "_cell"])
-    start = cells.groupBy("feature").agg(F.min("_before").alias("_before"), F.max("_all").alias("_all"))
-    table = ranked(near, "value", {"n": F.lit(1)}, ["feature"]).join(F.broadcast(start), "feature")
-    first = F.col("n_below") + F.col("_before")
-    inside = lambda at: (first <= at) & (at < first + F.col("n"))
-    low = F.max(F.when(inside(F.floor(middle)), F.col("value")))
-    high = F.max(F.when(inside(F.ceil(middle)), F.col("value")))
-    return table.groupBy("feature").agg((low + (high - low) * F.max(middle - F.floor(middle))).alias("median"))
+    """Exact median per column as (feature, median), by radix selection: four scans of `df`, which should be stored."""
+    found = middles(df, columns)
+    rows = [(c, low + (high - low) * 0.5) for c, (low, high) in found.items()]
+    return df.sparkSession.createDataFrame(rows, "feature string, median double")
 
 
 def fit_medians(train: DataFrame, columns: Sequence[str]) -> dict[str, float]:

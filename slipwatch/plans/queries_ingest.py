@@ -17,7 +17,8 @@ from slipwatch.plans import inputs as I
 from slipwatch.plans import oracle as O
 from slipwatch.plans.oracle import cols, many
 from slipwatch.plans.registry import query
-from slipwatch.sources.readers import parse_snapshots
+from slipwatch.session import cut_lineage
+from slipwatch.sources.readers import parse_snapshots, prefer_dated
 
 _RAW = "project_name sector_name original_cost revised_cost expenditure physical_progress sanction_date original_end_date revised_date remarks report_month harvest_sector_id"
 
@@ -153,8 +154,15 @@ def seq_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.sequence(I.snapshots(spark, sf_dir), [F.col("axis")]).select("project_id", "report_month", "seq_index", "n_snapshots")
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Raw records and typed ones, the latter derived once."""
+    raw = I.raw(spark, sf_dir)
+    unique = cut_lineage(K.dedupe(raw))
+    return raw, K.clean(unique, K.project_attributes(raw, unique))
+
+
 def _undated(spark: SparkSession, sf_dir: str, order: str = "expenditure_progress") -> DataFrame:
-    return K.sequence_undated(_cleaned(spark, sf_dir)[2].filter("not dated"), order)
+    return K.sequence_sorted(_stored(spark, sf_dir)[1].filter("not dated"), order)
 
 
 @query(f"WITH {O.ORDERED} SELECT {cols('l:project_id', 'l:harvest_seq', 'l:seq_index=axis', 'l:n_snapshots=n')} FROM loose")
@@ -176,18 +184,26 @@ _ORDER_SQL = {
     for n, o in _ORDER_SQL.items()))
 def ordering_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole cleaned table under each ordering, as if no record had a month."""
-    cleaned = _cleaned(spark, sf_dir)[2].select("project_id", "harvest_seq", "expenditure", "physical_progress", "revised_date")
+    cleaned = cut_lineage(_stored(spark, sf_dir)[1].select("project_id", "harvest_seq", "expenditure", "physical_progress", "revised_date"))
     out = None
     for name in K.ORDERINGS:
-        part = K.sequence_undated(cleaned, name).select(F.lit(name).alias("variant"), "project_id", "harvest_seq", "seq_index")
+        part = K.sequence_sorted(cleaned, name).select(F.lit(name).alias("variant"), "project_id", "harvest_seq", "seq_index")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+@query(f"WITH {O.CLEAN} SELECT {cols('l:harvest_seq', 'l:seq_index=row_number() OVER (ORDER BY least(expenditure, 1.0), physical_progress, revised_date NULLS FIRST, harvest_seq) - 1', 'l:n_snapshots=count(*) OVER ()')} FROM clean")
+def order_of_equals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records as one project whose leading column is nearly always the same."""
+    rows = _stored(spark, sf_dir)[1].select(
+        F.lit(1).alias("project_id"), "harvest_seq", F.least("expenditure", F.lit(1.0)).alias("expenditure"), "physical_progress", "revised_date"
+    )
+    return K.sequence_sorted(rows).select("harvest_seq", "seq_index", "n_snapshots")
+
+
 @query(f"""WITH {O.RHIST} SELECT {cols('l:project_id', 'l:n_snapshots=max(n_snapshots)', 'd:order_confidence=max(order_confidence)', 'l:order_reliable=max((dated OR order_confidence >= 0.6)::INTEGER)')} FROM rhist GROUP BY 1""")
 def order_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw, _, cleaned = _cleaned(spark, sf_dir)
-    hist = _raw_history(raw, cleaned)
+    hist = _raw_history(*_stored(spark, sf_dir))
     return hist.groupBy("project_id").agg(
         F.max("n_snapshots").alias("n_snapshots"),
         F.max("order_confidence").alias("order_confidence"),
@@ -196,7 +212,7 @@ def order_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _raw_history(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
-    dated, undated = P.order_snapshots(cleaned)
+    dated, undated = P.order_snapshots(cleaned, store=cut_lineage)
     loose = P.history(undated.select(dated.columns), block_rows=P.BLOCK_ROWS)
     return P.history(dated).unionByName(loose)
 
@@ -220,7 +236,7 @@ _PANEL = [
 @query(f"WITH {O.RTRANS} SELECT {cols(*_PANEL)} FROM rtrans WHERE project_id <> 0")
 def raw_to_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole build, from dirty text records with and without months to the panel."""
-    panel = P.build_panel(I.raw(spark, sf_dir))
+    panel = P.build_panel(I.raw(spark, sf_dir), store=cut_lineage)
     return panel.select(*S.PANEL_IDS, *S.FEATURES, "slip_next", "slip_within_3m", "slip_within_6m", "censored_3m", "censored_6m")
 
 
@@ -238,8 +254,9 @@ SELECT {cols(*many('l', 'raw_records unique_snapshots expenditure_unit_rescaled
  'd:positive_rate=positives / transitions_emitted', "s:time_axis_mode=CASE WHEN dated_projects > 0 AND reconstructed_projects = 0 THEN 'observed' WHEN dated_projects > 0 THEN 'mixed' ELSE 'reconstructed' END")}
 FROM a, b, c, d""")
 def panel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw, _, cleaned = _cleaned(spark, sf_dir)
-    hist = _raw_history(raw, cleaned)
+    raw, cleaned = _stored(spark, sf_dir)
+    cleaned = cut_lineage(cleaned)
+    hist = cut_lineage(_raw_history(raw, cleaned))
     return P.panel_counts(raw, cleaned, hist, P.transitions(hist.filter(P.eligible())))
 
 
@@ -311,3 +328,15 @@ def keyword_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
         C.mentions(text, S.LITIGATION_WORDS).alias("litigation"),
         F.when(C.mentions(text, S.CLEARANCE_WORDS), 195).otherwise(0).alias("clearance_days"),
     )
+
+
+@query(f"""WITH {O.RAW}, d AS (SELECT * FROM raw WHERE project_id % 3 = 0 AND report_month IS NOT NULL),
+u AS (SELECT * REPLACE (NULL AS report_month) FROM raw WHERE project_id % 3 <> 1)
+SELECT {cols('l:project_id', 's:report_month', 'l:harvest_seq')} FROM (SELECT * FROM d UNION ALL SELECT * FROM u WHERE project_id NOT IN (SELECT project_id FROM d))""")
+def prefer_dated_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dated source of some projects over an undated one of more."""
+    raw = I.raw(spark, sf_dir).select("project_id", "report_month", "harvest_seq")
+    pid = F.pmod("project_id", F.lit(3))
+    dated = raw.filter((pid == 0) & F.col("report_month").isNotNull())
+    undated = raw.filter(pid != 1).withColumn("report_month", F.lit(None).cast("string"))
+    return prefer_dated(dated, undated, hot_rows=1000)

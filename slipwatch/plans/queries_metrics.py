@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from slipwatch.operators import backtest as B
 from slipwatch.operators import diagnostics as Dg
 from slipwatch.operators import metrics as M
+from slipwatch.operators import models as Mo
+from slipwatch.operators import pooling as Pool
 from slipwatch.operators import portfolio as Po
+from slipwatch.operators import splits as Sp
 from slipwatch.plans import inputs as I
 from slipwatch.plans import oracle as O
 from slipwatch.plans.oracle import cols, many
@@ -248,3 +251,38 @@ def gap_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT {cols("s:cohort=CASE WHEN ever = 1 THEN 'ever' ELSE 'never' END", 'l:projects=count(DISTINCT project_id)', 'l:project_months=count(*)', 'd:mean_physical_progress=avg(physical_progress)', 'd:mean_progress_delta=avg(progress_delta)', 'd:stalled_share=avg((progress_delta <= 0.1)::INTEGER)')} FROM e GROUP BY ever""")
 def stage_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Dg.stage_bias(I.panel(spark, sf_dir))
+
+
+def _steps_sql(counts: str, key: str) -> str:
+    """Isotonic steps by the minimax formula: the largest, over starts, of the smallest mean up to an end."""
+    return f"""
+iso_n AS (SELECT {key}, x, s, n, row_number() OVER (PARTITION BY {key} ORDER BY x) AS i,
+  sum(s) OVER (PARTITION BY {key} ORDER BY x) AS cs, sum(n) OVER (PARTITION BY {key} ORDER BY x) AS cn FROM {counts}),
+iso_m AS (SELECT a.{key} AS {key}, a.i AS a, b.i AS b, (b.cs - a.cs + a.s)::DOUBLE / (b.cn - a.cn + a.n)::DOUBLE AS mean FROM iso_n a JOIN iso_n b ON a.{key} = b.{key} AND a.i <= b.i),
+iso_low AS (SELECT {key}, a, b, min(mean) OVER (PARTITION BY {key}, a ORDER BY b DESC) AS low FROM iso_m),
+iso_v AS (SELECT {key}, b AS i, max(low) AS value FROM iso_low GROUP BY 1, 2),
+steps AS (SELECT {key}, min(x) AS lo, max(x) AS hi, sum(s) AS positives, sum(n) AS rows, value FROM iso_n JOIN iso_v USING ({key}, i) GROUP BY {key}, value)"""
+
+
+@query(f"""WITH {O.PANEL}, c AS (SELECT 1 AS one, p_deadline + 0.0 AS x, sum(slip_next) AS s, count(*) AS n FROM panel WHERE slip_next IS NOT NULL GROUP BY 2), {_steps_sql("c", "one")}
+SELECT {cols("d:lo", "d:hi", "l:positives", "l:rows", "d:value")} FROM steps""")
+def isotonic_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The isotonic fit of the deadline score."""
+    return Pool.isotonic_steps(Pool.score_counts(I.panel(spark, sf_dir), "slip_next", "p_deadline"))
+
+
+@query(f"""WITH {O.PANEL}, f AS (SELECT ('0x' || substr(md5(project_id::VARCHAR), 1, 12))::BIGINT % 5 AS fold, p_deadline + 0.0 AS x, slip_next AS y FROM panel WHERE slip_next IS NOT NULL),
+c AS (SELECT k AS fold, x, sum(y) AS s, count(*) AS n FROM f, (SELECT unnest([0, 1, 2, 3, 4]) AS k) WHERE k <> fold GROUP BY 1, 2), {_steps_sql("c", "fold")},
+chain AS (SELECT *, lead(lo) OVER w AS next_lo, lead(value) OVER w AS next_value, first(value) OVER w AS first_value FROM steps WINDOW w AS (PARTITION BY fold ORDER BY lo)),
+cal AS (SELECT f.fold, f.x, f.y, CASE WHEN t.lo IS NULL THEN (SELECT min(value) FROM steps s WHERE s.fold = f.fold) WHEN f.x <= t.hi OR next_lo IS NULL THEN value
+  ELSE value + (next_value - value) * (f.x - hi) / (next_lo - hi) END AS p FROM f ASOF LEFT JOIN chain t ON f.fold = t.fold AND f.x >= t.lo)
+SELECT {cols("l:fold", "l:rows=count(*)", "d:mean_score=avg(x)", "d:mean_calibrated=avg(p)", "d:brier_before=avg((x - y) * (x - y))", "d:brier_after=avg((p - y) * (p - y))")} FROM cal GROUP BY 1""")
+def calibrated_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deadline score calibrated by isotonic fits on the other folds."""
+    rows, _, _ = Mo.cross_fit_calibration(I.panel(spark, sf_dir), "p_deadline", method="isotonic")
+    y = F.col("slip_next")
+    brier = lambda p: F.avg((F.col(p) - y) * (F.col(p) - y))
+    return rows.groupBy(Sp.fold(5).alias("fold")).agg(
+        F.count(F.lit(1)).alias("rows"), F.avg("p_deadline").alias("mean_score"), F.avg("calibrated").alias("mean_calibrated"),
+        brier("p_deadline").alias("brier_before"), brier("calibrated").alias("brier_after"),
+    )

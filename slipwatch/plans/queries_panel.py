@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from slipwatch import schema as S
 from slipwatch.operators import panel as P
 from slipwatch.operators import splits as Sp
+from slipwatch.operators.hazard import Hazard
 from slipwatch.plans import inputs as I
 from slipwatch.plans import oracle as O
 from slipwatch.plans.oracle import cols, many
 from slipwatch.plans.registry import query
+from slipwatch.session import cut_lineage
 
 _KEY = ["l:project_id", "l:seq_index"]
 
@@ -105,8 +107,8 @@ def split_oot(spark: SparkSession, sf_dir: str) -> DataFrame:
        + " UNION ALL ".join(f"SELECT '{f}' AS feature, {cols(f'd:median=quantile_cont({f}, 0.5)')} FROM tr" for f in S.FEATURES))
 def train_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact medians of all features over the training side of the last-row split."""
-    train = Sp.split_last(P.with_features(I.transitions(spark, sf_dir))).filter("is_test = 0")
-    return Sp.medians(train, S.FEATURES)
+    panel = cut_lineage(P.with_features(I.transitions(spark, sf_dir)).select("project_id", "seq_index", *S.FEATURES))
+    return Sp.medians(cut_lineage(Sp.split_last(panel).filter("is_test = 0")), S.FEATURES)
 
 
 @query(f"""WITH {O.TRANS}, sp AS (SELECT *, seq_index = max(seq_index) OVER (PARTITION BY project_id) AS test FROM trans)
@@ -143,3 +145,16 @@ def score_horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Sv.score_horizons(panel, served).select(
         "project_id", "seq_index", "p_1m", "p_3m", "p_6m", "lifted_3m", "lifted_6m", "decision_1m", "decision_3m", "decision_6m"
     )
+
+
+# A hazard with set coefficients: one number a feature, by a rule.
+_HAZARD = [round(((7 * i) % 11 - 5) / 20, 2) for i in range(len(S.FEATURES))]
+_SCALE = [1.0 + i % 5 for i in range(len(S.FEATURES))]
+_ETA = " + ".join(["-1.5::DOUBLE", *[f"(coalesce({f}, 0.5::DOUBLE)::DOUBLE - 0.25::DOUBLE) / {s}::DOUBLE * ({b}::DOUBLE)" for f, s, b in zip(S.FEATURES, _SCALE, _HAZARD)]])
+
+
+@query(f"WITH {O.PANEL} SELECT {cols(*_KEY, f'd:hazard=1.0::DOUBLE - exp(-exp(least(30.0::DOUBLE, greatest(-30.0::DOUBLE, {_ETA}))))')} FROM panel")
+def hazard_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complementary log-log scores of set coefficients; gaps take set medians."""
+    model = Hazard("hazard", S.FEATURES, [0.25] * len(S.FEATURES), _SCALE, [-1.5, *_HAZARD], dict.fromkeys(S.FEATURES, 0.5))
+    return model(I.panel(spark, sf_dir)).select("project_id", "seq_index", "hazard")

@@ -127,6 +127,41 @@ def test_month_load_resumes_and_keeps_quiet_months(spark, tmp_path):
     assert got == [("2025-01", "1", 7, "a"), ("2025-01", "2", 8, "c"), ("2025-02", "1", 7, "a")]
 
 
+@pytest.mark.parametrize("sizes", [(3, 400, 50), (400, 3, 50)])
+def test_input_order_does_not_depend_on_how_files_are_cut(spark, tmp_path, sizes):
+    """Records without a position are numbered by path, then by place in the file."""
+    import json
+
+    want = []
+    for i, n in enumerate(sizes):
+        lines = [json.dumps({"ProjectId": 1 + i, "ProjectName": f"{i}-{k}", "Expenditure": "1" * (k % 90)}) for k in range(n)]
+        (tmp_path / f"part-{i}.jsonl").write_text("\n".join(lines) + "\n")
+        want += [f"{i}-{k}" for k in range(n)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "2k", "700"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = Rd.read_snapshots(spark, str(tmp_path), lines=True).collect()
+            assert [r.project_name for r in sorted(rows, key=lambda r: r.harvest_seq)] == want
+            assert sorted(r.harvest_seq for r in rows) == list(range(len(want)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_prefer_dated_spreads_a_hot_project(spark):
+    dated = spark.createDataFrame([(1, "2025-01"), (3, "2025-01")], "project_id int, report_month string")
+    loose = spark.range(20_000).select(F.when(F.col("id") % 10 > 0, 1).otherwise(F.pmod("id", F.lit(70)).cast("int")).alias("project_id"), F.col("id").alias("harvest_seq"))
+    loose = loose.unionByName(spark.range(50).select(F.lit(None).cast("int").alias("project_id"), (F.col("id") + 10**6).alias("harvest_seq")))
+    got = Rd.prefer_dated(dated, loose, hot_rows=100)
+    plain = Rd.prefer_dated(dated, loose)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect()))
+    assert got.filter("project_id = 1").count() == 1 and got.filter("project_id is null").count() == 50 and got.filter("project_id = 10").count() > 100
+    from slipwatch.operators.skew import hot_keys
+
+    parts = {r.project_id: r._parts for r in hot_keys(loose, "project_id", 0.001, 100).collect()}
+    assert parts[1] > 100
+
+
 def test_checkpoint_folder_comes_from_the_session(spark):
     from slipwatch.session import checkpoint_dir
 
