@@ -17,8 +17,9 @@ from slipwatch.plans import inputs as I
 from slipwatch.plans import oracle as O
 from slipwatch.plans.oracle import cols, many
 from slipwatch.plans.registry import query
-from slipwatch.session import cut_lineage
+from slipwatch.session import cut_lineage, scratch
 from slipwatch.sources.readers import parse_snapshots, prefer_dated
+from slipwatch.streaming.months import load_batch, loaded, merge_late
 
 _RAW = "project_name sector_name original_cost revised_cost expenditure physical_progress sanction_date original_end_date revised_date remarks report_month harvest_sector_id"
 
@@ -340,3 +341,34 @@ def prefer_dated_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     dated = raw.filter((pid == 0) & F.col("report_month").isNotNull())
     undated = raw.filter(pid != 1).withColumn("report_month", F.lit(None).cast("string"))
     return prefer_dated(dated, undated, hot_rows=1000)
+
+
+_LOADED = "project_id, report_month, harvest_sector_id, harvest_seq"
+
+
+@query(f"""WITH {O.RAW}, r AS (SELECT {_LOADED} FROM raw WHERE report_month IS NOT NULL),
+b AS (SELECT *, 1 AS batch FROM r WHERE report_month < '1994-01' AND project_id % 7 <> 0
+  UNION ALL SELECT *, 2 FROM r WHERE report_month >= '1993-07' AND report_month < '1996-01'
+  UNION ALL SELECT *, 3 FROM r WHERE report_month >= '1995-10'),
+opened AS (SELECT report_month, harvest_sector_id, min(batch) AS opened FROM b GROUP BY 1, 2),
+firsts AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY report_month, harvest_sector_id, project_id ORDER BY batch, harvest_seq) = 1)
+SELECT {cols('l:project_id', 's:report_month', 's:harvest_sector_id', 'l:harvest_seq', 's:brought=CASE WHEN batch = opened THEN batch::VARCHAR ELSE chr(108) END')}
+FROM firsts JOIN opened USING (report_month, harvest_sector_id)""")
+def months_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table after three loads, of which two repeat months, one of them run twice, and a merge of what came late."""
+    raw = cut_lineage(I.raw(spark, sf_dir).filter("report_month is not null").select(*_LOADED.split(", ")))
+    month = F.col("report_month")
+    batches = {
+        "1": raw.filter((month < "1994-01") & (F.pmod("project_id", F.lit(7)) != 0)),
+        "2": raw.filter((month >= "1993-07") & (month < "1996-01")),
+        "3": raw.filter(month >= "1995-10"),
+    }
+    with scratch(spark) as folder:
+        target = f"{folder}/months"
+        for load, batch in batches.items():
+            load_batch(batch, target, load)
+        load_batch(batches["2"], target, "2")
+        late = merge_late(spark, target, raw.schema)
+        assert merge_late(spark, target, raw.schema) is None
+        brought = F.when(F.col("load") == late, "l").otherwise(F.col("load"))
+        return cut_lineage(loaded(spark, target, raw.schema).select(*raw.columns, brought.alias("brought")))

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +55,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise `df` on shared storage, so that lost executors cannot change it."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, kind: str = "files") -> Iterator[str]:
+    """A fresh folder in the shared one, removed at the end; what is to outlast it is written elsewhere."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/slipwatch-{kind}-{uuid.uuid4().hex}"
+    try:
+        yield folder
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -11,6 +11,7 @@ from slipwatch.operators import panel as P
 from slipwatch.operators.latest import latest_state
 from slipwatch.sources import readers as Rd
 from slipwatch.sources import writers as Wr
+from slipwatch.streaming import months as Mn
 from slipwatch.streaming.months import load_months, loaded, month_stream
 
 RECORDS = [
@@ -162,6 +163,66 @@ def test_prefer_dated_spreads_a_hot_project(spark):
     assert parts[1] > 100
 
 
+def table_of(spark, target, schema):
+    return sorted((r.report_month, r.harvest_sector_id, r.project_id, r.v, r.load) for r in loaded(spark, target, schema).collect())
+
+
+def test_ledger_commits_a_load(spark, tmp_path):
+    """A load that failed before its ledger entry is taken up again; one that was committed is not doubled."""
+    target = str(tmp_path / "t")
+    first = harvest(spark, [("2025-01", "1", 7, "a"), ("2025-01", "2", 8, "c")])
+    # Rows were written, the ledger was not: the same load replaces them.
+    first.limit(1).write.parquet(f"{target}/load=x-0")
+    Mn.ledger(spark, target, first.schema).write.parquet(str(tmp_path / "t_ledger/load=none"))
+    spark.createDataFrame([], Mn.LEDGER).drop("load").write.mode("overwrite").parquet(str(tmp_path / "t_ledger/load=none"))
+    for _ in range(3):
+        Mn.load_batch(first, target, "x-0")
+    want = [("2025-01", "1", 7, "a", "x-0"), ("2025-01", "2", 8, "c", "x-0")]
+    assert table_of(spark, target, first.schema) == want
+    pairs = Mn.ledger(spark, target, first.schema)
+    assert sorted((r.report_month, r.harvest_sector_id, r.records, r.load) for r in pairs.collect()) == [("2025-01", "1", 1, "x-0"), ("2025-01", "2", 1, "x-0")]
+    again = harvest(spark, [("2025-01", "1", 9, "late"), ("2025-01", "1", 7, "other"), ("2025-02", "1", 7, "a")])
+    for _ in range(2):
+        Mn.load_batch(again, target, "x-1")
+    assert table_of(spark, target, first.schema) == [*want, ("2025-02", "1", 7, "a", "x-1")]
+    late = Mn.merge_late(spark, target, first.schema)
+    assert table_of(spark, target, first.schema) == sorted([*want, ("2025-02", "1", 7, "a", "x-1"), ("2025-01", "1", 9, "late", late)])
+    assert Mn.merge_late(spark, target, first.schema) is None
+
+
+def test_a_table_without_a_ledger_is_counted_once(spark, tmp_path):
+    target = str(tmp_path / "t")
+    first = harvest(spark, [("2025-01", "1", 7, "a")])
+    first.write.parquet(f"{target}/load=old")
+    Mn.load_batch(harvest(spark, [("2025-01", "1", 8, "b"), ("2025-03", "1", 8, "c")]), target, "new")
+    assert table_of(spark, target, first.schema) == [("2025-01", "1", 7, "a", "old"), ("2025-03", "1", 8, "c", "new")]
+
+
+def test_loads_read_the_ledger_and_not_the_table(spark, tmp_path, monkeypatch):
+    target = str(tmp_path / "t")
+    first = harvest(spark, [("2025-01", "1", 7, "a")])
+    Mn.load_batch(first, target, "a")
+    monkeypatch.setattr(Mn, "loaded", lambda *a: pytest.fail("the table was read"))
+    Mn.load_batch(harvest(spark, [("2025-01", "1", 8, "b"), ("2025-02", "1", 8, "b")]), target, "b")
+    assert Mn.ledger(spark, target, first.schema).count() == 2
+
+
+def test_panel_is_rebuilt_for_touched_projects_only(spark, tmp_path):
+    target, panel = str(tmp_path / "t"), str(tmp_path / "p")
+    build = lambda df: df.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("v"))
+    first = harvest(spark, [("2025-01", "1", p, f"a{p}") for p in range(20)])
+    Mn.load_batch(first, target, "a")
+    Mn.refresh_panel(spark, target, first.schema, panel, ["a"], build, buckets=8)
+    Mn.load_batch(harvest(spark, [("2025-02", "1", p, f"b{p}") for p in (3, 50)]), target, "b")
+    stamps = lambda: {str(f): f.stat().st_mtime_ns for f in (tmp_path / "p").rglob("*.parquet")}
+    before = stamps()
+    Mn.refresh_panel(spark, target, first.schema, panel, ["b"], build, buckets=8, hot_rows=2)
+    got = {r.project_id: (r.n, r.v) for r in spark.read.parquet(panel).collect()}
+    assert got == {p: (1, f"a{p}") for p in range(20) if p != 3} | {3: (2, "b3"), 50: (1, "b50")}
+    folders = lambda files: {f.split("bucket=")[1].split("/")[0] for f in files}
+    assert len(folders(set(stamps()) - set(before))) <= 2 < len(folders(before))
+
+
 def test_checkpoint_folder_comes_from_the_session(spark):
     from slipwatch.session import checkpoint_dir
 
