@@ -210,8 +210,8 @@ def score_report(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()
     # Each score knows its key's totals, so what lies above it needs no join.
     up_pos, up_neg = _d("pos_all") - _d("pos_below"), _d("neg_all") - _d("neg_below")
     ranks = score_table(clipped, label, "_p", keys).groupBy(*keys).agg(
-        F.sum(_d("pos") / _d("pos_all") * (up_pos / (up_pos + up_neg))).alias("_ap"),
-        F.sum(_d("pos") / _d("pos_all") * (_d("neg_below") + _d("neg") / 2.0) / _d("neg_all")).alias("_auc"),
+        F.sum(F.try_divide(_d("pos"), _d("pos_all")) * (up_pos / (up_pos + up_neg))).alias("_ap"),
+        F.sum(F.try_divide(F.try_divide(_d("pos"), _d("pos_all")) * (_d("neg_below") + _d("neg") / 2.0), _d("neg_all"))).alias("_auc"),
     )
     binned = ece(clipped, label, "_p", keys)
     both = (F.col("_m") > 0) & (F.col("_m") < F.col("n"))
@@ -274,13 +274,18 @@ def decide(df: DataFrame, score: str, threshold: float) -> DataFrame:
     return df.withColumn("decision", (F.col(score) >= threshold).cast("int"))
 
 
-def auc_strata(df: DataFrame, label: str, score: str, history: str = "n_snapshots", strata: Sequence[tuple[int, int]] = STRATA) -> DataFrame:
-    """AUC within bands of history length."""
+def history_band(history: str = "n_snapshots", strata: Sequence[tuple[int, int]] = STRATA) -> Column:
+    """The name of the band that a history length lies in, or null."""
     band = None
     for low, high in strata:
         inside = F.col(history).between(low, high)
         band = F.when(inside, f"{low}-{high}") if band is None else band.when(inside, f"{low}-{high}")
-    banded = df.withColumn("stratum", band).filter("stratum is not null")
+    return band
+
+
+def auc_strata(df: DataFrame, label: str, score: str, history: str = "n_snapshots", strata: Sequence[tuple[int, int]] = STRATA) -> DataFrame:
+    """AUC within bands of history length."""
+    banded = df.withColumn("stratum", history_band(history, strata)).filter("stratum is not null")
     measured = auc(banded, label, score, ["stratum"], constant_null=False)
     names = _named_rows(df, "stratum", [f"{low}-{high}" for low, high in strata])
     n = F.coalesce(F.col("positives") + F.col("negatives"), F.lit(0))

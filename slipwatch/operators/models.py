@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from slipwatch import schema as S
 from slipwatch.functions import rules as R
+from slipwatch.operators import backtest as Bt
 from slipwatch.operators import hazard as Hz
 from slipwatch.operators import metrics as M
 from slipwatch.operators import pooling as Po
+from slipwatch.operators import report as Rp
 from slipwatch.operators import splits as Sp
 from slipwatch.session import cut_lineage
 
@@ -315,12 +317,21 @@ def evaluate_horizon(panel: DataFrame, label: str, features: Sequence[str] = S.F
         "sweep": sweep,
         "threshold": M.best_threshold(sweep),
     }
+    banded = lambda df: df.withColumn("stratum", M.history_band())
+    splits = {"grouped": banded(oof), "last": banded(last)}
     split = Sp.out_of_time_report(panel, label)
     out["out_of_time_split"] = split
     if split.first()["status"] == "ok":
         late = cut_lineage(holdout(Sp.split_out_of_time(rows), models, features, label))
+        splits["out_of_time"] = banded(late)
         out["out_of_time"] = compare(late, names, label)
         out["out_of_time_delong"] = M.delong_all(late, label, proposed, baselines)
+    out["report"] = Rp.stacked_report(Rp.stack(splits, names, label, "stratum"))
+    out["lead_time"] = Bt.lead_time(Bt.first_events(calibrated, point, label))
     final = [m for m in models if m.name == proposed]
-    out["model"] = final[0].fit(rows, features, label) if final else None
+    model = final[0].fit(rows, features, label) if final else None
+    out["model"] = model
+    out["importances"] = importances(model, features) if hasattr(getattr(model, "model", None), "stages") and hasattr(model.model.stages[-1], "featureImportances") else []
+    # What is served: the final model on the calibrated scale that the threshold was picked on.
+    out["served"] = (lambda df: calibrator(model(df), proposed, "calibrated")) if model and calibrator else model
     return out

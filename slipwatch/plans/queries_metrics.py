@@ -14,6 +14,7 @@ from slipwatch.operators import models as Mo
 from slipwatch.operators import pooling as Pool
 from slipwatch.operators import portfolio as Po
 from slipwatch.operators import splits as Sp
+from slipwatch.operators.serving import group_rates
 from slipwatch.plans import inputs as I
 from slipwatch.plans import oracle as O
 from slipwatch.plans.oracle import cols, many
@@ -175,10 +176,14 @@ def best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Po.best_model(M.score_report(_stacked(spark, sf_dir), "slip_next", "score", ["model"]))
 
 
-_EVENTS = f"""WITH {O.PANEL}, g AS (SELECT unnest([{', '.join(repr(t) + '::DOUBLE' for t in B.ALERT_LEVELS)}]) AS level),
-ev AS (SELECT level, project_id, min(CASE WHEN slip_next = 1 THEN seq_index END) AS first_slip, min(CASE WHEN p_deadline >= level THEN seq_index END) AS first_alert, min(seq_index) AS first_row, max(n_snapshots) AS n_snapshots FROM panel, g GROUP BY 1, 2)
+def _events_sql(source: str, score: str, levels: list[float]) -> str:
+    return f"""WITH {source}, g AS (SELECT unnest([{', '.join(repr(t) + '::DOUBLE' for t in levels)}]) AS level),
+ev AS (SELECT level, project_id, min(CASE WHEN slip_next = 1 THEN seq_index END) AS first_slip, min(CASE WHEN {score} >= level THEN seq_index END) AS first_alert, min(seq_index) AS first_row, max(n_snapshots) AS n_snapshots FROM panel, g GROUP BY 1, 2)
 """
-_LEAD = _EVENTS + """, e2 AS (SELECT *, first_slip IS NOT NULL AS s, first_alert IS NOT NULL AS a, CASE WHEN first_slip IS NOT NULL AND first_alert IS NOT NULL THEN first_slip + 1 - first_alert END AS lead FROM ev),
+
+
+_EVENTS = _events_sql(O.PANEL, "p_deadline", B.ALERT_LEVELS)
+_LEADS_SQL = """, e2 AS (SELECT *, first_slip IS NOT NULL AS s, first_alert IS NOT NULL AS a, CASE WHEN first_slip IS NOT NULL AND first_alert IS NOT NULL THEN first_slip + 1 - first_alert END AS lead FROM ev),
 c AS (SELECT level, count(*) FILTER (s) AS slip_projects, count(*) FILTER (lead > 0) AS alerted_before_slip, count(*) FILTER (s AND NOT a) AS never_alerted,
  count(*) FILTER (s AND first_slip = first_row) AS left_censored, count(*) FILTER (lead IS NOT NULL AND n_snapshots <= 3) AS window_truncated,
  quantile_cont(lead, 0.5) AS median_lead, avg(lead) AS mean_lead, quantile_cont(lead, 0.25) AS p25_lead, quantile_cont(lead, 0.75) AS p75_lead,
@@ -187,6 +192,7 @@ c AS (SELECT level, count(*) FILTER (s) AS slip_projects, count(*) FILTER (lead
 r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS alert_precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall, CASE WHEN fp + tn > 0 THEN fp / (fp + tn) ELSE 0.0 END AS false_alarm_rate FROM c),
 l AS (SELECT *, CASE WHEN alert_precision + recall > 0 THEN 2 * alert_precision * recall / (alert_precision + recall) ELSE 0.0 END AS f1, tp + fp AS projects_flagged FROM r)
 """
+_LEAD = _EVENTS + _LEADS_SQL
 _LEADS = ["d:level", *many("l", "slip_projects alerted_before_slip never_alerted left_censored window_truncated"), *many("d", "median_lead mean_lead p25_lead p75_lead share_positive share_zero share_negative"),
           "l:projects_total", *many("d", "alert_precision recall false_alarm_rate f1"), "l:projects_flagged"]
 
@@ -286,3 +292,17 @@ def calibrated_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("rows"), F.avg("p_deadline").alias("mean_score"), F.avg("calibrated").alias("mean_calibrated"),
         brier("p_deadline").alias("brier_before"), brier("calibrated").alias("brier_after"),
     )
+
+
+_LEVELS = [0.005, 0.01, 0.02, 0.05, 0.1, 0.3]
+_OOF = O.PANEL.replace("panel AS (", "panel0 AS (") + """,
+fo AS (SELECT *, ('0x' || substr(md5(project_id::VARCHAR), 1, 12))::BIGINT % 5 AS fold FROM panel0 WHERE slip_next IS NOT NULL),
+rates AS (SELECT k, p_binary > 0 AS on_, avg(slip_next) AS rate FROM fo, (SELECT unnest([0, 1, 2, 3, 4]) AS k) WHERE fold <> k GROUP BY 1, 2),
+panel AS (SELECT fo.*, coalesce(rate, 0.0) AS p_oof FROM fo LEFT JOIN rates ON k = fold AND on_ = (p_binary > 0))"""
+
+
+@query(_events_sql(_OOF, "p_oof", _LEVELS) + _LEADS_SQL + f"SELECT {cols(*_LEADS)} FROM l")
+def lead_time_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lead time of out-of-fold model scores; the model is saturated, so SQL can state them."""
+    scores = Mo.grouped_cv(I.panel(spark, sf_dir), [group_rates("p_binary", "p_oof")], ["expenditure_pct"])
+    return B.lead_time(B.first_events(scores, "p_oof", levels=_LEVELS))

@@ -115,6 +115,10 @@ def test_horizon_evaluation(rows):
     assert out["out_of_time"].count() == 3 and out["threshold"].count() == 1
     assert {r.baseline for r in out["grouped_delong"].collect()} == {"prior", "hazard"}
     assert Mo.linear_terms(out["model"], FEATURES)["a"] > 0
+    report = {(r.split, r.model, r.stratum): r.n for r in out["report"].collect()}
+    assert {k[0] for k in report} == {"grouped", "last", "out_of_time"} and report["grouped", "logit", "all"] == 3000
+    assert out["lead_time"].count() == 6 and out["importances"] == []
+    assert out["served"](rows).columns[-1] in ("calibrated", "logit")
     small = Mo.evaluate_horizon(panel.limit(150), "slip_next", FEATURES, models)
     assert small == {"status": "insufficient_rows", "rows_available": 150}
     gbt = Mo.fit_gbt(rows, FEATURES, "slip_next", trees=3)
