@@ -366,19 +366,12 @@ def _link(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         return rows.repartition(width, "tree").sortWithinPartitions("tree").mapInPandas(visit_all, "a long, b long, tree long, again boolean")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        @F.pandas_udf("boolean")
-        def link(x: pd.Series, y: pd.Series) -> pd.Series:
-            out = []
-            for p, q in zip(x, y, strict=True):
-                s, t = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                out.append(100 * both >= percent * (len(s) + len(t) - both))
-            return pd.Series(out, dtype=bool)
-
         bodies = sets_of(pairs)
         left = bodies.select(F.col("cid").alias("a"), F.col("shingles").alias("_x"))
         right = bodies.select(F.col("cid").alias("b"), F.col("shingles").alias("_y"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", link("_x", "_y").alias("linked"))
+        both = F.size(F.array_intersect("_x", "_y"))
+        linked = F.lit(100) * both >= F.lit(percent) * (F.size("_x") + F.size("_y") - both)
+        return pairs.join(left, "a").join(right, "b").select("a", "b", linked.alias("linked"))
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         """The shingles of every class in `pairs`; only texts that may be among them are shuffled."""
@@ -386,12 +379,12 @@ def _link(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
         def make(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
-                yield pd.DataFrame({"cid": part["cid"], "shingles": [shingle_set(t).tobytes() for t in part["text"]]})
+                yield pd.DataFrame({"cid": part["cid"], "shingles": [shingle_set(t).view(np.int64) for t in part["text"]]})
 
         few = docs.select(row_key().alias("key"), "text").filter(maybe_in(F.col("key"), ids.select("key")))
         # Rows of one id and text are equal; they are put together before the shuffle.
         rows = few.groupBy("key").agg(F.min("text").alias("text")).join(ids, "key")
-        return saved(rows.select("cid", "text").mapInPandas(make, "cid long, shingles binary"), "sets")
+        return saved(rows.select("cid", "text").mapInPandas(make, "cid long, shingles array<long>"), "sets")
 
     rows = members.join(points, "cid").select("tree", "cid", "n", "counts")
     near = saved(pairs_of(rows, False), "pairs")
