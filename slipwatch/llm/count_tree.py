@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slipwatch.llm.common import components, finished, saved
+from slipwatch.llm.common import components, finished, give_back, saved
 from slipwatch.llm.shingles import GROUPS, mix, point, set_id, shingle_set
 
 PERCENT = 80
@@ -283,6 +283,7 @@ def _link(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
                 rows.append((own, len(s), point(s).tobytes(), dealt_keys(s, own & 0x7FFFFFFFFFFFFFFF, frequent, blocks, percent).view(np.int64) if len(s) else []))
             out = pd.DataFrame(rows, columns=["cid", "n", "counts", "keys"])
             yield pd.concat([part[["id", "named", "key"]], out], axis=1)
+        give_back()
 
     # Among nulls pandas would turn ids into floating-point numbers.
     given = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col("doc_id").isNotNull().alias("named"), row_key().alias("key"), "text")
@@ -330,6 +331,8 @@ def _link(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
                 yield batch(lists(key[:cut], cid[:cut]))
         if last_key is not None and len(last) > 1:
             yield batch(lists(np.full(len(last), last_key), last))
+        seen.clear()
+        give_back()
 
     dealt = described.select("cid", F.explode("keys").alias("key")).select("key", "cid")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -362,6 +365,8 @@ def _link(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
                 held.append(part.iloc[cut:])
             if held:
                 yield visit_trees(pd.concat(held), rooted, percent)
+            held.clear()
+            give_back()
 
         return rows.repartition(width, "tree").sortWithinPartitions("tree").mapInPandas(visit_all, "a long, b long, tree long, again boolean")
 
@@ -380,6 +385,7 @@ def _link(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         def make(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
                 yield pd.DataFrame({"cid": part["cid"], "shingles": [shingle_set(t).view(np.int64) for t in part["text"]]})
+            give_back()
 
         few = docs.select(row_key().alias("key"), "text").filter(maybe_in(F.col("key"), ids.select("key")))
         # Rows of one id and text are equal; they are put together before the shuffle.

@@ -29,6 +29,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slipwatch.llm.common import give_back
+
 MARK = "▁"
 REMEMBER = 1_000_000  # chunks a worker remembers, about 230 MB, and four times as many token pairs
 LONG_CHUNK = 64  # longer chunks are encoded anew each time
@@ -221,19 +223,20 @@ def decode_pieces(docs: DataFrame, model_file: str, ids: str = "piece_ids", out:
 
 
 def round_trip(
-    docs: DataFrame, model_file: str, text: str = "text", keep_ids: bool = False, remember: int = REMEMBER
+    docs: DataFrame, model_file: str, text: str = "text", keep_ids: bool = False, remember: int = REMEMBER, keep_table: bool = True
 ) -> DataFrame:
     """Adds n_tokens, ids_sha256 and decoded_sha256: encoding and decoding in one pass over each text.
 
     With `keep_ids` the ids come too, as binary column piece_ids; the decoded text stays in
-    the worker either way. A worker keeps up to `remember` chunks, also after this job.
+    the worker either way. A worker keeps the table and up to `remember` chunks, also after
+    this job; without `keep_table` it drops them at the end of each task.
     """
     made = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", piece_ids binary" * keep_ids
     names = [x.split()[0] for x in made.split(", ")]
 
     @F.pandas_udf(made)
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = table(model_file, remember)
+        codec = table(model_file, remember) if keep_table else PieceTable(model_file, remember)
         for texts in parts:
             rows = []
             for t in texts.fillna(""):
@@ -242,6 +245,9 @@ def round_trip(
                 row = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest(), ids)
                 rows.append(row[: len(names)])
             yield pd.DataFrame(rows, columns=names)
+        if not keep_table:
+            del codec
+            give_back()
 
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
     return docs.select(*kept, run(F.col(f"`{text}`")).alias("_trip")).select(*kept, "_trip.*")
