@@ -14,12 +14,23 @@ from slipwatch.llm import count_tree, language_mix, piece_codec, secret_scan, so
 from slipwatch.llm.common import saved
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-BATCH_ROWS, REMEMBER = 1000, 100_000
+REMEMBER = 100_000
+# Texts, their ids and copies of both stand in a Python worker at once: small batches keep it small.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
+def small_batches(spark: SparkSession) -> dict[str, str]:
+    """Sets BATCHES and returns what was set before; stages are evaluated after they return, so they leave it set."""
+    before = {key: spark.conf.get(key) for key in BATCHES}
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
+    return before
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a language (null, or no letter); a missing label is filled with the prediction."""
+    small_batches(spark)
     model = language_mix.learn_languages(docs)
     found = language_mix.identify(docs.select(*COLUMNS), model)
     kept = found.filter(F.col("lang_pred") != language_mix.UNKNOWN)
@@ -32,6 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows without an id link like all others and come last: they go only if a document with
     an id, or an earlier row without one, is in their component.
     """
+    small_batches(spark)
     firsts = count_tree.first_documents(docs)
     keyed = docs.select(*COLUMNS, count_tree.row_key().alias("_key"))
     own = lambda once: keyed.join(firsts.filter(F.col("once") == once).select(F.col("key").alias("_key")), "_key", "left_semi")
@@ -41,6 +53,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks every secret; no document goes."""
+    small_batches(spark)
     return secret_scan.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
@@ -51,10 +64,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit), their count and digests of ids and decoded text."""
-    # Ids of long texts are large, and workers go on to other jobs: small batches, a small memory of chunks.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    small_batches(spark)
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return piece_codec.round_trip(docs.select(*COLUMNS), model, keep_ids=True, remember=REMEMBER).select(
+    return piece_codec.round_trip(docs.select(*COLUMNS), model, keep_ids=True, remember=REMEMBER, keep_table=False).select(
         "doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256", "piece_ids"
     )
 
@@ -74,6 +86,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each is written as Parquet and read by the next."""
     docs = spark.read.schema(SCHEMA).parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), name)
+    before = small_batches(spark)
+    try:
+        for name, stage in STAGES:
+            docs = saved(stage(spark, docs, sf_dir), name)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return docs
