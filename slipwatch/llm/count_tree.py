@@ -10,12 +10,16 @@ Points of unrelated texts of one length lie so close that a tree over all docume
 next to nothing until it compares single points. So documents are first dealt into trees:
 in an order of all shingles with the frequent ones last, two sets that link share one of
 their first n - ceil(0.8 n) + 1 shingles, and there is one tree for every such shingle.
-Nothing is lost by that, whichever shingles count as frequent. Frequent shingles are dealt
-further by pairs of blocks of documents, so a tree holds a bounded number of points.
+Nothing is lost by that, whichever shingles count as frequent. The documents of a frequent
+shingle fall into blocks, one tree each, so a tree holds a bounded number of points.
 
 Equal sets are one class. A first round links each tree's members to its leaders and
 verifies; the second takes every pair left between different components. Only components
-are wanted, so pairs inside one component need no check.
+are wanted, so pairs inside one component need no check. Rows of different blocks of a
+shingle meet in the second round, and only those outside the shingle's largest component
+go into the other blocks: a group of copies is one component by then and costs nothing.
+A pair that several trees hold comes from the first of them alone, as far as each row's
+first OWN_TREES trees tell.
 
 Defined results: null and empty texts and texts without words have no shingles and link
 with nothing; fewer than five words are one shingle; rows with equal sets link; rows without
@@ -26,22 +30,25 @@ different sets share a class number, or two rows a key, with a chance of about 2
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slipwatch.llm.common import components, finished, give_back, saved
-from slipwatch.llm.shingles import GROUPS, mix, point, set_id, shingle_set
+from slipwatch.llm.shingles import mix, point, read_points, set_id, shingle_set
 
 PERCENT = 80
 LEAF = 32
-BLOCK = 2048  # points of one frequent shingle's block; a tree holds two blocks
+BLOCK = 2048  # points of one frequent shingle's block
+OWN_TREES = 32  # a row's first trees, which travel with it so that a pair need not come from every tree it shares
 EVERY = 32  # one document in so many tells which shingles are frequent
 FREQUENT = 4  # of the documents looked at, so many at least hold a frequent shingle
 FILTER_BITS = 1 << 23  # 1 MB; a power of two
+REMEMBER = 1 << 16  # lists of members that a task knows again; those it forgot are put together in the shuffle
 MOST_FREQUENT = 1 << 20  # frequent shingles at most, 16 MB on each worker; more keep their place in the order
 
 
@@ -50,27 +57,20 @@ def needed(sizes: np.ndarray | int, percent: int = PERCENT):
     return (percent * sizes + 99) // 100
 
 
-def dealt_keys(shingles: np.ndarray, owner: int, frequent: np.ndarray, blocks: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Numbers of the trees that a set belongs to."""
+def dealt_keys(
+    shingles: np.ndarray, owner: int, frequent: np.ndarray, blocks: np.ndarray, percent: int = PERCENT
+) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, wide): the trees that a set belongs to, and its shingles whose documents fall into several blocks."""
     n = len(shingles)
     at = np.minimum(np.searchsorted(frequent, shingles), max(0, len(frequent) - 1))
     common = frequent[at] == shingles if len(frequent) else np.zeros(n, bool)
     first = n - needed(n, percent) + 1
     rare = shingles[~common][:first]
-    rest = first - len(rare)
-    if rest <= 0:
-        return rare
-    keys = [rare]
-    for s, b in zip(shingles[common][:rest], blocks[at[common][:rest]], strict=True):
-        if b <= 1:
-            keys.append(np.array([s]))
-            continue
-        # Every pair of blocks meets in one tree.
-        own = owner % int(b)
-        other = np.arange(b, dtype=np.uint64)
-        low, high = np.minimum(other, np.uint64(own)), np.maximum(other, np.uint64(own))
-        keys.append(mix(s ^ mix(low * np.uint64(b) + high + np.uint64(1))))
-    return np.concatenate(keys)
+    rest = max(0, first - len(rare))
+    s, b = shingles[common][:rest], blocks[at[common][:rest]].astype(np.uint64)
+    # Two ways to cut blocks, by the shingle's last bit: rows that share shingles of both kinds tie the blocks together.
+    place = mix(np.uint64(owner) ^ (s & np.uint64(1))) % np.maximum(b, np.uint64(1))
+    return np.concatenate([rare, np.where(b > 1, mix(s ^ mix(place + np.uint64(1))), s)]), s[b > 1]
 
 
 class CountTree:
@@ -146,11 +146,14 @@ def leader_pairs(tree: CountTree, ids: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
 
 
-def open_pairs(tree: CountTree, ids: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs that may link and lie in different components."""
+def open_pairs(tree: CountTree, ids: np.ndarray, roots: np.ndarray, own: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs that may link and lie in different components, but for those known to share a smaller tree than `number`."""
     a, b = [], []
     for i, near in tree.pairs():
         near = near[roots[near] != roots[i]]
+        smaller = own[i][own[i] < number]
+        if len(near) and len(smaller):
+            near = near[~np.isin(own[near], smaller).any(1)]
         a.append(np.full(len(near), ids[i]))
         b.append(ids[near])
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
@@ -159,8 +162,12 @@ def open_pairs(tree: CountTree, ids: np.ndarray, roots: np.ndarray) -> tuple[np.
 def visit_trees(rows: pd.DataFrame, rooted: bool, percent: int) -> pd.DataFrame:
     """Pairs of all trees in `rows`, which come in order of tree."""
     tree, ids, sizes = (rows[c].to_numpy(np.int64) for c in ("tree", "cid", "n"))
-    points = np.frombuffer(b"".join(rows["counts"]), np.uint16).reshape(len(rows), GROUPS).astype(np.int32)
+    points = read_points(rows["counts"])
     roots = rows["root"].to_numpy(np.int64) if rooted else None
+    first = np.full((len(rows) if rooted else 0, OWN_TREES), np.iinfo(np.int64).max)
+    for k in range(len(first)):
+        found = rows["own"].iloc[k]
+        first[k, : len(found)] = found
     starts = np.concatenate(([0], np.flatnonzero(tree[1:] != tree[:-1]) + 1, [len(tree)]))
     count = np.diff(starts)
     # Trees of two points are one comparison each, and are done together.
@@ -174,7 +181,7 @@ def visit_trees(rows: pd.DataFrame, rooted: bool, percent: int) -> pd.DataFrame:
     for k in np.flatnonzero(count > 2):
         own = slice(starts[k], starts[k + 1])
         made = CountTree(points[own], sizes[own], percent)
-        a, b = open_pairs(made, ids[own], roots[own]) if rooted else leader_pairs(made, ids[own])
+        a, b = open_pairs(made, ids[own], roots[own], first[own], tree[starts[k]]) if rooted else leader_pairs(made, ids[own])
         out.append((a, b, np.full(len(a), tree[starts[k]]), np.ones(len(a), bool)))
     a, b, t, again = (np.concatenate(x) for x in zip(*out, strict=True))
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "tree": t, "again": again})[a != b]
@@ -232,6 +239,31 @@ def maybe_in(key: Column, ids: DataFrame) -> Column:
     return test(bit(key))
 
 
+def across(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(tree, cid, root): the trees in which rows of one shingle's different blocks meet, if their components differ.
+
+    `sets` has cid and wide, `roots` the components so far. Rows outside a shingle's largest component
+    go into each of its blocks, all others into their own. The list of shingles that
+    still hold several components has at most MOST_FREQUENT rows, so it is broadcast.
+    """
+    rows = (
+        sets.select("cid", F.explode("wide").alias("s")).join(roots.withColumnRenamed("id", "cid"), "cid", "left")
+        .select("s", "cid", F.coalesce("root", "cid").alias("root"))
+    )
+    mixed = (
+        rows.groupBy("s", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("s")
+        .agg(F.sum("n").alias("total"), F.max(F.struct("n", "root")).alias("top")).filter(F.col("total") > F.col("top.n"))
+        .select("s", F.col("top.root").alias("major"), F.ceil(F.col("total") / BLOCK).alias("all"), F.ceil((F.col("total") - F.col("top.n")) / BLOCK).alias("few"))
+    )
+    place = lambda salt, count: F.pmod(F.xxhash64("cid", F.lit(salt)), F.col(count))
+    each = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    dealt = rows.join(F.broadcast(mixed), "s")
+    target = dealt.select("s", "cid", "root", each("few").alias("i"), place(1, "all").alias("j"))
+    source = dealt.filter("root <> major").withColumn("i", place(2, "few")).select("s", "cid", "root", "i", each("all").alias("j"))
+    both = target.unionByName(source)
+    return both.select(F.xxhash64("s", "i", "j", F.lit(3)).alias("tree"), "cid", "root")
+
+
 def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of `docs` (needs doc_id, text)."""
     docs = docs.select("doc_id", "text")
@@ -280,16 +312,17 @@ def _link(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
             for t in part["text"]:
                 s = shingle_set(t)
                 own = set_id(s) if len(s) else 0
-                rows.append((own, len(s), point(s).tobytes(), dealt_keys(s, own & 0x7FFFFFFFFFFFFFFF, frequent, blocks, percent).view(np.int64) if len(s) else []))
-            out = pd.DataFrame(rows, columns=["cid", "n", "counts", "keys"])
+                keys, wide = dealt_keys(s, own & 0x7FFFFFFFFFFFFFFF, frequent, blocks, percent) if len(s) else (s, s)
+                rows.append((own, len(s), point(s).tobytes(), keys.view(np.int64), wide.view(np.int64)))
+            out = pd.DataFrame(rows, columns=["cid", "n", "counts", "keys", "wide"])
             yield pd.concat([part[["id", "named", "key"]], out], axis=1)
         give_back()
 
     # Among nulls pandas would turn ids into floating-point numbers.
     given = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col("doc_id").isNotNull().alias("named"), row_key().alias("key"), "text")
     described = saved(
-        given.mapInPandas(describe, "id long, named boolean, key long, cid long, n long, counts binary, keys array<long>")
-        .select(F.when(F.col("named"), F.col("id")).alias("doc_id"), "key", "cid", "n", "counts", "keys"),
+        given.mapInPandas(describe, "id long, named boolean, key long, cid long, n long, counts binary, keys array<long>, wide array<long>")
+        .select(F.when(F.col("named"), F.col("id")).alias("doc_id"), "key", "cid", "n", "counts", "keys", "wide"),
         "shingles",
     )
     classes = saved(described.filter("n > 0").groupBy("cid").agg(first("doc_id")).select("cid", F.col("x.id").alias("rep"), "x.key"), "classes")
@@ -297,7 +330,7 @@ def _link(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     # Trees with at least two classes, as lists of class numbers.
     def gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.schema([("members", pa.list_(pa.int64()))])
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         last_key, last = None, np.zeros(0, np.int64)
 
         def lists(key: np.ndarray, cid: np.ndarray) -> list[np.ndarray]:
@@ -309,8 +342,10 @@ def _link(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
             found = []
             for k in many:
                 own = cid[starts[k] : starts[k + 1]]
-                mark = hash(own.tobytes())
+                mark = blake2b(own.tobytes(), digest_size=16).digest()
                 if mark not in seen:
+                    if len(seen) >= REMEMBER:
+                        seen.clear()
                     seen.add(mark)
                     found.append(own)
             return found
@@ -339,14 +374,16 @@ def _link(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     lists = (
         dealt.repartition(width, "key").sortWithinPartitions("key", "cid")
         .mapInArrow(gather, "members array<long>")
-        .withColumn("tree", F.xxhash64("members")).dropDuplicates(["tree"])
+        .distinct()
     )
-    members = saved(lists.select("tree", F.explode("members").alias("cid")), "trees")
+    # Should two lists share a number, they are one larger tree, which loses no pair.
+    members = saved(lists.select(F.xxhash64("members").alias("tree"), F.explode("members").alias("cid")), "trees")
 
-    # The point of each class in a tree, from the row that names the class.
-    wanted = members.select("cid").distinct().join(classes.select("cid", "key"), "cid")
+    # The point of each class in a tree or in blocks, from the row that names the class.
+    blocked = described.filter(F.size("wide") > 0).select("cid")
+    wanted = members.select("cid").unionByName(blocked).distinct().join(classes.select("cid", "key"), "cid")
     points = saved(
-        described.filter("n > 0").select("cid", "key", "n", "counts").join(wanted, ["cid", "key"]).dropDuplicates(["cid", "key"]),
+        described.filter("n > 0").select("cid", "key", "n", "counts", "wide").join(wanted, ["cid", "key"]).dropDuplicates(["cid", "key"]),
         "points",
     )
 
@@ -399,8 +436,11 @@ def _link(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     rooted = members.join(roots.withColumnRenamed("id", "cid"), "cid", "left").select("tree", "cid", F.coalesce("root", "cid").alias("root"))
     mixed = rooted.groupBy("tree").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("tree")
     open_trees = near.filter("again").select("tree").distinct().join(mixed, "tree")
-    rooted = rooted.join(open_trees, "tree").join(points.select("cid", "n", "counts"), "cid").select("tree", "cid", "n", "counts", "root")
-    second = pairs_of(rooted, True).select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    left = saved(rooted.join(open_trees, "tree").unionByName(across(points.select("cid", "wide"), roots)).distinct(), "open")
+    by_tree = F.row_number().over(Window.partitionBy("cid").orderBy("tree"))
+    own = left.select("cid", "tree", by_tree.alias("r")).filter(F.col("r") <= OWN_TREES).groupBy("cid").agg(F.collect_list("tree").alias("own"))
+    placed = points.select("cid", "n", "counts").join(own, "cid")
+    second = pairs_of(left.join(placed, "cid"), True).select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
     second = saved(verified(saved(second, "pairs")), "pairs")
     # The components of the first round go on as stars.
     stars = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))

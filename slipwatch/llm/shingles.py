@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 
 WORDS = 5
@@ -14,18 +16,23 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
+KEPT_POWERS = 1 << 18  # 4 MB that a worker keeps
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _scale(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, for at least n places."""
-    if len(_powers[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers[0], _powers[1]
+    """Powers of the base and of its inverse modulo 2**64, for at least n places; long lists are not kept."""
+    if len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    size = 1 << max(16, int(n - 1).bit_length())
+    made = []
+    for base in (_BASE, pow(_BASE, -1, 2**64)):
+        steps = np.full(size, base, np.uint64)
+        steps[0] = 1
+        made.append(np.cumprod(steps))
+    if size <= KEPT_POWERS:
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -61,11 +68,16 @@ def shingle_set(text: str | None) -> np.ndarray:
 
 
 def point(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    """How many shingles fall into each group; a text for which 16 bits are too few is refused."""
+    """How many shingles fall into each group, in 16 bits a count, or 32 where a text needs them."""
     counts = np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
-    if counts.max(initial=0) > 0xFFFF:
-        raise ValueError("a text of more than about 16 million shingles")
-    return counts.astype(np.uint16)
+    return counts.astype(np.uint16 if counts.max(initial=0) <= 0xFFFF else np.uint32)
+
+
+def read_points(stored: Sequence[bytes], groups: int = GROUPS) -> np.ndarray:
+    """The points whose bytes are `stored`, one row each."""
+    if all(len(x) == 2 * groups for x in stored):
+        return np.frombuffer(b"".join(stored), np.uint16).reshape(len(stored), groups).astype(np.int32)
+    return np.stack([np.frombuffer(x, np.uint16 if len(x) == 2 * groups else np.uint32).astype(np.int64) for x in stored])
 
 
 def set_id(shingles: np.ndarray) -> int:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from slipwatch.llm import balanced_shards, bit_search, count_tree, itq_links, queries, source_mix
+from slipwatch.llm import balanced_shards, bit_search, count_tree, itq_links, queries, shingles, source_mix
 from slipwatch.llm.common import components
 
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -306,6 +306,36 @@ def test_tree_pairs_hold_every_link():
     assert set(got) == want
 
 
+def test_dealing_is_linear_in_a_group(spark, monkeypatch):
+    """Near copies of one text over many blocks: each goes into one tree a shingle, and all are one component."""
+    monkeypatch.setattr(count_tree, "BLOCK", 16)
+    monkeypatch.setattr(count_tree, "EVERY", 1)
+    made, old = [], count_tree.saved
+    monkeypatch.setattr(count_tree, "saved", lambda df, kind="step": made.append((kind, old(df, kind))) or made[-1][1])
+    monkeypatch.setattr(count_tree, "finished", lambda spark, build, kind: build())
+    rng, base, dealt = np.random.default_rng(3), [f"g{k}" for k in range(200)], {}
+    for size in (100, 400):
+        rows = []
+        for i in range(size):
+            words = list(base)
+            words[int(rng.integers(0, 200))] = f"y{i}"
+            rows.append((i, " ".join(words)))
+        made.clear()
+        assert {r["component_id"] for r in count_tree.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
+        steps = {kind: df for kind, df in made}
+        dealt[size] = sum(len(r["keys"]) for r in next(df for kind, df in made if kind == "shingles").collect())
+        assert steps["open"].count() == 0
+    assert dealt[400] <= 4.5 * dealt[100]
+
+
+def test_points_of_very_long_texts():
+    many = np.arange(20_000_000, dtype=np.uint64)
+    long, short = shingles.point(many), shingles.point(many[:1000])
+    assert long.dtype == np.uint32 and short.dtype == np.uint16
+    read = shingles.read_points([long.tobytes(), short.tobytes()])
+    assert (read.sum(1) == [20_000_000, 1000]).all() and (read[0] == long).all()
+
+
 def test_join_odd_tables(spark):
     df = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
     assert count_tree.link_documents(df([])).count() == 0
