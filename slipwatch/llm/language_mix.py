@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 16
 SAMPLE_PER_LANG = 3000  # training documents per language, the first by a hash of the id
-MAX_LANGS = 256  # the most frequent labels; a model of this size stays a few MB
+MODEL_CELLS = 1 << 26  # 256 MB at most; beyond 1,024 languages each has fewer buckets, none is left out
 EM_ROUNDS = 10
 EM_MORE = 4  # rounds after a language is dropped, from the shares before
 UNKNOWN = "und"
@@ -50,7 +50,7 @@ def grams(text: str) -> np.ndarray:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Names in code point order and log probabilities, one row per language."""
+    """Names in code point order and log probabilities, one row per language, a power of two of buckets."""
 
     names: list[str]
     logp: np.ndarray
@@ -59,7 +59,7 @@ class LanguageModel:
         """(language, share, all languages kept with their shares) of a whole text."""
         if not self.names or not text or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, []
-        found = np.sort(grams(text), kind="stable")
+        found = np.sort(grams(text) & np.uint16(self.logp.shape[1] - 1), kind="stable")
         ends = np.append(np.flatnonzero(found[1:] != found[:-1]), len(found) - 1)
         total = len(found)
         weight = np.diff(ends, prepend=-1) / total
@@ -92,20 +92,22 @@ class LanguageModel:
 
 def learn_languages(
     rows: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id",
-    sample_per_lang: int = SAMPLE_PER_LANG, max_langs: int = MAX_LANGS,
+    sample_per_lang: int = SAMPLE_PER_LANG, cells: int = MODEL_CELLS,
 ) -> LanguageModel:
     """N-gram distributions of a bounded sample of labelled rows.
 
     The sample takes the first `sample_per_lang` rows of each language by a hash of `order`;
-    the n-grams are counted on the cluster and no more than `max_langs` vectors reach the driver.
+    the n-grams are counted on the cluster. Every label is learned; the model has no more than `cells`
+    numbers as long as 16 buckets a language fit.
     """
     labelled = rows.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(order).alias("h")).filter(
         F.col("l").isNotNull() & F.col("t").isNotNull()
     )
-    counts = labelled.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(max_langs).collect()
+    counts = labelled.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()
     names = sorted(r["l"] for r in counts)
     if not names:
         return LanguageModel([], np.zeros((0, BUCKETS), np.float32))
+    buckets = min(BUCKETS, max(16, 1 << (max(1, cells // len(names)).bit_length() - 1)))
     # Hashes are uniform, so a threshold by each language's count gives about twice the sample; the cut is exact below.
     share = {r["l"]: min(1.0, 2.0 * sample_per_lang / r["n"] + 64.0 / r["n"]) for r in counts}
     reach = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, min(2**63 - 1, int((2.0 * v - 1.0) * 2**63)))])
@@ -117,21 +119,23 @@ def learn_languages(
         sums: dict[str, np.ndarray] = {}
         for part in parts:
             for name, t in zip(part["l"], part["t"], strict=True):
-                own = sums.setdefault(name, np.zeros(BUCKETS, np.int64))
-                own += np.bincount(grams(t), minlength=BUCKETS)
+                own = sums.setdefault(name, np.zeros(buckets, np.int64))
+                own += np.bincount(grams(t) & np.uint16(buckets - 1), minlength=buckets)
         for name, own in sums.items():
             at = np.flatnonzero(own)
             yield pd.DataFrame({"l": name, "g": at, "n": own[at]})
 
-    tables = np.zeros((len(names), BUCKETS))
+    tables = np.zeros((len(names), buckets), np.float32)
+    place = {name: k for k, name in enumerate(names)}
     totals = (
         sample.mapInPandas(count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
         .groupBy("l").agg(F.collect_list("g").alias("g"), F.collect_list("n").alias("n"))
     )
     for r in totals.toLocalIterator():
-        tables[names.index(r["l"]), r["g"]] = r["n"]
-    smooth = tables + 0.5
-    return LanguageModel(names, np.log(smooth / smooth.sum(1, keepdims=True)).astype(np.float32))
+        tables[place[r["l"]], r["g"]] = r["n"]
+    tables += 0.5
+    tables /= tables.sum(1, keepdims=True, dtype=np.float64)
+    return LanguageModel(names, np.log(tables, out=tables))
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", prefix: str = "") -> DataFrame:

@@ -238,6 +238,20 @@ def test_language_without_training_rows(spark):
     assert {r["lang_pred"] for r in language_mix.identify(docs, model).collect()} == {"und"}
 
 
+def test_every_label_is_learned(spark):
+    """Three hundred languages of one or a few documents, also in a model of fewer buckets."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(300):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(8)]
+        rows += [(10 * k + i, " ".join(rng.permutation(words)), f"l{k:03}") for i in range(1 + k % 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for cells, buckets in ((language_mix.MODEL_CELLS, 1 << 16), (300 << 12, 1 << 12)):
+        model = language_mix.learn_languages(df, cells=cells)
+        assert len(model.names) == 300 and model.logp.shape == (300, buckets)
+        assert [model.infer(t)[0] for _, t, _ in rows[::40]] == [r[2] for r in rows[::40]]
+
+
 def test_toxic_grammar_reads_clauses():
     model = toxic_grammar.ToxicModel({"idiot": 3.0}, {"lowei": 4.0})
     assert model.clause("you are an idiot") == {"aimed": 3.0}
