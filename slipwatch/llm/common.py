@@ -61,6 +61,14 @@ def give_back() -> None:
         trim(0)
 
 
+def fresh(name: str, columns: Sequence[str]) -> str:
+    """`name`, lengthened until none of `columns` has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def id_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

@@ -7,7 +7,8 @@ whose last document is cut where the budget ends. Native DataFrame operations on
 
 Defined results: null and empty texts have size 0, and are taken in no part; a null source is
 a source of its own, last in order; a source without words has target 0; repeated rows each
-count; a null id draws the same u as the text 'null'; reruns give the same result.
+count; a null id draws the same u as the text 'null'; reruns give the same result; columns of
+any name stay as they are, for all work is done beside one struct of them.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slipwatch.llm.common import BLANKS, WORD, running_total, saved
+from slipwatch.llm.common import BLANKS, WORD, fresh, running_total, saved
 
 # Weights of the sources in code point order, repeating; share of all words; most epochs.
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
-CELLS = 1024
+CELLS = 1024  # cells of the key range to a doubling
 NOISE_SIGNS = "#$%&*|"
 
 
@@ -86,29 +87,32 @@ def mix_sources(
 
     Needs doc_id, text and source; other columns stay (same names as the added ones are
     replaced). One source may hold any share of the rows: prefix sums go over cells of the
-    key range, so no task gets more than a cell of a source.
+    key range. A cell spans 1/`cells` of a doubling, where an exponential key of any rate falls
+    with a chance of at most ln(2) / (e * cells), so whatever the weights, no cell is expected to
+    hold more than 1/4,000 of a source.
     """
     added = ("size", "source_size", "target", "taken")
-    rest = [c for c in docs.columns if c not in (*added, "source")]
-    sized = docs.select(*[F.col(f"`{c}`") for c in rest], "source", word_count(F.col("text")).alias("size"))
-    keyed = sized.withColumn("_key", -F.log(uniform(F.col("doc_id"))) / quality_weight(F.col("text"), F.col("size")))
-    keyed = keyed.withColumn("_src", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
-    keyed = keyed.withColumn("_cell", F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * cells).cast("int"))
+    given = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (*added, "source") and (keep_text or c != "text")])
+    size = word_count(F.col("text"))
+    key = -F.log(uniform(F.col("doc_id"))) / quality_weight(F.col("text"), size)
+    keyed = docs.select(
+        given.alias("_given"), "source", size.alias("size"), key.alias("_key"), F.col("doc_id").alias("_id"),
+        F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_src"),
+    ).withColumn("_cell", F.floor(F.log2("_key") * cells).cast("int"))
     if keep_text:
-        sizes = docs.select("source", word_count(F.col("text")).alias("size"))
+        sizes = docs.select("source", size.alias("size"))
     else:
-        rest = [c for c in rest if c != "text"]
-        sizes = keyed = saved(keyed.drop("text"), "mix")
+        sizes = keyed = saved(keyed, "mix")
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(totals, weights, share, most).select(F.col("source").alias("_source"), "source_size", "target")
-    placed = running_total(keyed, ["_src"], "_cell", [F.col("_key"), F.col("doc_id"), F.col("size")], "size", "_before")
+    placed = running_total(keyed, ["_src"], "_cell", [F.col("_key"), F.col("_id"), F.col("size")], "size", "_before")
     epochs = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)).cast("double")).cast("long")
     budget = F.round(F.col("target") - epochs * F.col("source_size")).cast("long")
     part = F.greatest(F.lit(0), F.least(F.col("size"), budget - F.col("_before")))
     return (
         placed.join(targets, F.col("source").eqNullSafe(F.col("_source")))
         .withColumn("taken", (epochs * F.col("size") + part).cast("long"))
-        .select(*[F.col(f"`{c}`") for c in rest], "source", *added)
+        .select("_given.*", "source", *added)
     )
 
 
@@ -123,9 +127,10 @@ def emit_mix(mixed: DataFrame, text: str = "text", columns: Sequence[str] = ())
         F.when(whole > 0, F.array_repeat(F.lit(-1), whole)).otherwise(F.expr("cast(array() as array<int>)")),
         F.when(extra > 0, F.array(extra)).otherwise(F.expr("cast(array() as array<int>)")),
     )
-    rows = mixed.withColumn("_part", F.explode(copies))
+    part = fresh("_part", mixed.columns)
+    rows = mixed.withColumn(part, F.explode(copies))
     words = F.filter(F.split(F.col(text), f"[{BLANKS}]+"), lambda w: w != "")
-    body = F.when(F.col("_part") < 0, F.col(text)).otherwise(F.array_join(F.slice(words, 1, F.abs("_part")), " "))
+    body = F.when(F.col(part) < 0, F.col(text)).otherwise(F.array_join(F.slice(words, 1, F.abs(F.col(part))), " "))
     out = rows.withColumn(text, body)
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length(text).cast("long"))
