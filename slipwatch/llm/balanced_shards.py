@@ -9,7 +9,8 @@ above their exact size give up rows, and these and all unlinked documents fill t
 that counts differ by one at most. Native DataFrame operations only.
 
 Defined results: a null link value links with nothing; repeated rows are rows of their own;
-more shards than rows leave some empty; an empty table gives no rows.
+more shards than rows leave some empty; an empty table gives no rows; columns of any name stay
+as they are, for all work is done beside one struct of them.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from slipwatch.llm.common import finished, running_total, saved
 
 ROUNDS = 4
-CELLS = 512
+CELLS, CELL = 512, 100_000  # fewest cells; rows of a cell, where there are more
 
 
 def _exact_sizes(rows: int, shards: int) -> list[int]:
@@ -37,8 +38,13 @@ def _loads(cells: DataFrame, shards: int) -> list[int]:
     return [found.get(k, 0) for k in range(shards)]
 
 
-def _cell(*columns: str) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(CELLS)).cast("int")
+def _cell(cells: int, *columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(cells)).cast("long")
+
+
+def cells_for(rows: int) -> int:
+    """Cells that prefix sums go over: about CELL rows each, however many rows there are."""
+    return max(CELLS, -(-rows // CELL))
 
 
 def propagate(cells: DataFrame, sizes: list[int], rounds: int = ROUNDS) -> DataFrame:
@@ -68,7 +74,8 @@ def propagate(cells: DataFrame, sizes: list[int], rounds: int = ROUNDS) -> DataF
             break
         quota = [max(0, s - x + leave.get(k, 0)) for k, (s, x) in enumerate(zip(sizes, loads, strict=True))]
         # Largest gain first, in classes by powers of two.
-        rank = ((F.lit(62) - F.floor(F.log2(F.col("_gain") + 1))) * CELLS + _cell("_link")).cast("int")
+        width = cells_for(sum(sizes))
+        rank = (F.lit(62) - F.floor(F.log2(F.col("_gain") + 1))) * F.lit(width).cast("long") + _cell(width, "_link")
         placed = running_total(asked.withColumn("_rank", rank), ["_to"], "_rank", [F.col("_link"), F.col("_shard")], "_n", "_before")
         moved = F.greatest(F.lit(0), F.least(F.col("_n"), _by_shard(quota, F.col("_to")) - F.col("_before")))
         parts = placed.withColumn("_moved", moved).select(
@@ -92,8 +99,8 @@ def _settle(cells: DataFrame, alone: DataFrame, sizes: list[int]) -> DataFrame:
     Cells keep their shard while it has room; what is over and the unlinked rows (`alone`:
     _link, _n) take the gaps in order of shard.
     """
-    shards = len(sizes)
-    kept = running_total(cells.withColumn("_rank", _cell("_link")), ["_shard"], "_rank", [F.col("_link")], "_n", "_q")
+    shards, width = len(sizes), cells_for(sum(sizes))
+    kept = running_total(cells.withColumn("_rank", _cell(width, "_link")), ["_shard"], "_rank", [F.col("_link")], "_n", "_q")
     room = _by_shard(sizes, F.col("_shard")) - F.col("_q")
     kept = saved(kept.select("_link", "_shard", "_n", "_q", F.greatest(F.lit(0), F.least(F.col("_n"), room)).alias("_in")), "shards")
     full = {r["_shard"]: r["n"] for r in kept.groupBy("_shard").agg(F.sum("_in").alias("n")).collect()}
@@ -101,7 +108,7 @@ def _settle(cells: DataFrame, alone: DataFrame, sizes: list[int]) -> DataFrame:
     starts = [sum(gaps[:k]) for k in range(shards)]
     over = kept.filter("_n > _in").groupBy("_link").agg(F.sum(F.col("_n") - F.col("_in")).alias("_n"))
     fill = over.unionByName(alone)
-    fill = running_total(fill.withColumn("_rank", _cell("_link")).withColumn("_one", F.lit(0)), ["_one"], "_rank", [F.col("_link")], "_n", "_p")
+    fill = running_total(fill.withColumn("_rank", _cell(width, "_link")).withColumn("_one", F.lit(0)), ["_one"], "_rank", [F.col("_link")], "_n", "_p")
     spans = F.array(
         *[F.struct(F.lit(k).alias("k"), F.lit(starts[k]).cast("long").alias("a"), F.lit(starts[k] + gaps[k]).cast("long").alias("b"), F.lit(full.get(k, 0)).cast("long").alias("f")) for k in range(shards)]
     )
@@ -130,17 +137,18 @@ def shard_documents(docs: DataFrame, link: Column, order: Column, shards: int =
 
 def _place(docs: DataFrame, link: Column, order: Column, shards: int, rounds: int) -> DataFrame:
     unlinked = F.xxhash64(order, F.lit("alone")).cast("string")
-    base = docs.withColumn("_link", F.coalesce(link, F.concat(F.lit("-"), unlinked)))
+    given = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")])
+    base = docs.select(given.alias("_given"), F.coalesce(link, F.concat(F.lit("-"), unlinked)).alias("_link"), order.alias("_order"))
     rows = docs.count()
     # A value with all rows falls into as many pieces as a piece has rows.
     pieces = max(1, int(rows**0.5))
-    base = saved(base.withColumn("_piece", F.pmod(F.xxhash64(order), F.lit(pieces)).cast("int")).withColumn("_order", order), "shards")
+    base = saved(base.withColumn("_piece", F.pmod(F.xxhash64("_order"), F.lit(pieces)).cast("int")), "shards")
     sizes = _exact_sizes(rows, shards)
     counts = saved(base.groupBy("_link", "_piece").agg(F.count(F.lit(1)).alias("_c")), "shards")
     groups = saved(counts.groupBy("_link").agg(F.sum("_c").alias("_n")), "shards")
     linked, alone = groups.filter("_n > 1"), groups.filter("_n = 1")
     # Dealt round: consecutive rows of a value start in consecutive shards.
-    dealt = running_total(linked.withColumn("_rank", _cell("_link")).withColumn("_one", F.lit(0)), ["_one"], "_rank", [F.col("_link")], "_n", "_at")
+    dealt = running_total(linked.withColumn("_rank", _cell(cells_for(rows), "_link")).withColumn("_one", F.lit(0)), ["_one"], "_rank", [F.col("_link")], "_n", "_at")
     step = F.explode(F.sequence(F.lit(0), F.least(F.col("_n"), F.lit(shards)) - 1))
     cells = dealt.select("_link", "_n", "_at", step.alias("_k")).select(
         "_link",
@@ -162,7 +170,6 @@ def _place(docs: DataFrame, link: Column, order: Column, shards: int, rounds: in
     rank = F.row_number().over(Window.partitionBy("_link", "_piece").orderBy("_order")) - 1
     placed = base.withColumn("_r", rank).join(cuts, ["_link", "_piece"]).withColumn("_r", F.col("_r") + F.col("_start"))
     own = F.filter("_spans", lambda s: (s["_from"] <= F.col("_r")) & (F.col("_r") < s["_from"] + s["_len"]))
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]
     return placed.withColumn("_s", F.get(own, 0)).select(
-        *kept, F.col("_s._shard").cast("int").alias("shard"), (F.col("_s._slot") + F.col("_r") - F.col("_s._from")).alias("slot")
+        "_given.*", F.col("_s._shard").cast("int").alias("shard"), (F.col("_s._slot") + F.col("_r") - F.col("_s._from")).alias("slot")
     )
