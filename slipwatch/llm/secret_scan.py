@@ -16,6 +16,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -178,28 +179,47 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
+class Taken:
+    """Spans that do not overlap, in order, so that looking one up does not grow with their number."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def add(self, start: int, end: int) -> None:
+        """Join a span to those that it overlaps; the list stays in order."""
+        lo, hi = bisect_right(self.ends, start), bisect_left(self.starts, end)
+        if lo < hi:
+            start, end = min(start, self.starts[lo]), max(end, self.ends[hi - 1])
+        self.starts[lo:hi], self.ends[lo:hi] = [start], [end]
+
+    def meets(self, start: int, end: int) -> bool:
+        """Whether a span overlaps one that is taken."""
+        return bisect_right(self.ends, start) < bisect_left(self.starts, end)
+
+
 def structured_spans(text: str) -> list[tuple[str, int, int]]:
     """Candidates that decode to a key or carry a signed token's header."""
     out: list[tuple[str, int, int]] = []
-    taken: list[tuple[int, int]] = []
+    taken = Taken()
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
             if _pem_key(m["headers"], m["body"]):
                 out.append(("pem", *m.span()))
-                taken.append(m.span())
+                taken.add(*m.span())
     if "eyJ" in text:
         for m in JWT.finditer(text):
             body = decode64(m[2])
             if is_token_header(m[1]) and body and body[:1] == b"{":
                 out.append(("jwt", *m.span()))
-                taken.append(m.span())
+                taken.add(*m.span())
     for m in BASE64.finditer(text):
-        kind = _keyed(decode64(m[0])) if not any(s < m.end() and m.start() < e for s, e in taken) else None
+        kind = _keyed(decode64(m[0])) if not taken.meets(*m.span()) else None
         if kind:
             out.append((kind, *m.span()))
-            taken.append(m.span())
+            taken.add(*m.span())
     for m in ANY_HEX.finditer(text):
-        if len(m[0]) % 2 == 0 and not any(s < m.end() and m.start() < e for s, e in taken):
+        if len(m[0]) % 2 == 0 and not taken.meets(*m.span()):
             kind = _keyed(bytes.fromhex(m[0]))
             if kind:
                 out.append((kind, *m.span()))
