@@ -11,6 +11,9 @@ and what is found is verified with the original vectors in double precision.
 Tables are dealt out by label and the leading bits of the substring; a vector visits the
 cells that its probes reach, and the rest of the substring is looked up inside the task.
 Each link is counted in one place, and a task returns sums and spanning edges, never pairs.
+A cell of more than CROWD vectors is cut into blocks by a hash of the id, and every two of its
+blocks meet in a task of their own. Squared coordinates are whole numbers of 2**-40, so that sums
+over them are exact, and all tables agree on which of them counts a link.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components,
 and rows without label or id, link with nothing; vectors of different lengths never link;
@@ -20,6 +23,7 @@ smallest (label, vector) counts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +36,12 @@ from slipwatch.llm.common import components, finished, finite_vector, saved
 SAMPLE = 8192  # vectors that the rotation is learned on, the first by a hash of the id
 ROUNDS = 40
 CELL = 4096  # vectors of the largest label to a cell, about
+CROWD = 4 * CELL  # vectors of a cell that one task takes; more are dealt in blocks of a quarter
+MOST_CROWDED = 100_000  # crowded cells that are broadcast; more are joined
 CHUNK = 512
+PAIRS = 200_000  # pairs that are looked at together
+DENSE = 16  # a chunk with a probe or a pair for one in so many of all its pairs looks at all of them at once
+UNIT = float(1 << 40)
 SLACK = 1e-7  # room for rounding in the bounds; links are verified exactly
 
 
@@ -69,8 +78,13 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-def flips(cost: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All sets of bits whose costs sum to at most `left`: (row, set as a number, cost)."""
+def costs(z: np.ndarray) -> np.ndarray:
+    """Squared coordinates in whole numbers of 2**-40."""
+    return np.floor(z * z * UNIT)
+
+
+def flips(cost: np.ndarray, left: np.ndarray, most: float = np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """All sets of bits whose costs sum to at most `left`: (row, set as a number, cost); None if more than `most`."""
     row, mask, total = np.arange(len(cost)), np.zeros(len(cost), np.int64), np.zeros(len(cost))
     for bit in range(cost.shape[1]):
         more = total + cost[row, bit]
@@ -78,6 +92,8 @@ def flips(cost: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         row, mask, total = (
             np.concatenate([row, row[ok]]), np.concatenate([mask, mask[ok] | 1 << bit]), np.concatenate([total, more[ok]])
         )
+        if len(row) > most:
+            return None
     return row, mask, total
 
 
@@ -87,7 +103,7 @@ class Tables:
     def __init__(self, size: int, count: int, lead: int, least: float) -> None:
         self.parts = np.array_split(np.arange(size), max(1, min(count, size)))
         self.lead = lead
-        self.budget = (2.0 - 2.0 * least) / len(self.parts) / 2.0 + SLACK
+        self.budget = np.floor(((2.0 - 2.0 * least) / len(self.parts) / 2.0 + SLACK) * UNIT)
         self.least = least
 
     def values(self, z: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,39 +115,80 @@ class Tables:
     def cells(self, z: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, cell) for every cell that a row's probes reach, its own included."""
         lead = min(self.lead, len(self.parts[table]))
-        cost = z[:, self.parts[table][:lead]] ** 2
+        cost = costs(z[:, self.parts[table][:lead]])
         row, mask, _ = flips(cost, np.full(len(z), self.budget))
         return row, self.values(z, table)[0][row] ^ mask
 
-    def reach(self, z: np.ndarray, other: np.ndarray) -> np.ndarray:
-        """Whether z's probes find `other`, for each row pair and table."""
-        paid = np.where((z > 0) != (other > 0), z * z, 0.0)
-        return np.stack([paid[:, p].sum(1) <= self.budget for p in self.parts], axis=1)
-
-    def links(self, ids: np.ndarray, unit: np.ndarray, z: np.ndarray, cell: int, table: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions (a, b) of linked rows in a cell, each link in one cell of one table only."""
+    def counted(self, z: np.ndarray, other: np.ndarray, smaller: np.ndarray, table: int) -> np.ndarray:
+        """Whether `table` counts the pair of each row of z and each row of `other`, found by a probe of z.
+
+        The first table in which either probe finds the other row counts; there the row of
+        smaller id probes if it can, else the larger one.
+        """
+        paid, back = costs(z), costs(other)
+        here, there = (z > 0).astype(np.float64), (other > 0).astype(np.float64)
+        done = np.zeros((len(z), len(other)), bool)
+        for k in range(table + 1):
+            p = self.parts[k]
+            # Where exactly one sign is positive, a + b - 2ab is 1.
+            out = (paid[:, p] * here[:, p]).sum(1)[:, None] + (paid[:, p] * (1 - 2 * here[:, p])) @ there[:, p].T <= self.budget
+            home = (back[:, p] * there[:, p]).sum(1)[None] + here[:, p] @ (back[:, p] * (1 - 2 * there[:, p])).T <= self.budget
+            if k < table:
+                done |= out | home
+        return ~done & np.where(smaller, out, out & ~home)
+
+    def counted_pairs(self, z: np.ndarray, other: np.ndarray, smaller: np.ndarray, table: int) -> np.ndarray:
+        """The same for pairs of rows in the same place."""
+        differ = (z > 0) != (other > 0)
+        paid, back = np.where(differ, costs(z), 0.0), np.where(differ, costs(other), 0.0)
+        done = np.zeros(len(z), bool)
+        for k in range(table + 1):
+            out, home = paid[:, self.parts[k]].sum(1) <= self.budget, back[:, self.parts[k]].sum(1) <= self.budget
+            if k < table:
+                done |= out | home
+        return ~done & np.where(smaller, out, out & ~home)
+
+    def links(
+        self, ids: np.ndarray, unit: np.ndarray, z: np.ndarray, cell: int, table: int, side: np.ndarray | None = None
+    ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions (a, b) of linked rows in a cell, each link in one cell of one table only.
+
+        With `side` only rows of different sides meet, a in one and b in the other.
+        """
+        first, rest = self.values(z, table)
+        everyone = np.arange(len(ids))
+        for own, other in [(everyone, everyone)] if side is None else [(np.flatnonzero(side), np.flatnonzero(~side)), (np.flatnonzero(~side), np.flatnonzero(side))]:
+            home = other[first[other] == cell]
+            yield from self._probe(ids, unit, z, cell, table, own, home[np.argsort(rest[home], kind="stable")], first, rest)
+
+    def _probe(
+        self, ids: np.ndarray, unit: np.ndarray, z: np.ndarray, cell: int, table: int,
+        probing: np.ndarray, home: np.ndarray, first: np.ndarray, rest: np.ndarray,
+    ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         part = self.parts[table]
         lead = min(self.lead, len(part))
-        first, rest = self.values(z, table)
-        home = np.flatnonzero(first == cell)
-        home = home[np.argsort(rest[home], kind="stable")]
         keys = rest[home]
-        moved = (first[:, None] ^ cell) >> np.arange(lead) & 1
-        left = self.budget - (z[:, part[:lead]] ** 2 * moved).sum(1)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for at in range(0, len(ids), CHUNK):
-            own = np.arange(at, min(at + CHUNK, len(ids)))
-            row, mask, _ = flips(z[np.ix_(own, part[lead:])] ** 2, left[own])
-            row = own[row]
+        for at in range(0, len(probing), CHUNK):
+            own = probing[at : at + CHUNK]
+            moved = (first[own, None] ^ cell) >> np.arange(lead) & 1
+            left = self.budget - (costs(z[np.ix_(own, part[:lead])]) * moved).sum(1)
+            probes = flips(costs(z[np.ix_(own, part[lead:])]), left, len(own) * max(1, len(home) / DENSE))
+            if probes is None:  # more probes than it takes to look at all pairs
+                yield from self._all_pairs(ids, unit, z, table, own, home)
+                continue
+            row, mask = own[probes[0]], probes[1]
             want = rest[row] ^ mask
             lo, hi = np.searchsorted(keys, want, "left"), np.searchsorted(keys, want, "right")
             n = hi - lo
             row, lo, n = row[n > 0], lo[n > 0], n[n > 0]
             if not len(n):
                 continue
+            if n.sum() > len(own) * len(home) / DENSE:
+                yield from self._all_pairs(ids, unit, z, table, own, home)
+                continue
             # Blocks of bounded size, so that one crowded bucket cannot fill the memory.
             ends = np.cumsum(n)
-            cuts = np.searchsorted(ends, np.arange(0, ends[-1], 200_000))
+            cuts = np.searchsorted(ends, np.arange(0, ends[-1], PAIRS))
             for s, e in zip(cuts, [*cuts[1:], len(n)], strict=True):
                 if s == e:
                     continue
@@ -140,39 +197,46 @@ class Tables:
                 b = home[np.repeat(lo[s:e] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
                 close = (a != b) & ((unit[a] * unit[b]).sum(1) >= self.least)
                 a, b = a[close], b[close]
-                if not len(a):
-                    continue
-                ab, ba = self.reach(z[a], z[b]), self.reach(z[b], z[a])
-                either = ab | ba
-                here = either.argmax(1) == table
-                # In that table the smaller id probes if it can, else the larger one.
-                small_can = np.where(ids[a] < ids[b], ab[:, table], ba[:, table])
-                mine = here & ((ids[a] < ids[b]) == small_can)
-                found.append((a[mine], b[mine]))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+                mine = self.counted_pairs(z[a], z[b], ids[a] < ids[b], table)
+                yield a[mine], b[mine]
+
+    def _all_pairs(
+        self, ids: np.ndarray, unit: np.ndarray, z: np.ndarray, table: int, own: np.ndarray, home: np.ndarray
+    ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Links of a chunk whose rows find much of the cell: products of matrices in place of single pairs."""
+        for at in range(0, len(home), CHUNK):
+            other = home[at : at + CHUNK]
+            score = unit[own] @ unit[other].T
+            close = (score >= self.least) & (own[:, None] != other)
+            # Products of matrices round otherwise than the sums that decide for single pairs.
+            a, b = np.nonzero(np.abs(score - self.least) < SLACK)
+            close[a, b] = ((unit[own[a]] * unit[other[b]]).sum(1) >= self.least) & (own[a] != other[b])
+            if close.any():
+                close &= self.counted(z[own], z[other], ids[own][:, None] < ids[other], table)
+                a, b = np.nonzero(close)
+                yield own[a], other[b]
 
 
 def _lowest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest position that each position can reach over the links (a, b)."""
     low = np.arange(n)
-    while True:
+    while len(a):
         now = low.copy()
         np.minimum.at(now, a, low[b])
         np.minimum.at(now, b, low[a])
         now = now[now]
         if (now == low).all():
-            return low
+            break
         low = now
+    return low
 
 
-def link_vectors(rows: DataFrame, least: float = 0.93, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+def link_vectors(rows: DataFrame, least: float = 0.93, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", crowd: int = CROWD) -> DataFrame:
     """(vec_id, n_links, component_id) for every row with an id of `rows`."""
-    return finished(rows.sparkSession, lambda: _link(rows, least, vec_id, vector, label), "vector-links")
+    return finished(rows.sparkSession, lambda: _link(rows, least, vec_id, vector, label, crowd), "vector-links")
 
 
-def _link(rows: DataFrame, least: float, vec_id: str, vector: str, label: str) -> DataFrame:
+def _link(rows: DataFrame, least: float, vec_id: str, vector: str, label: str, crowd: int) -> DataFrame:
     spark = rows.sparkSession
     given = rows.select(F.col(vec_id).alias("vec_id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
     able = F.col("label").isNotNull() & finite_vector(F.col("v"))
@@ -200,7 +264,7 @@ def _link(rows: DataFrame, least: float, vec_id: str, vector: str, label: str) -
     def tables(size: int) -> Tables:
         return Tables(size, max(1, round(size / bits)), lead, least)
 
-    def deal(parts):
+    def deal(parts: Iterator[pd.DataFrame], names: list[str]) -> Iterator[pd.DataFrame]:
         for part in parts:
             sizes = part["v"].map(len).to_numpy()
             for size in np.unique(sizes):
@@ -209,26 +273,44 @@ def _link(rows: DataFrame, least: float, vec_id: str, vector: str, label: str) -
                 t = tables(int(size))
                 for k in range(len(t.parts)):
                     row, cell = t.cells(z, k)
-                    out = own.iloc[row].copy()
+                    out = own[[c for c in names if c in own]].iloc[row].copy()
                     out["size"], out["tab"], out["cell"] = int(size), k, cell
-                    yield out[["label", "size", "tab", "cell", "rep", "n", "v"]]
+                    yield out[names]
 
     kind = classes.schema["label"].dataType.simpleString()
-    dealt = classes.mapInPandas(deal, f"label {kind}, size int, tab int, cell long, rep long, n long, v array<double>")
+    cell = ["label", "size", "tab", "cell"]
+    keys = f"label {kind}, size int, tab int, cell long"
+    crowded = saved(
+        classes.mapInPandas(lambda parts: deal(parts, cell), keys)
+        .groupBy(*cell).agg(F.count(F.lit(1)).alias("_members")).filter(F.col("_members") > crowd)
+        .withColumn("blocks", F.ceil(F.col("_members") / (crowd / 4)).cast("int")).drop("_members"),
+        "crowded",
+    )
+    few = crowded.count() <= MOST_CROWDED
+    dealt = classes.mapInPandas(lambda parts: deal(parts, [*cell, "rep", "n", "v"]), f"{keys}, rep long, n long, v array<double>")
+    dealt = dealt.join(F.broadcast(crowded) if few else crowded, cell, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    # A row meets every block of its cell, its own included, as the low or the high side of a pair of blocks.
+    dealt = dealt.withColumn("block", block).withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
+        *cell, F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "rep", "n", "v"
+    )
 
     def join(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         ids, n = part["rep"].to_numpy(), part["n"].to_numpy()
         unit = unit_rows(np.stack(part["v"].to_list()))
-        a, b = tables(int(key[1])).links(ids, unit, shared.value.apply(unit), int(key[3]), int(key[2]))
-        count = np.zeros(len(ids), np.int64)
-        np.add.at(count, a, n[b])
-        np.add.at(count, b, n[a])
-        low = _lowest(len(ids), a, b)
+        side = None if key[4] == key[5] else part["block"].to_numpy() == key[4]
+        count, low = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for a, b in tables(int(key[1])).links(ids, unit, shared.value.apply(unit), int(key[3]), int(key[2]), side):
+            np.add.at(count, a, n[b])
+            np.add.at(count, b, n[a])
+            new = low[a] != low[b]
+            if new.any():
+                low = _lowest(len(ids), low[a[new]], low[b[new]])[low]
         at = np.flatnonzero(count)
         return pd.DataFrame({"rep": ids[at], "links": count[at], "near": ids[low[at]]})
 
     found = saved(
-        dealt.groupBy("label", "size", "tab", "cell").applyInPandas(join, "rep long, links long, near long"), "links"
+        dealt.groupBy(*cell, "low", "high").applyInPandas(join, "rep long, links long, near long"), "links"
     )
     roots = components(found, "rep", "near")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))

@@ -174,6 +174,29 @@ def test_mix_meets_targets(spark):
     assert sorted(map(key, got)) == sorted(map(key, mixed(spark, rows[::-1])))
 
 
+@pytest.mark.parametrize("marks", [0, 1, 3])
+def test_mix_cells_stay_small(spark, marks):
+    """Whatever the weight, no cell of the key range holds much of a source."""
+    n, cells = 200_000, source_mix.CELLS
+    key = -F.log(source_mix.uniform(F.col("id"))) * F.lit(1.0 + 4.0 * marks)
+    cell = F.floor(F.log2(key) * cells)
+    most = spark.range(n).groupBy(cell.alias("cell")).count().agg(F.max("count")).first()[0]
+    assert most < 2.5 * n * math.log(2) / math.e / cells
+
+
+def test_own_columns_do_not_clash(spark):
+    """Columns with the names that the operators use inside come back as they were."""
+    names = ["_key", "_src", "_cell", "_given", "_id", "_part", "_link", "_piece", "_order", "_r", "_s", "_c", "_n", "_start", "_spans"]
+    rows = [(i, f"w{i} x y z", "ab"[i % 2], *[f"{c}{i}" for c in names]) for i in range(40)]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{c}` {t}" for c, t in [("doc_id", "long"), ("text", "string"), ("source", "string"), *[(c, "string") for c in names]]))
+    made = source_mix.mix_sources(docs)
+    sent = source_mix.emit_mix(made, columns=docs.columns)
+    dealt = balanced_shards.shard_documents(docs, F.col("source"), F.col("doc_id").cast("string"), 4)
+    for out in (made, sent, dealt):
+        found = out.collect()
+        assert found and all(r[c] == f"{c}{r['doc_id']}" for r in found for c in names)
+
+
 def test_mix_rows_and_nothing(spark):
     docs = spark.createDataFrame([(i, f"w{i} x\ty  z{i}", "ab"[i % 2], 9) for i in range(30)], "doc_id long, text string, source string, n_chars long")
     made = source_mix.mix_sources(docs)
@@ -204,9 +227,10 @@ def plain_links(rows, least=0.93):
     return {(i, links[i], sets.find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("cell", [4096, 16])
-def test_links_equal_brute_force(spark, monkeypatch, cell):
+@pytest.mark.parametrize("cell,crowd,dense", [(4096, 1 << 14, 16), (16, 1 << 14, 1e-6), (16, 24, 1e9)])
+def test_links_equal_brute_force(spark, monkeypatch, cell, crowd, dense):
     monkeypatch.setattr(itq_links, "CELL", cell)
+    monkeypatch.setattr(itq_links, "DENSE", dense)
     rng = np.random.default_rng(7)
     rows = []
     for i in range(500):
@@ -218,13 +242,34 @@ def test_links_equal_brute_force(spark, monkeypatch, cell):
             v = rng.normal(size=32) * rng.choice([1e-3, 1.0, 50.0])
         rows.append((i, [float(np.float32(a)) for a in v], int(rng.integers(0, 2)) if i % 3 else 0))
     want = plain_links(rows)
-    got = itq_links.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    got = itq_links.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), crowd=crowd)
     found = {tuple(r) for r in got.collect()}
     assert {w[0] for w in want} == {g[0] for g in found}
     assert sum(n for _, n, _ in want) > 400
     assert found == want
 
 
+def test_links_of_a_crowd(spark):
+    """Copies of one vector with a little noise share every cell; they are dealt in blocks, and no link is lost."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=64) + rng.normal(size=(5000, 64)) * 0.2
+    x = np.concatenate([x, rng.normal(size=(300, 64))]).astype(np.float32).astype(float)
+    rows = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in itq_links.link_vectors(rows, crowd=1000).collect()}
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    near = unit @ unit.T >= 0.93
+    np.fill_diagonal(near, False)
+    want = near.sum(1)
+    assert want[:5000].max() > 4000 and [got[i][0] for i in range(len(x))] == want.tolist()
+    least = np.arange(len(x))
+    while True:
+        now = np.minimum(least, np.where(near, least, len(x)).min(1))
+        if (now == least).all():
+            break
+        least = now
+    assert [got[i][1] for i in range(len(x))] == least.tolist()
+
+
 def test_links_of_odd_vectors(spark):
     nan = float("nan")
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 2), (4, [1.0, 0.0], None), (5, None, 1), (6, [0.0, 0.0], 1), (7, [nan, 1.0], 1),
