@@ -137,3 +137,40 @@ def test_horizons_are_served_together(rows):
     assert out.filter("lifted_3m <> cast(p_1m > 0.2 + 1e-9 as int)").count() == 0
     assert out.filter("decision_3m <> cast(p_3m >= 0.5 as int)").count() == 0
     assert not [c for c in out.columns if c.startswith("_own") or c in ("logit", "low")]
+
+
+def test_folds_are_fitted_side_by_side(rows):
+    """Each fit waits for another one, so fits one after the other would break the barrier."""
+    from threading import Barrier
+
+    meet = Barrier(2, timeout=60)
+
+    def fit(train, features, label):
+        meet.wait()
+        return Mo.fit_prior(train, features, label, "waiting")
+
+    scores = Mo.grouped_cv(rows, [Mo.Candidate("waiting", fit)], FEATURES, folds=4)
+    assert scores.count() == 3000 and scores.filter("waiting is null").count() == 0
+
+
+def test_a_fit_runs_in_few_tasks(rows):
+    many = rows.repartition(64)
+    assert Mo.fit_tasks(many, 3000) == 1
+    assert Mo.fit_tasks(many, 10**9) == rows.sparkSession.sparkContext.defaultParallelism
+
+
+def test_orderings_share_the_typed_records(spark, monkeypatch):
+    from slipwatch.operators import clean as K
+    from slipwatch.operators import panel as P
+    from slipwatch.plans import inputs as I
+
+    made, old = [], K.dedupe
+    monkeypatch.setattr(K, "dedupe", lambda *a, **k: made.append(1) or old(*a, **k))
+    raw = I.raw(spark, "/root/testdata/sf0.001").withColumn("report_month", F.lit(None).cast("string"))
+    prior = Mo.select_candidates(["prior"])[0]
+    got = {r.ordering: (r.positives, r.negatives) for r in Mo.ordering_auc(raw, prior, folds=2).collect()}
+    assert len(made) == 1 and got
+    for name, counts in got.items():
+        own = Sp.labelled(P.build_panel(raw, order=name).filter("order_reliable = 1"), "slip_next")
+        n, pos = Mo._class_counts(own, "slip_next")
+        assert counts == (pos, n - pos)
