@@ -25,8 +25,9 @@ _RAW = "project_name sector_name original_cost revised_cost expenditure physical
 
 
 def _cleaned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    raw = I.raw(spark, sf_dir)
-    unique = K.dedupe(raw)
+    """Raw, unique and typed records; the first two feed several steps and are derived once."""
+    raw = cut_lineage(I.raw(spark, sf_dir))
+    unique = cut_lineage(K.dedupe(raw))
     return raw, unique, K.clean(unique, K.project_attributes(raw, unique))
 
 
@@ -157,9 +158,8 @@ def seq_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Raw records and typed ones, the latter derived once."""
-    raw = I.raw(spark, sf_dir)
-    unique = cut_lineage(K.dedupe(raw))
-    return raw, K.clean(unique, K.project_attributes(raw, unique))
+    raw, _, cleaned = _cleaned(spark, sf_dir)
+    return raw, cut_lineage(cleaned)
 
 
 def _undated(spark: SparkSession, sf_dir: str, order: str = "expenditure_progress") -> DataFrame:
@@ -256,7 +256,6 @@ SELECT {cols(*many('l', 'raw_records unique_snapshots expenditure_unit_rescaled
 FROM a, b, c, d""")
 def panel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw, cleaned = _stored(spark, sf_dir)
-    cleaned = cut_lineage(cleaned)
     hist = cut_lineage(_raw_history(raw, cleaned))
     return P.panel_counts(raw, cleaned, hist, P.transitions(hist.filter(P.eligible())))
 

@@ -44,7 +44,7 @@ def label_horizon_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from slipwatch.plans.queries_ingest import _cleaned, _raw_history
 
     raw, _, cleaned = _cleaned(spark, sf_dir)
-    hist = _raw_history(raw, cleaned).filter("not dated")
+    hist = _raw_history(raw, cut_lineage(cleaned)).filter("not dated")
     return P.transitions(hist).select("project_id", "seq_index", "slip_next", "slip_within_3m", "censored_3m", "slip_within_6m", "censored_6m")
 
 

@@ -273,3 +273,20 @@ def test_form_json_lines(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"project_id": "A-01", "original_cost": "5"}\n{"project_id": "A-02", "original_cost": "6"}\n')
     rows = Rd.read_form_json(spark, str(tmp_path / "a.jsonl"), lines=True).orderBy("project_id").collect()
     assert [(r.project_id, r.original_cost) for r in rows] == [("A-01", 5.0), ("A-02", 6.0)]
+
+
+def test_stored_rows_are_read_by_column_and_in_few_tasks(spark):
+    from slipwatch.session import cut_lineage
+
+    rows = spark.range(1000).withColumn("text", F.repeat(F.lit("x"), 50)).repartition(64)
+    kept = cut_lineage(rows)
+    assert kept.rdd.getNumPartitions() < 64 and sorted(kept.collect()) == sorted(rows.collect())
+    plan = kept.select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:bigint>" in plan
+
+
+def test_typed_records_do_not_read_the_tables_again(spark):
+    from slipwatch.plans import queries_ingest as Q
+
+    for df in (Q._cleaned(spark, "/root/testdata/sf0.001")[2], *Q._stored(spark, "/root/testdata/sf0.001")):
+        assert "lineitem" not in df._jdf.queryExecution().optimizedPlan().toString() + str(df.inputFiles())
