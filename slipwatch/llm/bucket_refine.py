@@ -11,8 +11,8 @@ bucket, and each round refines by what lies at other offsets:
 3. A bucket of more than `limit` spans is refined first: strings with the q-gram in their left
    half share 66 bytes with it, those with it in their right half 66 others, so each half gets
    a bucket of its own, named by the old bucket and the new bytes; and so on, recursively, to
-   100 bytes. At that depth a bucket holds equal strings only and a grouped minimum finds the
-   first.
+   100 bytes. Cut to a half, many rows are equal: as in step 1 the first goes on and the others
+   are repeats. At the last depth a bucket holds equal strings only, so one row is left of it.
 
 Nothing is collected, one bucket never fills a task, and a text is read three times.
 
@@ -326,23 +326,36 @@ def refine(rows: DataFrame, length: int) -> DataFrame:
     )
 
 
+ROW = ["key", "n", "s", "bytes"]  # rows that agree in these hold the same strings of a bucket
+
+
+def firsts(rows: DataFrame) -> DataFrame:
+    """Of equal rows of a bucket the first, found by a grouped minimum."""
+    ends = [F.min("lo").alias("lo"), F.min("hi").alias("hi")]  # one bucket has one pair
+    found = rows.groupBy(*ROW).agg(F.min(F.struct(*KEY, "start")).alias("_first"), *ends)
+    return found.select("key", *[F.col(f"_first.{c}") for c in (*KEY, "start")], "n", "s", "bytes", "lo", "hi")
+
+
+def equals(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """Marks of the rows that are not the first of their equals."""
+    first = first.select(*ROW, F.struct(*KEY, "start").alias("_first"))
+    return rows.join(first, ROW).filter(F.struct(*KEY, "start") > F.col("_first")).select(*KEY, "start", "n")
+
+
 def solved(rows: DataFrame, length: int, gram: int, limit: int) -> DataFrame:
     """Marks of all repeats among `rows` of `spans`; large buckets are refined until they fit or hold equal strings."""
     todo = rows.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(length - gram + 1))
     marks = []
+    todo = saved(todo, "buckets")
     while True:
-        todo = saved(todo, "buckets")
         large = saved(todo.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select("key"), "large")
         if large.isEmpty():
             marks.append(saved(compared(todo, length), "marks"))
             break
         marks.append(saved(compared(todo.join(large, "key", "left_anti"), length), "marks"))
-        big = todo.join(large, "key", "left_semi")
-        ends = big.filter("hi - lo = 1")
-        place = F.struct(*KEY, "start")
-        first = ends.groupBy("bytes", "s").agg(F.min(place).alias("_first"))
-        marks.append(saved(ends.join(first, ["bytes", "s"]).filter(place > F.col("_first")).select(*KEY, "start", "n"), "marks"))
-        todo = refine(big.filter("hi - lo > 1"), length)
+        halves = saved(refine(todo.join(large, "key", "left_semi").filter("hi - lo > 1"), length), "halves")
+        todo = saved(firsts(halves), "buckets")
+        marks.append(saved(equals(halves, todo), "marks"))
     out = marks[0]
     for m in marks[1:]:
         out = out.unionByName(m)

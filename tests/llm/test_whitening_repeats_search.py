@@ -281,3 +281,16 @@ def test_search_prunes():
     doc, flat = np.repeat(np.arange(n_docs), 4), term.ravel()
     search.add(np.zeros(n_docs, np.int64), np.arange(n_docs), flat, doc, rng.integers(1000, 900_000, len(flat)))
     assert search.scored < search.pairs / 3
+
+
+def test_a_passage_of_many_texts_goes_on_as_few_rows(spark, monkeypatch):
+    """Halving a bucket that thousands of texts share gives no row for each text and string."""
+    made, old = [], bucket_refine.saved
+    monkeypatch.setattr(bucket_refine, "saved", lambda df, kind="step": made.append((kind, old(df, kind))) or made[-1][1])
+    rng = np.random.default_rng(12)
+    passage = prose(rng, 60)[:160]
+    texts = [prose(rng, 12) + "#" + passage + "#" + prose(rng, 12) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert removed(df, limit=20) == dict(enumerate(plain_repeats(texts)))
+    rows = [df.count() for kind, df in made if kind == "buckets"]
+    assert len(rows) > 1 and sum(rows[1:]) <= 12 * rows[0], rows
