@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slipwatch.llm.common import components, finished, give_back, saved
-from slipwatch.llm.shingles import mix, point, read_points, set_id, shingle_set
+from slipwatch.llm.shingles import mix, read_points, set_id, shingle_set, stored_point
 
 PERCENT = 80
 LEAF = 32
@@ -162,7 +162,7 @@ def open_pairs(tree: CountTree, ids: np.ndarray, roots: np.ndarray, own: np.ndar
 def visit_trees(rows: pd.DataFrame, rooted: bool, percent: int) -> pd.DataFrame:
     """Pairs of all trees in `rows`, which come in order of tree."""
     tree, ids, sizes = (rows[c].to_numpy(np.int64) for c in ("tree", "cid", "n"))
-    points = read_points(rows["counts"])
+    points = read_points(rows["counts"].tolist())
     roots = rows["root"].to_numpy(np.int64) if rooted else None
     first = np.full((len(rows) if rooted else 0, OWN_TREES), np.iinfo(np.int64).max)
     for k in range(len(first)):
@@ -313,7 +313,7 @@ def _link(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
                 s = shingle_set(t)
                 own = set_id(s) if len(s) else 0
                 keys, wide = dealt_keys(s, own & 0x7FFFFFFFFFFFFFFF, frequent, blocks, percent) if len(s) else (s, s)
-                rows.append((own, len(s), point(s).tobytes(), keys.view(np.int64), wide.view(np.int64)))
+                rows.append((own, len(s), stored_point(s), keys.view(np.int64), wide.view(np.int64)))
             out = pd.DataFrame(rows, columns=["cid", "n", "counts", "keys", "wide"])
             yield pd.concat([part[["id", "named", "key"]], out], axis=1)
         give_back()

@@ -73,11 +73,21 @@ def point(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     return counts.astype(np.uint16 if counts.max(initial=0) <= 0xFFFF else np.uint32)
 
 
+def stored_point(shingles: np.ndarray, groups: int = GROUPS) -> bytes:
+    """The bytes of a point, in 8 bits a count where they suffice: points are most of what is shuffled."""
+    counts = point(shingles, groups)
+    return (counts.astype(np.uint8) if counts.max(initial=0) <= 0xFF else counts).tobytes()
+
+
 def read_points(stored: Sequence[bytes], groups: int = GROUPS) -> np.ndarray:
     """The points whose bytes are `stored`, one row each."""
-    if all(len(x) == 2 * groups for x in stored):
-        return np.frombuffer(b"".join(stored), np.uint16).reshape(len(stored), groups).astype(np.int32)
-    return np.stack([np.frombuffer(x, np.uint16 if len(x) == 2 * groups else np.uint32).astype(np.int64) for x in stored])
+    kinds = {groups: np.uint8, 2 * groups: np.uint16, 4 * groups: np.uint32}
+    sizes = np.array([len(x) for x in stored], np.int64)
+    out = np.empty((len(stored), groups), np.int32 if sizes.max(initial=0) <= 2 * groups else np.int64)
+    for size in np.unique(sizes):
+        own = np.flatnonzero(sizes == size)
+        out[own] = np.frombuffer(b"".join([stored[k] for k in own]), kinds[int(size)]).reshape(len(own), groups)
+    return out
 
 
 def set_id(shingles: np.ndarray) -> int:

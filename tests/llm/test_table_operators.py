@@ -443,3 +443,11 @@ def test_narrow_mix_is_the_same(spark):
     wide = source_mix.mix_sources(docs).select(*columns).collect()
     narrow = source_mix.mix_sources(docs, keep_text=False).select(*columns).collect()
     assert sorted(map(tuple, wide), key=repr) == sorted(map(tuple, narrow), key=repr)
+
+
+def test_points_are_stored_in_as_few_bits_as_will_do():
+    sets = [np.arange(n, dtype=np.uint64) for n in (0, 1000, 255 * 256, 256 * 256)]
+    stored = [shingles.stored_point(s) for s in sets]
+    assert [len(x) for x in stored] == [256, 256, 256, 512]
+    read = shingles.read_points(stored)
+    assert (read == np.stack([shingles.point(s) for s in sets])).all() and read.dtype == np.int32
