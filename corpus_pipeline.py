@@ -14,9 +14,9 @@ from slipwatch.llm import count_tree, language_mix, piece_codec, secret_scan, so
 from slipwatch.llm.common import saved
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-REMEMBER = 100_000
+REMEMBER = 20_000
 # Texts, their ids and copies of both stand in a Python worker at once: small batches keep it small.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "250", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 

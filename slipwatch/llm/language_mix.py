@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from slipwatch.llm.common import give_back
+
 BUCKETS = 1 << 16
 SAMPLE_PER_LANG = 3000  # training documents per language, the first by a hash of the id
 MODEL_CELLS = 1 << 26  # 256 MB at most; beyond 1,024 languages each has fewer buckets, none is left out
@@ -124,6 +126,8 @@ def learn_languages(
         for name, own in sums.items():
             at = np.flatnonzero(own)
             yield pd.DataFrame({"l": name, "g": at, "n": own[at]})
+        sums.clear()
+        give_back()
 
     tables = np.zeros((len(names), buckets), np.float32)
     place = {name: k for k, name in enumerate(names)}
@@ -154,6 +158,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", prefix:
                     "lang_mix": [[{"lang": a, "share": b} for a, b in x[2]] for x in found],
                 }
             )
+        give_back()
 
     names = [f"{prefix}{x}" for x in ("lang_pred", "score", "lang_mix")]
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slipwatch.llm.common import give_back
+
 # The base patterns and their minimal lengths, in the order of the kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -246,6 +248,7 @@ def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets") -> D
                 ],
                 dtype=object,
             )
+        give_back()
 
     return docs.withColumn(out, scan(F.col(f"`{text}`")))
 

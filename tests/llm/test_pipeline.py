@@ -131,3 +131,15 @@ def test_piece_stage(steps):
 def test_nothing_goes_through(spark, tmp_path):
     spark.createDataFrame([], P.SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_worker_remembers_little_while_it_encodes():
+    """A worker's chunks and token pairs stay below 10 MB, beside a JVM with little room."""
+    import sys
+
+    codec = piece_codec.PieceTable(public_tokenizers.path("piece_bpe_32k.model"), P.REMEMBER)
+    for k in range(150_000):
+        codec.encode(f"w{k} x{k * 7919 % 99991}")
+    own = sum(sys.getsizeof(a) + sys.getsizeof(b) for a, b in codec.chunks.items()) + sys.getsizeof(codec.chunks)
+    pairs = sys.getsizeof(codec.pairs) + 36 * len(codec.pairs)
+    assert own + pairs < 12e6, (own, pairs)
