@@ -19,17 +19,25 @@ WORD = f"[^{BLANKS}]+"
 
 
 _written: list[list[str]] = []  # tables written by the operators that are under way, innermost last
+_SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def saved(df: DataFrame, kind: str = "step") -> DataFrame:
     """Write `df` as Parquet to the shared folder of `spark.checkpoint.dir` and read it back.
 
     Unlike checkpoint() the columns stay prunable, so a later use reads only what it needs.
+    The shuffle files of the write go with its end: what is read back does not need them.
     """
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/slipwatch-{kind}-{uuid.uuid4().hex}"
     if _written:
         _written[-1].append(path)
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(_SHUFFLES_GO, None)
+    conf.set(_SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(_SHUFFLES_GO) if before is None else conf.set(_SHUFFLES_GO, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

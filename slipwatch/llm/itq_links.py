@@ -8,12 +8,14 @@ zero, hence one of the two vectors reaches the other's substring by flipping bit
 squared coordinates sum to no more than half of that: these are the probes. Nothing is lost,
 and what is found is verified with the original vectors in double precision.
 
-Tables are dealt out by label and the leading bits of the substring; a vector visits the
-cells that its probes reach, and the rest of the substring is looked up inside the task.
-Each link is counted in one place, and a task returns sums and spanning edges, never pairs.
-A cell of more than CROWD vectors is cut into blocks by a hash of the id, and every two of its
-blocks meet in a task of their own. Squared coordinates are whole numbers of 2**-40, so that sums
-over them are exact, and all tables agree on which of them counts a link.
+Vectors are dealt out by label. A label of more than CROWD vectors is cut into blocks by a
+hash of the id, and every two of its blocks meet in a task of their own, so both vectors of a
+pair are in one task, which holds all tables of its rows. Blocks are dealt in as many rounds
+as keep the copies under way to ROUND for each vector, whatever the size of a label: the
+shuffle files of a round go before the next begins. Each link is counted in one place, and a
+task returns sums and spanning edges, never pairs. Squared coordinates are whole numbers of
+2**-40, so that sums over them are exact, and both directions of a pair agree on which of them
+counts the link. Vectors of single precision travel as such; all sums are in double precision.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components,
 and rows without label or id, link with nothing; vectors of different lengths never link;
@@ -25,22 +27,25 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from slipwatch.llm.common import components, finished, finite_vector, saved
 
 SAMPLE = 8192  # vectors that the rotation is learned on, the first by a hash of the id
 ROUNDS = 40
-CELL = 4096  # vectors of the largest label to a cell, about
-CROWD = 4 * CELL  # vectors of a cell that one task takes; more are dealt in blocks of a quarter
-MOST_CROWDED = 100_000  # crowded cells that are broadcast; more are joined
+CELL = 8192  # vectors of a block, about
+CROWD = 2 * CELL  # vectors of a label that one task takes; more are dealt in blocks
+MOST_CROWDED = 100_000  # crowded labels that are broadcast; more are joined
+ROUND = 2  # copies of each vector that are under way together, about
 CHUNK = 512
 PAIRS = 200_000  # pairs that are looked at together
-DENSE = 16  # a chunk with a probe or a pair for one in so many of all its pairs looks at all of them at once
+DENSE = 16  # a chunk with a probe or a find for one in so many of all its pairs looks at all of them at once
 UNIT = float(1 << 40)
 SLACK = 1e-7  # room for rounding in the bounds; links are verified exactly
 
@@ -98,112 +103,101 @@ def flips(cost: np.ndarray, left: np.ndarray, most: float = np.inf) -> tuple[np.
 
 
 class Tables:
-    """Substrings of the code: which coordinates each table holds and how many of its bits deal out cells."""
+    """Substrings of the code: which coordinates each table holds."""
 
-    def __init__(self, size: int, count: int, lead: int, least: float) -> None:
+    def __init__(self, size: int, count: int, least: float) -> None:
         self.parts = np.array_split(np.arange(size), max(1, min(count, size)))
-        self.lead = lead
         self.budget = np.floor(((2.0 - 2.0 * least) / len(self.parts) / 2.0 + SLACK) * UNIT)
         self.least = least
 
-    def values(self, z: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
-        """(leading bits, other bits) of each row's substring as numbers."""
+    def values(self, z: np.ndarray, table: int) -> np.ndarray:
+        """Each row's substring as a number."""
         bits = (z[:, self.parts[table]] > 0).astype(np.int64)
-        lead = min(self.lead, bits.shape[1])
-        return bits[:, :lead] @ (1 << np.arange(lead)), bits[:, lead:] @ (1 << np.arange(bits.shape[1] - lead))
+        return bits @ (1 << np.arange(bits.shape[1]))
 
-    def cells(self, z: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, cell) for every cell that a row's probes reach, its own included."""
-        lead = min(self.lead, len(self.parts[table]))
-        cost = costs(z[:, self.parts[table][:lead]])
-        row, mask, _ = flips(cost, np.full(len(z), self.budget))
-        return row, self.values(z, table)[0][row] ^ mask
+    def counted(self, z: np.ndarray, other: np.ndarray, smaller: np.ndarray) -> np.ndarray:
+        """Whether the pair of each row of z and each row of `other` is counted from z.
 
-    def counted(self, z: np.ndarray, other: np.ndarray, smaller: np.ndarray, table: int) -> np.ndarray:
-        """Whether `table` counts the pair of each row of z and each row of `other`, found by a probe of z.
-
-        The first table in which either probe finds the other row counts; there the row of
-        smaller id probes if it can, else the larger one.
+        The row of smaller id counts where a probe of its finds the other one, else the larger.
         """
         paid, back = costs(z), costs(other)
         here, there = (z > 0).astype(np.float64), (other > 0).astype(np.float64)
-        done = np.zeros((len(z), len(other)), bool)
-        for k in range(table + 1):
-            p = self.parts[k]
+        out, home = np.zeros((2, len(z), len(other)), bool)
+        for p in self.parts:
             # Where exactly one sign is positive, a + b - 2ab is 1.
-            out = (paid[:, p] * here[:, p]).sum(1)[:, None] + (paid[:, p] * (1 - 2 * here[:, p])) @ there[:, p].T <= self.budget
-            home = (back[:, p] * there[:, p]).sum(1)[None] + here[:, p] @ (back[:, p] * (1 - 2 * there[:, p])).T <= self.budget
-            if k < table:
-                done |= out | home
-        return ~done & np.where(smaller, out, out & ~home)
+            out |= (paid[:, p] * here[:, p]).sum(1)[:, None] + (paid[:, p] * (1 - 2 * here[:, p])) @ there[:, p].T <= self.budget
+            home |= (back[:, p] * there[:, p]).sum(1)[None] + here[:, p] @ (back[:, p] * (1 - 2 * there[:, p])).T <= self.budget
+        return out & (smaller | ~home)
 
     def counted_pairs(self, z: np.ndarray, other: np.ndarray, smaller: np.ndarray, table: int) -> np.ndarray:
-        """The same for pairs of rows in the same place."""
+        """The same for pairs of rows in the same place that a probe of z found in `table`: its first find counts."""
         differ = (z > 0) != (other > 0)
         paid, back = np.where(differ, costs(z), 0.0), np.where(differ, costs(other), 0.0)
         done = np.zeros(len(z), bool)
-        for k in range(table + 1):
-            out, home = paid[:, self.parts[k]].sum(1) <= self.budget, back[:, self.parts[k]].sum(1) <= self.budget
+        for k, p in enumerate(self.parts):
             if k < table:
-                done |= out | home
-        return ~done & np.where(smaller, out, out & ~home)
+                done |= paid[:, p].sum(1) <= self.budget
+            done |= ~smaller & (back[:, p].sum(1) <= self.budget)
+        return ~done
 
     def links(
-        self, ids: np.ndarray, unit: np.ndarray, z: np.ndarray, cell: int, table: int, side: np.ndarray | None = None
+        self, ids: np.ndarray, unit: np.ndarray, z: np.ndarray, side: np.ndarray | None = None
     ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Positions (a, b) of linked rows in a cell, each link in one cell of one table only.
+        """Positions (a, b) of linked rows, each link once.
 
         With `side` only rows of different sides meet, a in one and b in the other.
         """
-        first, rest = self.values(z, table)
+        rest = [self.values(z, k) for k in range(len(self.parts))]
         everyone = np.arange(len(ids))
-        for own, other in [(everyone, everyone)] if side is None else [(np.flatnonzero(side), np.flatnonzero(~side)), (np.flatnonzero(~side), np.flatnonzero(side))]:
-            home = other[first[other] == cell]
-            yield from self._probe(ids, unit, z, cell, table, own, home[np.argsort(rest[home], kind="stable")], first, rest)
+        for own, home in [(everyone, everyone)] if side is None else [(np.flatnonzero(side), np.flatnonzero(~side)), (np.flatnonzero(~side), np.flatnonzero(side))]:
+            yield from self._probe(ids, unit, z, own, [home[np.argsort(r[home], kind="stable")] for r in rest], rest)
 
     def _probe(
-        self, ids: np.ndarray, unit: np.ndarray, z: np.ndarray, cell: int, table: int,
-        probing: np.ndarray, home: np.ndarray, first: np.ndarray, rest: np.ndarray,
+        self, ids: np.ndarray, unit: np.ndarray, z: np.ndarray, probing: np.ndarray, homes: list[np.ndarray], rest: list[np.ndarray]
     ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        part = self.parts[table]
-        lead = min(self.lead, len(part))
-        keys = rest[home]
+        keys = [r[home] for r, home in zip(rest, homes, strict=True)]
         for at in range(0, len(probing), CHUNK):
             own = probing[at : at + CHUNK]
-            moved = (first[own, None] ^ cell) >> np.arange(lead) & 1
-            left = self.budget - (costs(z[np.ix_(own, part[:lead])]) * moved).sum(1)
-            probes = flips(costs(z[np.ix_(own, part[lead:])]), left, len(own) * max(1, len(home) / DENSE))
-            if probes is None:  # more probes than it takes to look at all pairs
-                yield from self._all_pairs(ids, unit, z, table, own, home)
-                continue
-            row, mask = own[probes[0]], probes[1]
-            want = rest[row] ^ mask
-            lo, hi = np.searchsorted(keys, want, "left"), np.searchsorted(keys, want, "right")
-            n = hi - lo
-            row, lo, n = row[n > 0], lo[n > 0], n[n > 0]
-            if not len(n):
-                continue
-            if n.sum() > len(own) * len(home) / DENSE:
-                yield from self._all_pairs(ids, unit, z, table, own, home)
+            finds = self._finds(z, own, keys, rest)
+            if finds is None:  # more probes or finds than it takes to look at all pairs
+                yield from self._all_pairs(ids, unit, z, own, homes[0])
                 continue
-            # Blocks of bounded size, so that one crowded bucket cannot fill the memory.
-            ends = np.cumsum(n)
-            cuts = np.searchsorted(ends, np.arange(0, ends[-1], PAIRS))
-            for s, e in zip(cuts, [*cuts[1:], len(n)], strict=True):
-                if s == e:
+            for table, (row, lo, n) in enumerate(finds):
+                if not len(n):
                     continue
-                size = n[s:e]
-                a = np.repeat(row[s:e], size)
-                b = home[np.repeat(lo[s:e] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-                close = (a != b) & ((unit[a] * unit[b]).sum(1) >= self.least)
-                a, b = a[close], b[close]
-                mine = self.counted_pairs(z[a], z[b], ids[a] < ids[b], table)
-                yield a[mine], b[mine]
-
-    def _all_pairs(
-        self, ids: np.ndarray, unit: np.ndarray, z: np.ndarray, table: int, own: np.ndarray, home: np.ndarray
-    ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Links of a chunk whose rows find much of the cell: products of matrices in place of single pairs."""
+                # Blocks of bounded size, so that one crowded bucket cannot fill the memory.
+                ends = np.cumsum(n)
+                cuts = np.searchsorted(ends, np.arange(0, ends[-1], PAIRS))
+                for s, e in zip(cuts, [*cuts[1:], len(n)], strict=True):
+                    if s == e:
+                        continue
+                    size = n[s:e]
+                    a = np.repeat(row[s:e], size)
+                    b = homes[table][np.repeat(lo[s:e] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+                    close = (a != b) & ((unit[a] * unit[b]).sum(1) >= self.least)
+                    a, b = a[close], b[close]
+                    mine = self.counted_pairs(z[a], z[b], ids[a] < ids[b], table)
+                    yield a[mine], b[mine]
+
+    def _finds(self, z: np.ndarray, own: np.ndarray, keys: list[np.ndarray], rest: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]] | None:
+        """For each table (row, first place, number) of what the probes of `own` find; None if that is much of all pairs."""
+        out, found = [], 0
+        for table, part in enumerate(self.parts):
+            probes = flips(costs(z[np.ix_(own, part)]), np.full(len(own), self.budget), len(own) * max(1, len(keys[table]) / DENSE))
+            if probes is None:
+                return None
+            row = own[probes[0]]
+            want = rest[table][row] ^ probes[1]
+            lo, hi = np.searchsorted(keys[table], want, "left"), np.searchsorted(keys[table], want, "right")
+            n = hi - lo
+            found += int(n.sum())
+            if found > len(own) * len(keys[table]) / DENSE:
+                return None
+            out.append((row[n > 0], lo[n > 0], n[n > 0]))
+        return out
+
+    def _all_pairs(self, ids: np.ndarray, unit: np.ndarray, z: np.ndarray, own: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Links of a chunk whose rows find much of the rows: products of matrices in place of single pairs."""
         for at in range(0, len(home), CHUNK):
             other = home[at : at + CHUNK]
             score = unit[own] @ unit[other].T
@@ -212,7 +206,7 @@ class Tables:
             a, b = np.nonzero(np.abs(score - self.least) < SLACK)
             close[a, b] = ((unit[own[a]] * unit[other[b]]).sum(1) >= self.least) & (own[a] != other[b])
             if close.any():
-                close &= self.counted(z[own], z[other], ids[own][:, None] < ids[other], table)
+                close &= self.counted(z[own], z[other], ids[own][:, None] < ids[other])
                 a, b = np.nonzero(close)
                 yield own[a], other[b]
 
@@ -238,7 +232,10 @@ def link_vectors(rows: DataFrame, least: float = 0.93, vec_id: str = "vec_id", v
 
 def _link(rows: DataFrame, least: float, vec_id: str, vector: str, label: str, crowd: int) -> DataFrame:
     spark = rows.sparkSession
-    given = rows.select(F.col(vec_id).alias("vec_id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    given_type = rows.select(vector).schema[0].dataType
+    single = isinstance(given_type, ArrayType) and isinstance(given_type.elementType, FloatType)
+    kept = "array<float>" if single else "array<double>"
+    given = rows.select(F.col(vec_id).alias("vec_id"), F.col(label).alias("label"), F.col(vector).cast(kept).alias("v"))
     able = F.col("label").isNotNull() & finite_vector(F.col("v"))
     usable = (
         given.filter(F.col("vec_id").isNotNull() & able)
@@ -248,59 +245,37 @@ def _link(rows: DataFrame, least: float, vec_id: str, vector: str, label: str, c
     classes = saved(
         usable.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "vectors"
     )
-    most = classes.groupBy("label", F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n"))
-    most = most.groupBy("size").agg(F.max("n").alias("n")).orderBy(F.desc("n")).limit(64).collect()
     sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").toPandas()["v"]
     by_size: dict[int, list] = {}
     for v in sample:
-        by_size.setdefault(len(v), []).append(v)
+        by_size.setdefault(len(v), []).append(np.asarray(v, np.float64))
     learned = {k: learn_rotation(unit_rows(np.array(v))) for k, v in by_size.items() if len(v) > k}
     shared = spark.sparkContext.broadcast(Rotation({k: x[0] for k, x in learned.items()}, {k: x[1] for k, x in learned.items()}))
-    largest = max((r["n"] for r in most), default=1)
-    # Substrings about as long as the logarithm of the largest label: few probes, few strangers per bucket.
-    bits = max(8.0, float(np.log2(max(2, largest))))
-    lead = max(0, int(np.ceil(np.log2(largest / CELL)))) if largest > CELL else 0
-
-    def tables(size: int) -> Tables:
-        return Tables(size, max(1, round(size / bits)), lead, least)
-
-    def deal(parts: Iterator[pd.DataFrame], names: list[str]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            sizes = part["v"].map(len).to_numpy()
-            for size in np.unique(sizes):
-                own = part[sizes == size]
-                z = shared.value.apply(unit_rows(np.stack(own["v"].to_list())))
-                t = tables(int(size))
-                for k in range(len(t.parts)):
-                    row, cell = t.cells(z, k)
-                    out = own[[c for c in names if c in own]].iloc[row].copy()
-                    out["size"], out["tab"], out["cell"] = int(size), k, cell
-                    yield out[names]
-
-    kind = classes.schema["label"].dataType.simpleString()
-    cell = ["label", "size", "tab", "cell"]
-    keys = f"label {kind}, size int, tab int, cell long"
-    crowded = saved(
-        classes.mapInPandas(lambda parts: deal(parts, cell), keys)
-        .groupBy(*cell).agg(F.count(F.lit(1)).alias("_members")).filter(F.col("_members") > crowd)
-        .withColumn("blocks", F.ceil(F.col("_members") / (crowd / 4)).cast("int")).drop("_members"),
-        "crowded",
-    )
-    few = crowded.count() <= MOST_CROWDED
-    dealt = classes.mapInPandas(lambda parts: deal(parts, [*cell, "rep", "n", "v"]), f"{keys}, rep long, n long, v array<double>")
-    dealt = dealt.join(F.broadcast(crowded) if few else crowded, cell, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    # A row meets every block of its cell, its own included, as the low or the high side of a pair of blocks.
-    dealt = dealt.withColumn("block", block).withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-        *cell, F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "rep", "n", "v"
+
+    key = ["label", "size"]
+    block = max(1, min(CELL, crowd // 2))
+    sizes = classes.groupBy("label", F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("members"))
+    crowded = saved(sizes.filter(F.col("members") > crowd).withColumn("blocks", F.ceil(F.col("members") / block).cast("int")), "crowded")
+    more = crowded.agg(F.count(F.lit(1)), F.sum(F.col("members") * (F.col("blocks") - 1))).first()
+    whole = max(1, classes.count())
+    rounds = -(-(whole + (more[1] or 0)) // (ROUND * whole))
+    blocks = crowded.drop("members")
+    dealt = (
+        classes.withColumn("size", F.size("v")).join(F.broadcast(blocks) if more[0] <= MOST_CROWDED else blocks, key, "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        # A row meets every block of its label, its own included, as the low or the high side of a pair of blocks.
+        .withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
     )
 
     def join(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         ids, n = part["rep"].to_numpy(), part["n"].to_numpy()
-        unit = unit_rows(np.stack(part["v"].to_list()))
-        side = None if key[4] == key[5] else part["block"].to_numpy() == key[4]
+        unit = unit_rows(np.stack(part.pop("v").to_list()).astype(np.float64))
+        side = None if key[2] == key[3] else part["block"].to_numpy() == key[2]
+        # Substrings about as long as the logarithm of the rows: few probes, few strangers per bucket.
+        tables = Tables(unit.shape[1], round(unit.shape[1] / max(8.0, float(np.log2(max(2, len(ids)))))), least)
         count, low = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        for a, b in tables(int(key[1])).links(ids, unit, shared.value.apply(unit), int(key[3]), int(key[2]), side):
+        for a, b in tables.links(ids, unit, shared.value.apply(unit), side):
             np.add.at(count, a, n[b])
             np.add.at(count, b, n[a])
             new = low[a] != low[b]
@@ -309,9 +284,13 @@ def _link(rows: DataFrame, least: float, vec_id: str, vector: str, label: str, c
         at = np.flatnonzero(count)
         return pd.DataFrame({"rep": ids[at], "links": count[at], "near": ids[low[at]]})
 
-    found = saved(
-        dealt.groupBy(*cell, "low", "high").applyInPandas(join, "rep long, links long, near long"), "links"
-    )
+    parts = []
+    for at in range(rounds):
+        own = dealt.filter(F.pmod(F.xxhash64(*key) % rounds + F.col("block") + F.col("with"), F.lit(rounds)) == at).select(
+            *key, F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "rep", "n", "v"
+        )
+        parts.append(saved(own.groupBy(*key, "low", "high").applyInPandas(join, "rep long, links long, near long"), "links"))
+    found = reduce(DataFrame.unionByName, parts)
     roots = components(found, "rep", "near")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     reps = (

@@ -1,7 +1,10 @@
 """Operators over whole tables against plain versions: shards, search, mix, links, joins, pipeline."""
 
+import glob
 import math
+import os
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -270,6 +273,28 @@ def test_links_of_a_crowd(spark):
     assert [got[i][1] for i in range(len(x))] == least.tolist()
 
 
+def test_links_leave_and_hold_few_shuffle_files(spark, monkeypatch):
+    """Blocks are dealt in rounds of about two copies of each vector, and the files of a round go with its end."""
+    rng = np.random.default_rng(13)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(rng.normal(size=(2000, 64)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    folder = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    kinds, saved = [], itq_links.saved
+
+    def shuffled():
+        return {f: os.path.getsize(f) for d in folder for f in glob.glob(f"{d}/*/shuffle_*.data")}
+
+    monkeypatch.setattr(itq_links, "saved", lambda df, kind="step": kinds.append(kind) or saved(df, kind))
+    before = shuffled()
+    assert itq_links.link_vectors(df, crowd=400).count() == 2000
+    # Ten blocks are ten copies.
+    assert kinds.count("links") == 5
+    until = time.time() + 20
+    while (left := sum(n for f, n in shuffled().items() if f not in before)) > 100_000 and time.time() < until:
+        time.sleep(0.2)
+    assert left <= 100_000 < 2000 * 64 * 4
+
+
 def test_links_of_odd_vectors(spark):
     nan = float("nan")
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 2), (4, [1.0, 0.0], None), (5, None, 1), (6, [0.0, 0.0], 1), (7, [nan, 1.0], 1),
