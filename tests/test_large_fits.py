@@ -115,6 +115,48 @@ def test_hazard_equals_a_plain_fit(spark):
     assert 0 <= scored[0] < scored[1] <= 1 and scored[2] == pytest.approx(y.mean(), abs=0.02)
 
 
+def test_a_large_logit_equals_a_plain_fit(spark, monkeypatch):
+    """Beyond FEW rows: the optimum of the same objective, in few scans, as a model that scores like the other."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    rng = np.random.default_rng(8)
+    x = np.column_stack([rng.normal(300, 2, 1500), rng.exponential(5, 1500), rng.integers(0, 2, 1500), np.full(1500, 4.0)])
+    x = np.column_stack([x, x[:, 0] + rng.normal(0, 0.05, 1500)])
+    y = (rng.random(1500) < 1 / (1 + np.exp(-(x[:, 0] - 302) + 0.2 * x[:, 1]))).astype(int)
+    names = ["a", "b", "c", "flat", "twin"]
+    df = cut_lineage(spark.createDataFrame([(*map(float, r), int(t)) for r, t in zip(x, y)], ", ".join(f"{c} double" for c in names) + ", y int").repartition(5))
+    monkeypatch.setattr(Mo, "FEW", 100)
+    spark.sparkContext.setJobGroup("logit", "logit")
+    scorer = Mo.fit_logit(df, names, "y")
+    spark.sparkContext.setJobGroup("other", "other")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("logit")) < 60
+    n, pos = len(y), int(y.sum())
+    weight = F.when(F.col("y") == 1, n / 2 / pos).otherwise(n / 2 / (n - pos))
+    plain = LogisticRegression(
+        featuresCol="_raw", labelCol="y", weightCol="w", elasticNetParam=0.3, regParam=2 / n, standardization=True, maxIter=1500, tol=1e-14
+    ).fit(VectorAssembler(inputCols=names, outputCol="_raw").transform(df.withColumn("w", weight)))
+    got = scorer.model.stages[-1]
+    assert np.abs(got.coefficients.toArray() - plain.coefficients.toArray()).max() < 1e-3
+    assert got.coefficients[3] == 0 == plain.coefficients[3]
+
+    def objective(model):
+        b, b0 = model.coefficients.toArray(), model.intercept
+        eta, w = x @ b + b0, np.where(y == 1, n / 2 / pos, n / 2 / (n - pos))
+        mean = w @ x / n
+        s = np.sqrt(w @ (x - mean) ** 2 / (n - w @ w / n)) * b
+        return w @ (np.logaddexp(0, eta) - y * eta) / n + 2 / n * (0.3 * np.abs(s).sum() + 0.35 * (s * s).sum())
+
+    assert objective(got) <= objective(plain) + 1e-12
+    scores = [r.logit for r in scorer(df.orderBy("a")).collect()]
+    assert scores == pytest.approx([r.p[1] for r in plain.transform(VectorAssembler(inputCols=names, outputCol="_raw").transform(df.orderBy("a"))).select(F.col("probability").alias("p")).collect()], abs=1e-3)
+    assert scorer(df).columns == [*df.columns, "logit"] and Mo.linear_terms(scorer, names)["b"] < 0
+    # One class is left to the other way; a gap without a median is refused as there.
+    assert Mo.fit_logit(df.withColumn("y", F.lit(0)), names, "y")(df).agg(F.max("logit")).first()[0] == 0
+    with pytest.raises(Exception, match="null"):
+        Mo.fit_logit(df.withColumn("c", F.lit(None).cast("double")), names, "y")
+
+
 def test_hazard_of_odd_columns(spark):
     """A constant column gets no weight, gaps take the median, one class still has a finite fit."""
     df = spark.createDataFrame([(float(i % 7) if i % 5 else None, 1.0, int(i % 7 > 4), 0) for i in range(300)], "a double, flat double, y int, none int")
